@@ -39,10 +39,15 @@ def rank_rows(
 
 def _rank_by_window(df: DataFrame, group: str, value: str, tie: str) -> DataFrame:
     ordered = Window.partitionBy(group).orderBy(value, tie)
-    # Same hash partitioning and a prefix of the same sort order: no second shuffle or sort.
-    tied = Window.partitionBy(group, value)
-    return df.withColumn("q", F.row_number().over(ordered).cast("long")).withColumn(
-        "avg_rank", F.avg("q").over(tied)
+    # Both of these need only a prefix of that sort order, so the three share one sort.
+    by_value = Window.partitionBy(group).orderBy(value)
+    peers = by_value.rangeBetween(Window.currentRow, Window.currentRow)
+    return (
+        df.withColumn("q", F.row_number().over(ordered).cast("long"))
+        .withColumn("_first", F.rank().over(by_value))
+        .withColumn("_ties", F.count(F.lit(1)).over(peers))
+        .withColumn("avg_rank", F.col("_first") + (F.col("_ties") - 1) / F.lit(2.0))
+        .drop("_first", "_ties")
     )
 
 
