@@ -309,17 +309,14 @@ class OrbitCounts:
 
     # -- results ---------------------------------------------------------------------------
 
-    def _combine(self, terms: dict, den: int) -> Column:
-        kind = "decimal(38,0)" if self.wide else "long"
-        total = reduce(
-            lambda a, b: a + b,
-            [F.lit(k).cast(kind) * F.col(f"`{n}`").cast(kind) for n, k in terms.items()],
-        )
+    def _combine(self, terms: dict, den: int, name: str) -> Column:
+        kind = "decimal(38,0)" if self.wide else "bigint"
+        total = " + ".join(f"cast({k} as {kind}) * cast(`{n}` as {kind})" for n, k in terms.items())
         if den == 1:
-            return total.cast(kind)
+            return F.expr(f"cast({total} as {kind}) as {name}")
         if self.wide:
-            return F.round(total / F.lit(den), 0).cast(kind)
-        return F.call_function("div", total, F.lit(den).cast("long"))
+            return F.expr(f"cast(round(({total}) / {den}, 0) as {kind}) as {name}")
+        return F.expr(f"({total}) div {den} as {name}")
 
     def edge_orbits(self) -> DataFrame:
         """``edge_id, src, dst, e0..`` with 12 (size 4) or 68 (size 5) counts."""
@@ -333,7 +330,7 @@ class OrbitCounts:
         joined = self.edges.join(sums, ["x", "y"])
         return joined.select(
             "edge_id", F.col("x").alias("src"), F.col("y").alias("dst"),
-            *[self._combine(*system[o]).alias(f"e{o}") for o in range(patterns.N_EDGE_ORBITS[self.size])],
+            *[self._combine(*system[o], f"e{o}") for o in range(patterns.N_EDGE_ORBITS[self.size])],
         )
 
     def node_orbits(self) -> DataFrame:
@@ -349,7 +346,7 @@ class OrbitCounts:
         out = summed.select(
             "v",
             *[
-                self._combine({str(p): k for p, k in terms.items()}, den).alias(f"o{o}")
+                self._combine({str(p): k for p, k in terms.items()}, den, f"o{o}")
                 for o, (terms, den) in system.items()
             ],
         )
