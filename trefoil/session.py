@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +17,7 @@ BROADCAST_ROWS = 2_000_000
 def get_spark(app: str = "trefoil", cpus: int | str | None = None) -> SparkSession:
     """A session for tests, benches and scripts; on a cluster pass your own session instead."""
     n = str(cpus or os.environ.get("BENCH_CPUS") or os.cpu_count() or 4)
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{n}]")
         .appName(app)
         .config("spark.driver.memory", os.environ.get("TREFOIL_DRIVER_MEMORY", "8g"))
@@ -29,6 +31,19 @@ def get_spark(app: str = "trefoil", cpus: int | str | None = None) -> SparkSessi
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python, wherever the driver was started."""
+    sc = spark.sparkContext
+    if getattr(sc, "_trefoil_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="trefoil-pkg-")
+    sc.addPyFile(shutil.make_archive(f"{folder}/trefoil", "zip", root.parent, root.name))
+    sc._trefoil_shipped = True
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
