@@ -111,7 +111,10 @@ def weighted_ranks(
     correl_norm_type: str = "rank",
     strategy: str = "auto",
 ) -> DataFrame:
-    """Rank every sample and add the hit weight ``w``."""
+    """Rank every sample and add the hit weight ``w``.
+
+    The z-score weights use the spread of the average ranks; their mean is (N+1)/2.
+    """
     ranked = rank_rows(expression, strategy=strategy)
     if correl_norm_type == "rank":
         return ranked.withColumn("w", power(F.col("avg_rank"), alpha))

@@ -66,7 +66,7 @@ knn AS (SELECT * FROM (
 
 
 SPLIT = "a.id % 5 = 0 AND b.id % 5 <> 0"
-KNN_OUT = "SELECT i, j, round(d, 6) AS d, rk FROM knn"
+KNN_OUT = "SELECT i, j, round(d, 6) AS d, rk::INTEGER AS rk FROM knn"
 
 GRAPH = f"""{_knn(Q.K_GRAPH)},
 edges AS (SELECT DISTINCT least(i, j) AS x, greatest(i, j) AS y FROM knn),
@@ -262,7 +262,7 @@ def oracles() -> dict[str, str]:
             SELECT sample, set_name, round(score / (max(score) OVER () - min(score) OVER ()), 6) AS score FROM scores""",
         "ssgsea_bucketed": f"WITH {EXPR} SELECT sample, row_idx, q, round(r, 6) AS avg_rank FROM ranked",
         "ssgsea_prefix": _plain(where="""p_brand IN (SELECT p_brand FROM part GROUP BY 1
-            HAVING count(*) BETWEEN 15 AND 10000 ORDER BY 1 LIMIT 10)"""),
+            HAVING count(*) BETWEEN 4 AND 10000 ORDER BY 1 LIMIT 10)"""),
         "ssgsea_matrix": f"""WITH {_scores(member='p_type')}
             PIVOT (SELECT sample, set_name, round(score, 6) AS score FROM scores)
             ON set_name USING first(score) GROUP BY sample""",
@@ -281,7 +281,6 @@ def oracles() -> dict[str, str]:
         "knn_query": f"WITH {_knn(Q.K_NEAR, pair=SPLIT)} {KNN_OUT}",
         "knn_pruned": f"WITH {_knn(Q.K_NEAR)} {KNN_OUT}",
         "knn_precomputed": f"WITH {_knn(Q.K_NEAR)} {KNN_OUT}",
-        "ann_recall": "SELECT true AS recall_ok",
         "graph_normalise": f"WITH {GRAPH} SELECT x, y FROM edges",
         "degree": f"WITH {GRAPH} SELECT p.id AS v, count(s) AS degree FROM pts p LEFT JOIN adj ON s = p.id GROUP BY 1",
         "degree_hist": f"""WITH {GRAPH}, d AS (SELECT p.id, count(s) AS degree FROM pts p LEFT JOIN adj ON s = p.id
