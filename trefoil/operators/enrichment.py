@@ -92,19 +92,6 @@ def power(x: Column, alpha: float) -> Column:
     return F.pow(x, F.lit(alpha))
 
 
-def sample_stats(expression: DataFrame) -> DataFrame:
-    """Rows per sample; a sample whose values are all equal stops the query."""
-    stats = expression.groupBy("sample").agg(
-        F.count(F.lit(1)).alias("n"), F.min("value").alias("_lo"), F.max("value").alias("_hi")
-    )
-    flat = F.raise_error(
-        F.concat(F.lit("constant-ranked sample is not scoreable: "), F.col("sample").cast("string"))
-    )
-    return stats.select(
-        "sample", F.when(F.col("_lo") == F.col("_hi"), flat.cast("long")).otherwise(F.col("n")).alias("n")
-    )
-
-
 def weighted_ranks(
     expression: DataFrame,
     alpha: float = 0.25,
@@ -120,11 +107,10 @@ def weighted_ranks(
         return ranked.withColumn("w", power(F.col("avg_rank"), alpha))
     if correl_norm_type != "zscore":
         raise ValueError(f"unknown correl_norm_type {correl_norm_type!r}")
-    spread = ranked.groupBy("sample").agg(
-        F.avg("avg_rank").alias("_m"), F.stddev_pop("avg_rank").alias("_s")
-    )
-    z = F.abs((F.col("avg_rank") - F.col("_m")) / F.col("_s"))
-    return ranked.join(spread, "sample").withColumn("w", power(z, alpha)).drop("_m", "_s")
+    spread = ranked.groupBy("sample").agg(F.stddev_pop("avg_rank").alias("_s"))
+    # A flat sample has no spread; it is reported when scores are combined.
+    z = F.abs((F.col("avg_rank") - (F.col("n") + 1) / F.lit(2.0)) / F.nullif("_s", F.lit(0.0)))
+    return ranked.join(spread, "sample").withColumn("w", power(z, alpha)).drop("_s")
 
 
 def _resolve(profile: str, correl_norm_type: str | None) -> str:
@@ -170,29 +156,34 @@ def score(
         F.sum("w").alias("sw"),
         F.sum(F.col("w") * F.col("q")).alias("swq"),
         F.sum("q").alias("sq"),
+        F.max("n").alias("n"),
+        F.max("flat").alias("flat"),
     )
     n, k = F.col("n"), F.col("k")
+    flat = F.raise_error(
+        F.concat(F.lit("constant-ranked sample is not scoreable: "), F.col("sample").cast("string"))
+    ).cast("double")
     covered = F.raise_error(
         F.concat(F.lit("gene set covers the complete gene universe: "), F.col("set_name"))
     ).cast("double")
     weightless = F.raise_error(F.lit("a gene set has zero total rank weight")).cast("double")
     raw = (
-        F.when(k == n, covered)
+        F.when(F.col("flat"), flat)
+        .when(k == n, covered)
         .when(F.col("sw") == 0, weightless)
         .otherwise(
             F.col("swq") / F.col("sw") - (n * (n + 1) / F.lit(2.0) - F.col("sq")) / (n - k)
         )
     )
     window = (k >= min_size) & (k <= (F.lit(max_size) if max_size is not None else n))
-    joined = sums.join(sample_stats(clean), "sample")
     if coverage == "always":
-        # Evaluated before the size filter, so the error does not depend on the window.
-        joined = joined.withColumn("score", raw).filter(F.col("score").isNotNull()).filter(window)
+        # The checks sit in the filter, so the error does not depend on the size window.
+        scored = sums.withColumn("score", raw).filter(F.col("score").isNotNull()).filter(window)
     elif coverage == "window":
-        joined = joined.filter(window).withColumn("score", raw)
+        scored = sums.filter(window).withColumn("score", raw)
     else:
         raise ValueError(f"unknown coverage rule {coverage!r}")
-    return normalize_scores(joined.select("sample", "set_name", "score"), normalization)
+    return normalize_scores(scored.select("sample", "set_name", "score"), normalization)
 
 
 def score_by_walk(
@@ -211,19 +202,20 @@ def score_by_walk(
     compiled = gene_sets if isinstance(gene_sets, CompiledGeneSets) else compile_gene_sets(gene_sets)
     clean = finite_expression(expression)
     ranked = weighted_ranks(clean, check_alpha(alpha), correl_norm_type, strategy)
-    hits = ranked.join(compiled.side(), "gene").join(sample_stats(clean), "sample")
+    hits = ranked.join(compiled.side(), "gene")
     down = Window.partitionBy("sample", "set_name").orderBy(F.col("q").desc())
     so_far = down.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     walked = hits.select(
         "sample",
         "set_name",
         "n",
+        "flat",
         "w",
         F.sum("w").over(so_far).alias("hit_weight"),
         F.row_number().over(down).alias("hit_no"),
         (F.col("q") - F.coalesce(F.lead("q").over(down), F.lit(0))).alias("steps"),
     )
-    sums = walked.groupBy("sample", "set_name", "n").agg(
+    sums = walked.groupBy("sample", "set_name", "n", "flat").agg(
         F.sum(F.col("hit_weight") * F.col("steps")).alias("hit_area"),
         F.sum(F.col("hit_no") * F.col("steps")).alias("hit_steps"),
         F.sum("w").alias("sw"),
@@ -232,10 +224,11 @@ def score_by_walk(
     n, k = F.col("n"), F.col("k")
     miss_area = (n * (n + 1) / F.lit(2.0) - F.col("hit_steps")) / (n - k)
     covered = F.raise_error(F.lit("gene set covers the complete gene universe")).cast("double")
+    flat = F.raise_error(F.lit("constant-ranked sample is not scoreable")).cast("double")
     return sums.select(
         "sample",
         "set_name",
-        F.when(k == n, covered).otherwise(F.col("hit_area") / F.col("sw") - miss_area).alias("score"),
+        F.when(F.col("flat"), flat).when(k == n, covered).otherwise(F.col("hit_area") / F.col("sw") - miss_area).alias("score"),
     )
 
 

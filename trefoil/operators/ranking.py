@@ -26,7 +26,8 @@ def rank_rows(
     strategy: str = "auto",
     max_window_rows: int = MAX_WINDOW_ROWS,
 ) -> DataFrame:
-    """Add ``q`` (ascending ordinal, ties by ``tie``) and ``avg_rank`` (ties share their mean)."""
+    """Add ``q`` (ascending ordinal, ties by ``tie``), ``avg_rank`` (ties share their mean), the group
+    size ``n`` and ``flat`` (all values of the group equal)."""
     if strategy == "auto":
         largest = df.groupBy(group).count().agg(F.max("count")).first()[0] or 0
         strategy = "window" if largest <= max_window_rows else "bucketed"
@@ -42,10 +43,15 @@ def _rank_by_window(df: DataFrame, group: str, value: str, tie: str) -> DataFram
     # Both of these need only a prefix of that sort order, so the three share one sort.
     by_value = Window.partitionBy(group).orderBy(value)
     peers = by_value.rangeBetween(Window.currentRow, Window.currentRow)
+    whole = by_value.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return (
         df.withColumn("q", F.row_number().over(ordered).cast("long"))
-        .withColumn("_first", F.rank().over(by_value))
-        .withColumn("_ties", F.count(F.lit(1)).over(peers))
+        .withColumns({
+            "_first": F.rank().over(by_value),
+            "_ties": F.count(F.lit(1)).over(peers),
+            "n": F.count(F.lit(1)).over(whole),
+            "flat": F.first(value).over(whole) == F.last(value).over(whole),
+        })
         .withColumn("avg_rank", F.col("_first") + (F.col("_ties") - 1) / F.lit(2.0))
         .drop("_first", "_ties")
     )
@@ -55,9 +61,10 @@ def _rank_by_buckets(
     df: DataFrame, group: str, value: str, tie: str, bucket_rows: int
 ) -> DataFrame:
     stats = df.groupBy(group).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(tie).alias("_t0"), F.max(tie).alias("_t1")
+        F.count(F.lit(1)).alias("n"), F.min(tie).alias("_t0"), F.max(tie).alias("_t1"),
+        (F.min(value) == F.max(value)).alias("flat"),
     )
-    largest = stats.agg(F.max("_n")).first()[0] or 1
+    largest = stats.agg(F.max("n")).first()[0] or 1
     parts = max(2, -(-largest // max(1, bucket_rows)) * 2)
     cuts = df.groupBy(group).agg(
         F.percentile_approx(value, [i / parts for i in range(1, parts)], 10_000).alias("_cuts")
@@ -77,7 +84,7 @@ def _rank_by_buckets(
                 F.floor((F.col(tie) - F.col("_t0")).cast("double") * parts / span),
             ).otherwise(F.lit(0).cast("long")),
         )
-        .drop("_cuts", "_below", "_on", "_n", "_t0", "_t1")
+        .drop("_cuts", "_below", "_on", "_t0", "_t1")
     )
     sizes = keyed.groupBy(group, "_b", "_tb").agg(F.count(F.lit(1)).alias("_rows"))
     before = Window.partitionBy(group).orderBy("_b", "_tb").rowsBetween(
