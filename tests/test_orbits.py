@@ -110,3 +110,24 @@ def test_wide_arithmetic_agrees(spark):
     long = O.OrbitCounts(edges, None, 4).node_orbits().orderBy("v").collect()
     wide = O.OrbitCounts(edges, None, 4, wide=True).node_orbits().orderBy("v").collect()
     assert [[int(x) for x in r] for r in wide] == [list(r) for r in long]
+
+
+def test_G1_G8_listing_agrees_with_counting(spark):
+    from trefoil.operators.enumerate import enumerated_node_orbits, taxonomy
+
+    assert len(taxonomy(5)) == 728 and len(taxonomy(4)) == 38
+    random.seed(2)
+    edges = [e for e in combinations(range(10), 2) if random.random() < 0.4]
+    clean = G.clean_edges(raw(spark, edges)).persist()
+    nodes, _ = brute(10, edges, 5)
+    got = enumerated_node_orbits(clean, spark.range(10).toDF("v"), 5)
+    assert {r["v"]: list(r)[1:] for r in got.collect()} == nodes
+
+
+def test_G12_command_line(spark, tmp_path):
+    from trefoil.__main__ import main
+
+    (tmp_path / "g.in").write_text("3 3\n0 1\n1 2\n0 2\n")
+    main(["orbits", "node", "4", str(tmp_path / "g.in"), str(tmp_path / "out")])
+    text = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*")))
+    assert text.splitlines()[0].split()[:4] == ["2", "0", "0", "1"]

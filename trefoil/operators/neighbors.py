@@ -25,7 +25,7 @@ from trefoil.functions.kernels import block_top_k
 from trefoil.session import cut_lineage
 
 BLOCK_ROWS = 4096
-MAX_PIVOTS = 4096
+MAX_PIVOTS = 1024
 # Below this many rows the exact join is chosen by ``auto``.
 EXACT_BELOW = 1000
 # Metrics the tree-based approximate index supports.

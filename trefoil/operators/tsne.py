@@ -333,6 +333,26 @@ class PartialTSNEEmbedding:
         return PartialTSNEEmbedding(moved, parent, self.reference, self.ends, self.p)
 
 
+class TSNETransformer:
+    """``fit`` / ``fit_transform`` / ``transform`` over tables ``id, features``; the last two return
+    plain positions ``id, y0..``."""
+
+    def __init__(self, **options):
+        self.model, self.embedding = TSNE(**options), None
+
+    def fit(self, points: DataFrame) -> "TSNETransformer":
+        self.embedding = self.model.fit(points)
+        return self
+
+    def fit_transform(self, points: DataFrame) -> DataFrame:
+        return self.fit(points).embedding.positions
+
+    def transform(self, points: DataFrame, **options) -> DataFrame:
+        if self.embedding is None:
+            raise ValueError("fit before transform")
+        return self.embedding.transform(points, **options).positions
+
+
 class VerifyExaggerationError:
     """Callback: the loop's error must equal the divergence computed with plain affinities."""
 

@@ -335,6 +335,7 @@ def oracles() -> dict[str, str]:
         "clip_disc": f"""WITH {POS} SELECT id, round(y0 * least(1.0, 2.0 / greatest(sqrt(y0 * y0 + y1 * y1), 1e-300)), 6) AS y0,
             round(y1 * least(1.0, 2.0 / greatest(sqrt(y0 * y0 + y1 * y1), 1e-300)), 6) AS y1 FROM pos""",
     }
+    out["orbits4_enumerated"] = out["orbits4_nodes"]
     out["ssgsea_gsva"] = out["ssgsea_range"]
     out["bh_exact_limit"] = out["repulsion_exact"]
     for m in DIST:

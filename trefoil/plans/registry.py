@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trefoil.functions import layout as L
 from trefoil.operators import affinity as A
+from trefoil.operators import enumerate as U
 from trefoil.operators import enrichment as E
 from trefoil.operators import graph as G
 from trefoil.operators import gradient as D
@@ -224,6 +225,11 @@ def orbits5_edges(spark, sf):
     return O.OrbitCounts(_graph(spark, sf), None, 5).edge_orbits().drop("edge_id")
 
 
+def orbits4_enumerated(spark, sf):
+    """The listing join, as an independent way to the same counts."""
+    return U.enumerated_node_orbits(_graph(spark, sf).persist(), _nodes(spark, sf), 4)
+
+
 def graphlet_totals(spark, sf):
     return O.graphlet_totals(orbits5_nodes(spark, sf), 5)
 
@@ -339,7 +345,7 @@ def bh_exact_limit(spark, sf):
 
 
 def bh_joined(spark, sf):
-    return D.joined_tree_repulsion(_positions(spark, sf), 2, 0.5, 1.0, depth=8)
+    return D.joined_tree_repulsion(_positions(spark, sf), 2, 0.5, 1.0, depth=12)
 
 
 def fft_repulsion(spark, sf):
@@ -401,6 +407,7 @@ QUERIES = {
     "k5_nodes": _cliques(5),
     "orbits4_nodes": orbits4_nodes,
     "orbits4_edges": orbits4_edges,
+    "orbits4_enumerated": orbits4_enumerated,
     "orbits5_nodes": orbits5_nodes,
     "orbits5_edges": orbits5_edges,
     "graphlet_totals": graphlet_totals,
