@@ -1,6 +1,7 @@
 import random
 from functools import lru_cache
 from itertools import combinations
+from math import comb
 
 import pytest
 
@@ -52,12 +53,12 @@ def test_G7_taxonomy_shape():
         assert len(patterns.solve_edges(given, size)) == patterns.N_EDGE_ORBITS[size]
 
 
-@pytest.mark.parametrize("size", [4, 5])
-def test_G3_G4_G5_G6_against_brute_force(spark, size):
+@pytest.mark.parametrize("size, hub", [(4, 99), (5, 99), (5, 6), (5, 5)])
+def test_G3_G4_G5_G6_against_brute_force(spark, size, hub):
     random.seed(7)
     n = 13
     edges = [e for e in combinations(range(n), 2) if random.random() < 0.45]
-    counts = O.OrbitCounts(G.clean_edges(raw(spark, edges)), spark.range(n + 1).toDF("v"), size, chunk=3)
+    counts = O.OrbitCounts(G.clean_edges(raw(spark, edges)), spark.range(n + 1).toDF("v"), size, 3, hub_degree=hub)
     nodes, links = brute(n, edges, size)
     nodes[n] = [0] * patterns.N_NODE_ORBITS[size]
     assert {r["v"]: list(r)[1:] for r in counts.node_orbits().collect()} == nodes
@@ -94,6 +95,16 @@ def test_hub_is_split_and_four_node_counts_stay_small(spark):
     assert hub["o0"] == leaves and hub["o3"] == 1 and hub["o2"] == leaves * (leaves - 1) // 2 - 1
 
 
+def test_hub_is_not_expanded_in_five_node_counts(spark):
+    leaves = 300
+    edges = [(0, i) for i in range(1, leaves + 1)] + [(1, 2)]
+    counts = O.OrbitCounts(G.clean_edges(raw(spark, edges)), None, 5, hub_degree=50)
+    hub = counts.node_orbits().filter("v = 0").first()
+    free = leaves - 2
+    assert hub["o23"] == comb(leaves, 4) - comb(free, 2)
+    assert hub["o33"] == comb(free, 2) and hub["o3"] == 1 and hub["o14"] == 0
+
+
 def test_S1_S2_edge_cleaning(spark):
     messy = raw(spark, [(1, 0), (0, 1), (2, 2), (1, 2)])
     assert sorted((r["x"], r["y"], r["edge_id"]) for r in G.clean_edges(messy, 3).collect()) == [(0, 1, 0), (1, 2, 3)]

@@ -156,8 +156,11 @@ def _exact(q: DataFrame, r: DataFrame, k: int, space: Space, same: bool, block_r
     block_rows = max(block_rows, -(-n // MAX_PIVOTS))
     n_q = n if same else q.count()
     if n <= block_rows and n_q <= block_rows:
-        one = [F.lit(0).alias("a"), F.lit(0).alias("b")]
-        hits = _meet(q.select("*", *one), r.select("*", *one), ["a", "b"], k, space, same)
+        # The references fit one block: only the queries are cut, to use every core.
+        parts = min(q.sparkSession.sparkContext.defaultParallelism, -(-n_q // 256))
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
+        left = q.withColumn("a", F.pmod(F.xxhash64("id"), F.lit(parts)))
+        hits = _meet(left, r.withColumn("a", every), ["a"], k, space, same)
     else:
         hits = _pruned_meet(q, r, k, space, same, block_rows, n)
     out = _merge(hits, k)

@@ -5,8 +5,9 @@ two directions, node orbits add over a node's edges, and one exact integer proje
 ``functions.patterns``) turns pattern counts into induced counts. No 5-node subgraph is ever
 enumerated: the widest rows are triangles, wedges, diamonds and cliques.
 
-Cost: 4-node counts need sum(min(deg)) rows and are safe with hubs. 5-node counts need wedge rows
-(sum of squared degrees, spread over chunks) because some 5-node patterns sum over codegree powers.
+Cost: 4-node counts need sum(min(deg)) rows. 5-node counts list walks through ordinary centres only;
+hubs (above ``hub_degree``, so at most 2m / hub_degree of them) enter through each node's short hub
+list and through tables between hubs, so no task or stage sees all pairs of a hub's neighbours.
 """
 
 from __future__ import annotations
@@ -22,6 +23,10 @@ from trefoil.operators import graph as G
 from trefoil.session import cut_lineage
 
 
+# Nodes above this degree are hubs: their walks are never listed. At most 2m / HUB_DEGREE exist.
+HUB_DEGREE = 20_000
+
+
 @lru_cache(maxsize=None)
 def _systems(size: int):
     features = SMALL if size == 4 else LARGE
@@ -33,7 +38,7 @@ class OrbitCounts:
     """Shared pattern table of one graph, written to the checkpoint folder stage by stage."""
 
     def __init__(self, edges: DataFrame, nodes: DataFrame | None = None, size: int = 5,
-                 chunk: int = G.HUB_CHUNK, wide: bool = False):
+                 chunk: int = G.HUB_CHUNK, wide: bool = False, hub_degree: int = HUB_DEGREE):
         """``edges(edge_id, x, y)`` from ``clean_edges``; ``nodes(v)`` adds isolated nodes.
 
         ``wide`` computes the final combination in decimals, for counts beyond 2^63 (the long path
@@ -41,7 +46,7 @@ class OrbitCounts:
         """
         if size not in (4, 5):
             raise ValueError("size must be 4 or 5")
-        self.size, self.chunk, self.wide = size, chunk, wide
+        self.size, self.chunk, self.wide, self.hub_degree = size, chunk, wide, hub_degree
         self.edges = cut_lineage(edges.select("edge_id", "x", "y"))
         self.given_nodes = nodes
         self.table = cut_lineage(self._pattern_table())
@@ -220,10 +225,18 @@ class OrbitCounts:
         )
 
     def _wedge_sums(self, edge: DataFrame, corners: DataFrame) -> DataFrame:
+        """Sums over walks u - v - b and over pairs of nodes two steps apart.
+
+        Walks through an ordinary centre are listed. A hub's are not: what two nodes share through
+        hubs is the overlap of their short hub lists, and sums over all pairs of a hub's neighbours
+        fold into tables between hubs (``_hub_sums``).
+        """
         c = F.col
+        hubs = edge.filter(c("dv") > self.hub_degree)
+        has_hubs = not hubs.isEmpty()
         links = edge.select("u", "v", "du", "dv", "te")
-        # Wedges and diamonds are the widest rows: listed again where needed, never stored.
-        walks = G.wedges(links, [], [c("dv").alias("db"), c("te").alias("tcb")], self.chunk)
+        ordinary = links.filter(c("du") <= self.hub_degree)
+        walks = G.wedges(ordinary, [], [c("dv").alias("db"), c("te").alias("tcb")], self.chunk)
         # Diamonds on the spine (h, m), both wings ordered, wings may coincide.
         thick = corners.join(edge.select("u", "v", "te"), ["u", "v"]).withColumn("h", F.struct("u", "v"))
         wing = thick.select("h", "z", "te")
@@ -232,45 +245,134 @@ class OrbitCounts:
         ).select(c("h.u").alias("h"), c("h.v").alias("m"), "a", "b")
         triples = cut_lineage(diamonds.groupBy("h", "a", "b").agg(F.count(F.lit(1)).alias("c3")))
         linked = triples.groupBy(c("a").alias("u"), "b").agg(F.sum("c3").alias("dd"))
-        pairs = cut_lineage(
-            walks.groupBy("u", "b")
-            .agg(F.count(F.lit(1)).alias("cd"), F.sum("tcb").alias("tt"))
-            .join(linked, ["u", "b"], "left")
-            .fillna(0, subset=["dd"])
-        )
-        w = walks.join(pairs, ["u", "b"]).groupBy("u", c("c").alias("v")).agg(
+        seen = walks.groupBy("u", "b").agg(F.count(F.lit(1)).alias("own"), F.sum("tcb").alias("tt"))
+        pairs = seen.join(linked, ["u", "b"], "full").fillna(0)
+        lists = None
+        if has_hubs:
+            lists = cut_lineage(
+                hubs.groupBy("u").agg(F.sort_array(F.collect_list(F.struct(c("v").alias("c"), c("te").alias("t")))).alias("hubs"))
+            )
+            pairs = self._with_hub_overlap(pairs, lists)
+        else:
+            pairs = pairs.withColumn("cd", c("own"))
+        pairs = cut_lineage(pairs)
+        # One row per (u, v); parts are added up at the end.
+        parts = [walks.join(pairs, ["u", "b"]).groupBy("u", c("c").alias("v")).agg(
             F.sum(c("db") * c("cd")).alias("w3d"),
             F.sum(c("tcb") * c("cd")).alias("wall"),
             F.sum("tt").alias("floor_"),
             F.sum(c("cd") * c("cd")).alias("k23"),
             F.sum("dd").alias("tip"),
-        )
+        )]
         cd = pairs.select(c("u").alias("a"), "b", "cd")
-        tri_w = triples.join(cd, ["a", "b"]).groupBy(c("a").alias("u"), c("h").alias("v")).agg(
+        parts.append(triples.join(cd, ["a", "b"]).groupBy(c("a").alias("u"), c("h").alias("v")).agg(
             F.sum(c("c3") * c("cd")).alias("k23e_side"), F.sum(c("c3") * c("c3")).alias("spoke")
-        )
-        base = diamonds.join(cd, ["a", "b"]).groupBy(c("h").alias("u"), c("m").alias("v")).agg(
+        ))
+        parts.append(diamonds.join(cd, ["a", "b"]).groupBy(c("h").alias("u"), c("m").alias("v")).agg(
             F.sum("cd").alias("k23e_base")
+        ))
+        parts.append(
+            diamonds.join(triples, ["h", "a", "b"]).groupBy(c("a").alias("u"), c("m").alias("v")).agg(
+                F.sum("c3").alias("rim")
+            )
         )
-        rim = diamonds.join(triples, ["h", "a", "b"]).groupBy(c("a").alias("u"), c("m").alias("v")).agg(
-            F.sum("c3").alias("rim")
+        parts.append(self._five_walks(edge, pairs))
+        if has_hubs:
+            parts += self._hub_sums(edge, pairs, lists)
+        names = ["w3d", "wall", "floor_", "k23", "tip", "k23e_side", "spoke", "k23e_base", "rim", "w4"]
+        zero = F.lit(0).cast("long")
+        stacked = [p.select("u", "v", *[c(n) if n in p.columns else zero.alias(n) for n in names]) for p in parts]
+        return reduce(DataFrame.unionByName, stacked).groupBy("u", "v").agg(*[F.sum(n).alias(n) for n in names])
+
+    def _five_walks(self, edge: DataFrame, pairs: DataFrame) -> DataFrame:
+        """Closed walks of length 5 on an edge whose two-step pairs both avoid hub centres: joined
+        from the end with fewer two-step pairs."""
+        c = F.col
+        reach = pairs.filter("own > 0").select("u", "b", c("own").alias("r1"))
+        span = cut_lineage(reach.groupBy("u").agg(F.count(F.lit(1)).alias("_n")))
+        ends = (
+            edge.filter(c("u") < c("v")).select("u", "v")
+            .join(span, "u").join(span.select(c("u").alias("v"), c("_n").alias("_m")), "v")
+        )
+        flip = c("_m") < c("_n")
+        ends = ends.select(
+            F.when(flip, c("v")).otherwise(c("u")).alias("u"), F.when(flip, c("u")).otherwise(c("v")).alias("v"),
+            F.least("_n", "_m").alias("_n"),
         )
-        # Closed walks of length 5: the two ends of an edge and every node two steps from both.
-        ends = edge.filter(c("u") < c("v")).select("u", "v")
-        reach = pairs.select("u", "b", "cd")
-        span = reach.groupBy("u").agg(F.count(F.lit(1)).alias("_n"))
-        left = ends.join(span, "u")
         near = reach.join(span, "u")
         five = (
-            G.chunked_join(near, left, "u", "_n", self.chunk)
-            .join(reach.select(c("u").alias("v"), "b", c("cd").alias("cd2")), ["v", "b"])
-            .groupBy(c("u").alias("x"), c("v").alias("y"))
-            .agg(F.sum(c("cd") * c("cd2")).alias("w4"))
+            G.chunked_join(near, ends, "u", "_n", self.chunk)
+            .join(reach.select(c("u").alias("v"), "b", c("r1").alias("r2")), ["v", "b"])
+            .groupBy(F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y"))
+            .agg(F.sum(c("r1") * c("r2")).alias("w4"))
+        )
+        return G.both_ways(five, "w4")
+
+    @staticmethod
+    def _with_hub_overlap(pairs: DataFrame, lists: DataFrame) -> DataFrame:
+        """Add shared hubs of u and b (``both``, with the triangles of the hub's edge to b)."""
+        c = F.col
+        joined = pairs.join(lists.withColumnRenamed("hubs", "hu"), "u", "left").join(
+            lists.select(c("u").alias("b"), c("hubs").alias("hb")), "b", "left"
+        )
+        ids = F.transform("hu", lambda x: x["c"])
+        both = F.coalesce(F.filter("hb", lambda x: F.array_contains(ids, x["c"])), F.array())
+        out = joined.withColumn("both", F.when(c("hu").isNull(), None).otherwise(both))
+        shared = F.coalesce(F.when(c("both").isNotNull(), F.size("both")), F.lit(0))
+        through = F.coalesce(
+            F.aggregate("both", F.lit(0).cast("long"), lambda s, x: s + x["t"]), F.lit(0).cast("long")
+        )
+        return out.select(
+            "u", "b", "own", "dd", c("tt").alias("tt_own"), (c("own") + shared).alias("cd"),
+            (c("tt") + through).alias("tt"), "both", "hb",
+        )
+
+    def _hub_sums(self, edge: DataFrame, pairs: DataFrame, lists: DataFrame) -> list[DataFrame]:
+        """What walks through hub centres add, without listing them."""
+        c = F.col
+        deg = edge.select("u", c("du").alias("d")).distinct()
+        # Listed pairs that also share hub v: the part of v's pair sums with an ordinary share.
+        listed = pairs.filter("size(both) > 0").join(deg.withColumnRenamed("u", "b"), "b").select(
+            "u", "own", "dd", "tt_own", "cd", "d", F.explode("both").alias("h")
+        )
+        a = listed.groupBy("u", c("h.c").alias("v")).agg(
+            F.sum(c("d") * c("own")).alias("w3d"),
+            F.sum(c("h.t") * c("own")).alias("wall"),
+            F.sum("tt_own").alias("floor_"),
+            F.sum(c("cd") * c("cd") - (c("cd") - c("own")) * (c("cd") - c("own"))).alias("k23"),
+            F.sum("dd").alias("tip"),
+        )
+        # Tables between hubs over their shared neighbours; hub lists are short (few hubs exist).
+        near = lists.join(deg, "u")
+        one = near.select("u", "d", "hubs", F.explode("hubs").alias("p"))
+        two = one.select("u", "d", "hubs", "p", F.explode("hubs").alias("q"))
+        hub2 = cut_lineage(two.groupBy(c("p.c").alias("p"), c("q.c").alias("q")).agg(
+            F.count(F.lit(1)).alias("n"), F.sum("d").alias("sd"), F.sum("p.t").alias("sp"), F.sum("q.t").alias("sq")
+        ))
+        three = two.select(c("p.c").alias("p"), c("q.c").alias("q"), F.explode("hubs").alias("r"))
+        hub3 = three.groupBy("p", "q", c("r.c").alias("r")).agg(F.count(F.lit(1)).alias("n3"))
+        own2 = two.select("u", c("p.c").alias("p"), c("q.c").alias("q"))
+        b = own2.join(hub2, ["p", "q"]).groupBy("u", c("p").alias("v")).agg(
+            F.sum("sd").alias("w3d"), F.sum("sp").alias("wall"), F.sum("sq").alias("floor_")
+        )
+        own3 = two.select("u", c("p.c").alias("p"), c("q.c").alias("q"), F.explode("hubs").alias("r"))
+        d = own3.select("u", "p", "q", c("r.c").alias("r")).join(hub3, ["p", "q", "r"]).groupBy(
+            "u", c("p").alias("v")
+        ).agg(F.sum("n3").alias("k23"))
+        # Closed 5-walks with one or two hub centres.
+        to_hub = pairs.filter("own > 0").select("u", "own", F.explode("hb").alias("h")).groupBy(
+            "u", c("h.c").alias("h")
+        ).agg(F.sum("own").alias("x"))
+        ends = edge.select("u", "v")
+        of_v = lists.select(c("u").alias("v"), F.explode(F.transform("hubs", lambda x: x["c"])).alias("h"))
+        mixed = ends.join(of_v, "v").join(to_hub, ["u", "h"]).groupBy("u", "v").agg(F.sum("x").alias("w4"))
+        back = mixed.select(c("u").alias("v"), c("v").alias("u"), "w4").select("u", "v", "w4")
+        of_u = lists.select("u", F.explode(F.transform("hubs", lambda x: x["c"])).alias("p"))
+        pure = (
+            ends.join(of_u, "u").join(of_v.withColumnRenamed("h", "q"), "v")
+            .join(hub2.select("p", "q", "n"), ["p", "q"]).groupBy("u", "v").agg(F.sum("n").alias("w4"))
         )
-        out = w
-        for part in (tri_w, base, rim, G.both_ways(five, "w4")):
-            out = out.join(part, ["u", "v"], "left")
-        return out
+        return [a, b, d, mixed, back, pure]
 
     def _clique_sums(self, edge: DataFrame, quads: DataFrame, outs: DataFrame) -> DataFrame:
         c = F.col
