@@ -275,11 +275,9 @@ def _refined(best: DataFrame, rows: DataFrame, k: int, space: Space, fanout: int
         hop.filter(F.col("i") != F.col("j")).select("i", "j").dropDuplicates()
         .join(best.select("i", "j"), ["i", "j"], "left_anti")
     )
-    fn = space.fn
     measured = (
         fresh.join(rows.toDF("i", "fi"), "i").join(rows.toDF("j", "fj"), "j")
-        .select("i", "j", metrics.distance(F.col("fi"), F.col("fj"), "euclidean").alias("d")
-                if space.euclid else _measure(fn).alias("d"))
+        .select("i", "j", _measure(space.fn).alias("d"))
     )
     return _merge(best.select("i", "j", "d").unionByName(measured), k)
 

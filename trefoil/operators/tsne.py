@@ -150,10 +150,11 @@ class TSNE:
                 seed=self.random_state,
             )
         start = initialization if initialization is not None else self.initialization
-        if start == "pca" and (points is None or self.metric == "precomputed") if isinstance(start, str) else False:
+        named = isinstance(start, str)
+        if named and start == "pca" and (points is None or self.metric == "precomputed"):
             start = "spectral"
         ids = affinities.p.select(F.col("i").alias("id")).distinct()
-        if isinstance(start, DataFrame):
+        if not named:
             positions = start
         elif start == "pca":
             positions = I.pca(points, self.n_components, self.random_state)

@@ -45,7 +45,7 @@ cdf AS (SELECT set_name, sample,
                g AS (PARTITION BY set_name, sample))
 SELECT sample, set_name, round(sum(diff), 6) AS score FROM cdf GROUP BY 1, 2"""
 
-PTS = "pts AS (SELECT vec_id AS id, embedding::DOUBLE[] AS f FROM embeddings)"
+PTS = "pts AS (SELECT vec_id AS id, embedding::DOUBLE[] AS f, label FROM embeddings)"
 
 DIST = {
     "euclidean": "list_distance(a.f, b.f)",
@@ -65,7 +65,7 @@ knn AS (SELECT * FROM (
   WHERE rk <= {k})"""
 
 
-SPLIT = "a.id % 5 = 0 AND b.id % 5 <> 0"
+SPLIT = "a.label < 2 AND b.label >= 2"
 KNN_OUT = "SELECT i, j, round(d, 6) AS d, rk::INTEGER AS rk FROM knn"
 
 GRAPH = f"""{_knn(Q.K_GRAPH)},

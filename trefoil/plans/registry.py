@@ -123,12 +123,12 @@ def _near(metric: str, k: int = K_NEAR):
 
 
 def _split(spark, sf):
+    """Known labels (2 and up) are the reference, the others ask; every vector is used."""
     pts = T.points(spark, sf)
-    return pts.filter(F.col("id") % 5 != 0), pts.filter(F.col("id") % 5 == 0)
+    return pts.filter(F.col("label") >= 2), pts.filter(F.col("label") < 2)
 
 
 def knn_query(spark, sf):
-    """Every vector is used: one fifth asks, the others answer."""
     reference, asking = _split(spark, sf)
     return _r(N.query_knn(reference, asking, K_NEAR), "d")
 
