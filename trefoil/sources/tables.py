@@ -10,12 +10,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def quantity_matrix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
-    """Genes-by-samples matrix: one row per part, one column per nation, summed quantity or 0."""
-    nations = [
-        r[0]
-        for r in table(spark, sf_dir, "nation").select("n_nationkey").orderBy("n_nationkey").collect()
-    ]  # a fixed dimension of 25 rows: the matrix columns
+def expression(spark: SparkSession, sf_dir: str, gene: str = "p_partkey") -> DataFrame:
+    """Dense long expression table: every part in every nation, summed quantity or 0.
+
+    ``gene='p_brand'`` gives several rows per symbol.
+    """
     sold = (
         table(spark, sf_dir, "lineitem")
         .select("l_orderkey", "l_partkey", "l_quantity")
@@ -24,33 +23,25 @@ def quantity_matrix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[s
             F.col("l_orderkey") == F.col("o_orderkey"),
         )
         .join(
-            table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"),
+            table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("sample")),
             F.col("o_custkey") == F.col("c_custkey"),
         )
-        .groupBy("l_partkey")
-        .pivot("c_nationkey", nations)
-        .agg(F.sum("l_quantity"))
+        .groupBy(F.col("l_partkey").alias("row_idx"), "sample")
+        .agg(F.sum("l_quantity").alias("sold"))
     )
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
-    names = [str(c) for c in nations]
-    wide = (
-        parts.join(sold, F.col("p_partkey") == F.col("l_partkey"), "left")
-        .drop("l_partkey")
-        .fillna(0.0, subset=names)
-    )
-    return wide, names
-
-
-def expression(spark: SparkSession, sf_dir: str, gene: str = "p_partkey") -> DataFrame:
-    """Long expression table; ``gene='p_brand'`` gives several rows per symbol."""
-    wide, names = quantity_matrix(spark, sf_dir)
-    ids = wide.select(
+    # The nations are the samples: a fixed dimension of 25 keys, laid out on every part row.
+    nations = [
+        r[0] for r in table(spark, sf_dir, "nation").select("n_nationkey").orderBy("n_nationkey").collect()
+    ]
+    columns = {"p_partkey", gene}
+    cells = table(spark, sf_dir, "part").select(*sorted(columns)).select(
         F.col("p_partkey").alias("row_idx"),
         F.col(gene).cast("string").alias("gene"),
-        *[F.col(f"`{c}`").alias(c) for c in names],
+        F.explode(F.array(*[F.lit(n).cast("int") for n in nations])).alias("sample"),
+    )
+    return cells.join(sold, ["row_idx", "sample"], "left").select(
+        "sample", "row_idx", "gene", F.coalesce("sold", F.lit(0.0)).alias("value")
     )
-    long = ids.unpivot(["row_idx", "gene"], names, "sample", "value")
-    return long.select(F.col("sample").cast("int").alias("sample"), "row_idx", "gene", "value")
 
 
 def gene_sets(spark: SparkSession, sf_dir: str, by: str = "p_brand") -> DataFrame:
