@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 from trefoil.llm.bpe import op6_byte_bpe
+from trefoil.llm.cascade import op8_rule_cascade
 from trefoil.llm.mixing import op1_mix_sources
+from trefoil.llm.quality import op4_pu_quality
 from trefoil.llm.ring import op5_ring_shards
+from trefoil.llm.secrets import op3_secret_scan
 from trefoil.llm.simhash import op2_simhash_near_dedup
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_secret_scan": op3_secret_scan,
+    "op4_pu_quality": op4_pu_quality,
     "op5_ring_shards": op5_ring_shards,
     "op6_byte_bpe": op6_byte_bpe,
+    "op8_rule_cascade": op8_rule_cascade,
 }
