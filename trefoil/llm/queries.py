@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from trefoil.llm.bpe import op6_byte_bpe
 from trefoil.llm.cascade import op8_rule_cascade
+from trefoil.llm.imatch import op7_imatch
 from trefoil.llm.mixing import op1_mix_sources
 from trefoil.llm.quality import op4_pu_quality
 from trefoil.llm.ring import op5_ring_shards
@@ -17,5 +18,6 @@ QUERIES = {
     "op4_pu_quality": op4_pu_quality,
     "op5_ring_shards": op5_ring_shards,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_imatch": op7_imatch,
     "op8_rule_cascade": op8_rule_cascade,
 }
