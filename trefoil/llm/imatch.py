@@ -110,10 +110,12 @@ def fingerprints(docs: DataFrame, terms: DataFrame) -> DataFrame:
     own = F.transform(term_hashes(F.col("text")), lambda h: F.struct(F.lit(0).alias("v"), h.alias("h")))
     new = F.transform(term_hashes(F.col("_edited")), lambda h: F.struct(F.lit(1).alias("v"), h.alias("h")))
     mark = F.array(F.struct(F.lit(2).alias("v"), F.lit(0).cast("long").alias("h")))  # keeps rows without terms
-    exploded = rows.select(
+    # Digests stand below the explode: beside it they would be computed again for every term.
+    digested = rows.select(
         "_bucket", "_rn", "_extra", "doc_id", n.cast("long").alias("n_chars"), F.sha2("_edited", 256).alias("edited_sha256"),
-        F.xxhash64("text").alias("_whole"), F.xxhash64("_edited").alias("_whole_edited"), F.explode(F.concat(mark, own, new)).alias("t"),
+        F.xxhash64("text").alias("_whole"), F.xxhash64("_edited").alias("_whole_edited"), F.concat(mark, own, new).alias("_all"),
     )
+    exploded = digested.withColumn("t", F.explode("_all")).drop("_all")
     kept = exploded.withColumns({"_v": F.col("t.v"), "h": F.col("t.h")}).drop("t")
     marked = terms.where("h <> 0").unionByName(C.rows_of(docs.sparkSession, [(0, 0)], "h bigint, mask bigint"))
     met = kept.join(F.broadcast(marked), "h").where((F.col("_v") == 2) | (F.col("h") != 0))
