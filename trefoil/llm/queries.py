@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from trefoil.llm.anchors import op9_block_anchors
 from trefoil.llm.bpe import op6_byte_bpe
 from trefoil.llm.cascade import op8_rule_cascade
 from trefoil.llm.imatch import op7_imatch
@@ -20,4 +21,5 @@ QUERIES = {
     "op6_byte_bpe": op6_byte_bpe,
     "op7_imatch": op7_imatch,
     "op8_rule_cascade": op8_rule_cascade,
+    "op9_block_anchors": op9_block_anchors,
 }
