@@ -56,15 +56,20 @@ def unpacked(table: pa.Table, kind: np.dtype, which: int = 0) -> np.ndarray:
     return np.frombuffer(b"".join(d for k, d in zip(table["kind"].to_pylist(), table["data"].to_pylist()) if k == which), kind)
 
 
-def filters(sent: DataFrame, segments: int, both: bool = True) -> list[R.Bloom]:
-    """Bloom filters of the hashes in ``sent`` (packed by segment: hash and whether its batch had it twice): of those
-    found twice, and with ``both`` of all. Their size is fixed by ``segments``."""
-    record = np.dtype([("hash", "<u8"), ("twice", "<u1")])
+def filters(sent: DataFrame, segments: int, both: bool = True, widen=None) -> list[R.Bloom]:
+    """Bloom filters of the hashes in ``sent`` (packed by segment; kind 1 if their batch had them twice): of those
+    found twice, and with ``both`` of all. Their size is fixed by ``segments``. ``widen`` makes 64-bit hashes of
+    a segment's shortened ones."""
+    record = np.dtype("<u8") if widen is None else np.dtype("<u4")
 
     def build(table: pa.Table) -> pa.Table:
-        found = unpacked(table, record)
-        segment, order = table["bucket"][0].as_py(), np.argsort(found["hash"], kind="stable")
-        hashes, twice = found["hash"][order], found["twice"][order]
+        segment = table["bucket"][0].as_py()
+        once, double = unpacked(table, record), unpacked(table, record, 1)
+        hashes, twice = np.concatenate([once, double]), np.r_[np.zeros(len(once), bool), np.ones(len(double), bool)]
+        if widen is not None:
+            hashes = widen(segment, hashes)
+        order = np.argsort(hashes, kind="stable")
+        hashes, twice = hashes[order], twice[order]
         first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
         many = (np.diff(np.r_[first, len(hashes)]) > 1) | (np.maximum.reduceat(twice, first) > 0)
         out = []
@@ -83,12 +88,11 @@ def filters(sent: DataFrame, segments: int, both: bool = True) -> list[R.Bloom]:
     return out
 
 
-def sendable(hashes: np.ndarray, segments: int) -> pa.RecordBatch:
+def sendable(hashes: np.ndarray, segments: int) -> Iterator[pa.RecordBatch]:
     """A batch's different hashes, packed by filter segment."""
     found, counts = np.unique(hashes, return_counts=True)
-    records = np.zeros(len(found), np.dtype([("hash", "<u8"), ("twice", "<u1")]))
-    records["hash"], records["twice"] = found, counts > 1
-    return packed(R.Bloom.segment_of(found, segments).astype(np.int64), records)
+    for kind, part in enumerate((found[counts == 1], found[counts > 1])):
+        yield packed(R.Bloom.segment_of(part, segments).astype(np.int64), part, kind)
 
 
 def rows_with_refs(docs: DataFrame, buckets: int) -> DataFrame:
@@ -104,7 +108,7 @@ def blocks(rows: DataFrame, block: int, segments: int) -> DataFrame:
         for batch in batches:
             found = [R.windows_hash(R.word_hashes(t), block)[::block] for t in batch.column("text").to_pylist()]
             if found:
-                yield sendable(np.concatenate(found), segments)
+                yield from sendable(np.concatenate(found), segments)
 
     return rows.select("text").mapInArrow(run, PACKED)
 
@@ -190,7 +194,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, s
     if 2 * block - 1 > window:
         raise ValueError("a window must hold a whole block wherever it starts")
     spark = docs.sparkSession
-    buckets = 8 * C.partitions(spark)
+    buckets = 2 * C.partitions(spark)
     rows = rows_with_refs(docs, buckets)
     every, many = filters(blocks(rows, block, segments), segments)
     shared = spark.sparkContext.broadcast([every.data.tobytes(), many.data.tobytes()])

@@ -11,6 +11,7 @@ from trefoil.llm.quality import op4_pu_quality
 from trefoil.llm.ring import op5_ring_shards
 from trefoil.llm.secrets import op3_secret_scan
 from trefoil.llm.simhash import op2_simhash_near_dedup
+from trefoil.llm.suffix import op10_suffix_dedup
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
@@ -22,4 +23,5 @@ QUERIES = {
     "op7_imatch": op7_imatch,
     "op8_rule_cascade": op8_rule_cascade,
     "op9_block_anchors": op9_block_anchors,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
