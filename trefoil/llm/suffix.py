@@ -106,13 +106,18 @@ def questions(rows: DataFrame, filter_bytes: Broadcast, buckets: int) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         many = R.Bloom(SEGMENTS, np.frombuffer(filter_bytes.value, np.uint8))
         for batch in batches:
-            found, hashes = [], []
+            found, hashes, keys = [], [], []
             for doc, text, ref, home in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "ref", "home"))):
                 raw = np.frombuffer(text.encode(), np.uint8)
                 padded = np.r_[raw, np.zeros(width, np.uint8)]
                 for hashed, place, first, last in samples(raw):
                     keep = many.has(widened_all(hashed))
+                    if not keep.any():
+                        continue
                     place, first, last = place[keep], first[keep], last[keep]
+                    low, high = first[0], last[-1] + LENGTH
+                    seen = R.spans_hash(raw[low:high].astype(np.uint64) + np.uint64(1), first - low, last - low + LENGTH)
+                    keys.append(seen ^ R.mix(((place - first) * 64 + last - first).astype(np.uint64)))
                     part = np.zeros(len(place), _ASK)
                     part["doc"], part["ref"], part["home"] = _NO_ID if doc is None else doc, ref, home
                     part["start"], part["before"], part["windows"] = first, place - first, last - first + 1
@@ -124,12 +129,8 @@ def questions(rows: DataFrame, filter_bytes: Broadcast, buckets: int) -> DataFra
             if not found:
                 continue
             asks, hashed = np.concatenate(found), np.concatenate(hashes)
-            if not len(asks):
-                continue
-            flat = asks["bytes"].reshape(-1).astype(np.uint64) + np.uint64(1)
-            at = np.arange(len(asks)) * width
-            keys = R.spans_hash(flat, at, at + width) ^ R.mix(asks["before"].astype(np.uint64) * np.uint64(64) + asks["windows"])
-            ask, known = _settled(asks, keys)
+            del found
+            ask, known = _settled(asks, np.concatenate(keys))
             bucket = (hashed % np.uint64(buckets)).astype(np.int64)
             yield packed(bucket[ask], asks[ask])
             if len(known):
