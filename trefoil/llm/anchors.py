@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,27 +34,46 @@ from trefoil.llm import rolling as R
 WINDOW, BLOCK = 35, 18
 #: Filter segments of 64 KB each: 32 MB a filter.
 SEGMENTS = 512
-_ASK = np.dtype([("key", "<u8"), ("more", "<u4"), ("twice", "<u4"), ("ref", "<i8"), ("home", "<i4"), ("start", "<i4")])
+_ASK = np.dtype([("key", "<u8"), ("more", "<u4"), ("twice", "<u4"), ("ref", "<i8"), ("start", "<i4")])
 _ANSWER = np.dtype([("ref", "<i8"), ("start", "<i4")])
 
 
 def packed(buckets: np.ndarray, records: np.ndarray, kind: int = 0) -> pa.RecordBatch:
-    """One row a bucket, holding its records' bytes."""
+    """One row a bucket, holding its records column by column, compressed."""
     order = np.argsort(buckets, kind="stable")
     buckets, records = buckets[order], records[order]
     firsts = np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1]]) if len(buckets) else np.zeros(0, int)
     ends = np.r_[firsts[1:], len(buckets)] if len(buckets) else firsts
+    names, press = records.dtype.names, zstandard.ZstdCompressor(level=3)
+    data = []
+    for a, b in zip(firsts, ends):
+        part = records[a:b]
+        data.append(press.compress(part.tobytes() if names is None else b"".join(part[c].tobytes() for c in names)))
     return pa.RecordBatch.from_arrays([
         pa.array(buckets[firsts].astype(np.int32), pa.int32()), pa.array(np.full(len(firsts), kind, np.int32), pa.int32()),
-        pa.array([records[a:b].tobytes() for a, b in zip(firsts, ends)], pa.binary()),
-    ], ["bucket", "kind", "data"])
+        pa.array((ends - firsts).astype(np.int32), pa.int32()), pa.array(data, pa.binary()),
+    ], ["bucket", "kind", "n", "data"])
 
 
-PACKED = "bucket int, kind int, data binary"
+PACKED = "bucket int, kind int, n int, data binary"
 
 
 def unpacked(table: pa.Table, kind: np.dtype, which: int = 0) -> np.ndarray:
-    return np.frombuffer(b"".join(d for k, d in zip(table["kind"].to_pylist(), table["data"].to_pylist()) if k == which), kind)
+    """The records of all rows of one kind."""
+    columns = (table[c].to_pylist() for c in ("kind", "n", "data"))
+    rows = [(n, data) for k, n, data in zip(*columns) if k == which]
+    out, at, press = np.zeros(sum(n for n, _ in rows), kind), 0, zstandard.ZstdDecompressor()
+    for n, data in rows:
+        raw, place = press.decompress(data), 0
+        if kind.names is None:
+            out[at:at + n] = np.frombuffer(raw, kind)
+        else:
+            for c in kind.names:
+                size = n * kind[c].itemsize
+                out[c][at:at + n] = np.frombuffer(raw[place:place + size], kind[c].base).reshape((n, *kind[c].shape))
+                place += size
+        at += n
+    return out
 
 
 def filters(sent: DataFrame, segments: int, both: bool = True, widen=None) -> list[R.Bloom]:
@@ -96,11 +116,10 @@ def sendable(hashes: np.ndarray, segments: int) -> Iterator[pa.RecordBatch]:
 
 
 def rows_with_refs(docs: DataFrame, buckets: int) -> DataFrame:
-    """doc_id, text, ``ref`` (a hash of both) and ``home`` (the bucket where answers meet the text)."""
+    """doc_id, text, ``ref`` (a hash of both) and ``home`` (the bucket where answers meet the text, by ref)."""
     text = C.text_of(docs)
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64("doc_id", text).alias("ref"),
-        F.pmod(F.xxhash64(text, "doc_id"), F.lit(buckets)).cast("int").alias("home"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64("doc_id", text).alias("ref"))
+    return rows.withColumn("home", F.pmod("ref", F.lit(buckets)).cast("int"))
 
 
 def blocks(rows: DataFrame, block: int, segments: int) -> DataFrame:
@@ -134,7 +153,7 @@ def questions(rows: DataFrame, filter_bytes: Broadcast, segments: int, window: i
         every, many = (R.Bloom(segments, np.frombuffer(b, np.uint8)) for b in filter_bytes.value)
         for batch in batches:
             found = []
-            for text, ref, home in zip(*(batch.column(c).to_pylist() for c in ("text", "ref", "home"))):
+            for text, ref in zip(*(batch.column(c).to_pylist() for c in ("text", "ref"))):
                 words = R.word_hashes(text)
                 starts = candidates(words, window, block, every, many)
                 if not len(starts):
@@ -142,7 +161,7 @@ def questions(rows: DataFrame, filter_bytes: Broadcast, segments: int, window: i
                 part = np.zeros(len(starts), _ASK)
                 part["key"] = R.spans_hash(words, starts, starts + window)
                 part["more"] = R.spans_hash(R.word_hashes(text, 1), starts, starts + window, 1) >> np.uint64(32)
-                part["ref"], part["home"], part["start"] = ref, home, starts
+                part["ref"], part["start"] = ref, starts
                 found.append(part)
             if not found:
                 continue
@@ -158,10 +177,10 @@ def questions(rows: DataFrame, filter_bytes: Broadcast, segments: int, window: i
             if len(known):
                 yield packed((known["key"] % np.uint64(buckets)).astype(np.int64), known, 1)
 
-    return rows.select("text", "ref", "home").mapInArrow(run, PACKED)
+    return rows.select("text", "ref").mapInArrow(run, PACKED)
 
 
-def answers(asked: DataFrame) -> DataFrame:
+def answers(asked: DataFrame, buckets: int) -> DataFrame:
     """Windows found again, packed by their document's bucket."""
 
     def decide(table: pa.Table) -> pa.Table:
@@ -177,7 +196,7 @@ def answers(asked: DataFrame) -> DataFrame:
         both = np.concatenate([asks, known])
         out = np.zeros(len(both), _ANSWER)
         out["ref"], out["start"] = both["ref"], both["start"]
-        return pa.Table.from_batches([packed(both["home"].astype(np.int64), out)])
+        return pa.Table.from_batches([packed(both["ref"] % buckets, out)])
 
     return asked.groupBy("bucket").applyInArrow(decide, PACKED)
 
@@ -198,7 +217,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, s
     rows = rows_with_refs(docs, buckets)
     every, many = filters(blocks(rows, block, segments), segments)
     shared = spark.sparkContext.broadcast([every.data.tobytes(), many.data.tobytes()])
-    found = answers(questions(rows, shared, segments, window, block, buckets))
+    found = answers(questions(rows, shared, segments, window, block, buckets), buckets)
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         starts, out = starts_by_ref(right), []

@@ -34,7 +34,7 @@ from trefoil.llm import common as C
 from trefoil.llm import rolling as R
 from trefoil.llm.anchors import PACKED, filters, packed, rows_with_refs, unpacked
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 20
 SPAN = LENGTH - GRAM + 1
 #: 256 filter segments of 64 KB.
 SEGMENTS = 256
@@ -42,7 +42,7 @@ SEGMENTS = 256
 _CHUNK = 1 << 20
 _NO_ID = (1 << 63) - 1
 _PLACE = np.uint64((1 << 24) - 1)
-_ASK = np.dtype([("doc", "<i8"), ("ref", "<i8"), ("home", "<i4"), ("start", "<i4"), ("before", "u1"), ("windows", "u1"), ("bytes", "u1", (LENGTH + SPAN - 1,))])
+_ASK = np.dtype([("doc", "<i8"), ("ref", "<i8"), ("start", "<i4"), ("before", "u1"), ("windows", "u1"), ("bytes", "u1", (LENGTH + SPAN - 1,))])
 _ANSWER = np.dtype([("ref", "<i8"), ("start", "<i4"), ("windows", "<i4")])
 
 
@@ -107,7 +107,7 @@ def questions(rows: DataFrame, filter_bytes: Broadcast, buckets: int) -> DataFra
         many = R.Bloom(SEGMENTS, np.frombuffer(filter_bytes.value, np.uint8))
         for batch in batches:
             found, hashes, keys = [], [], []
-            for doc, text, ref, home in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "ref", "home"))):
+            for doc, text, ref in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "ref"))):
                 raw = np.frombuffer(text.encode(), np.uint8)
                 padded = np.r_[raw, np.zeros(width, np.uint8)]
                 for hashed, place, first, last in samples(raw):
@@ -119,7 +119,7 @@ def questions(rows: DataFrame, filter_bytes: Broadcast, buckets: int) -> DataFra
                     seen = R.spans_hash(raw[low:high].astype(np.uint64) + np.uint64(1), first - low, last - low + LENGTH)
                     keys.append(seen ^ R.mix(((place - first) * 64 + last - first).astype(np.uint64)))
                     part = np.zeros(len(place), _ASK)
-                    part["doc"], part["ref"], part["home"] = _NO_ID if doc is None else doc, ref, home
+                    part["doc"], part["ref"] = _NO_ID if doc is None else doc, ref
                     part["start"], part["before"], part["windows"] = first, place - first, last - first + 1
                     own = padded[first[:, None] + np.arange(width)]
                     own[np.arange(width) >= (last - first + LENGTH)[:, None]] = 0
@@ -134,13 +134,12 @@ def questions(rows: DataFrame, filter_bytes: Broadcast, buckets: int) -> DataFra
             bucket = (hashed % np.uint64(buckets)).astype(np.int64)
             yield packed(bucket[ask], asks[ask])
             if len(known):
-                out = np.zeros(len(known), np.dtype([("home", "<i4"), ("answer", _ANSWER)]))
-                out["home"] = asks["home"][known]
+                out = np.zeros(len(known), _ANSWER)
                 for name in ("ref", "start", "windows"):
-                    out["answer"][name] = asks[name][known]
+                    out[name] = asks[name][known]
                 yield packed(bucket[known], out, 1)
 
-    return rows.select("doc_id", "text", "ref", "home").mapInArrow(run, PACKED)
+    return rows.select("doc_id", "text", "ref").mapInArrow(run, PACKED)
 
 
 def repeated(asks: np.ndarray) -> np.ndarray:
@@ -185,13 +184,12 @@ def repeated(asks: np.ndarray) -> np.ndarray:
     return back
 
 
-def answers(asked: DataFrame) -> DataFrame:
+def answers(asked: DataFrame, buckets: int) -> DataFrame:
     """Runs of removed windows, packed by their document's bucket."""
 
     def decide(table: pa.Table) -> pa.Table:
         asks = unpacked(table, _ASK)
-        known = unpacked(table, np.dtype([("home", "<i4"), ("answer", _ANSWER)]), 1)
-        homes, out = [known["home"]], [known["answer"]]
+        out = [unpacked(table, _ANSWER, 1)]
         if len(asks):
             # By window start: offset ``before`` comes first.
             marks = repeated(asks)
@@ -202,9 +200,9 @@ def answers(asked: DataFrame) -> DataFrame:
             _, end = np.nonzero(edges == -1)
             found = np.zeros(len(row), _ANSWER)
             found["ref"], found["start"], found["windows"] = asks["ref"][row], asks["start"][row] + first, end - first
-            homes.append(asks["home"][row])
             out.append(found)
-        return pa.Table.from_batches([packed(np.concatenate(homes).astype(np.int64), np.concatenate(out))])
+        both = np.concatenate(out)
+        return pa.Table.from_batches([packed(both["ref"] % buckets, both)])
 
     return asked.groupBy("bucket").applyInArrow(decide, PACKED)
 
@@ -215,7 +213,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     buckets = 2 * C.partitions(spark)
     rows = rows_with_refs(docs, buckets)
     many = filters(grams(rows), SEGMENTS, both=False, widen=widened)[1]
-    found = answers(questions(rows, spark.sparkContext.broadcast(many.data.tobytes()), buckets))
+    found = answers(questions(rows, spark.sparkContext.broadcast(many.data.tobytes()), buckets), buckets)
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         runs = unpacked(right, _ANSWER)
