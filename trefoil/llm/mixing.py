@@ -78,11 +78,11 @@ def plan_mix(sizes: DataFrame, weights: DataFrame, max_epochs: float = 3.0, seed
 
 
 def with_copies(docs: DataFrame, plan: DataFrame, seed: int = 42) -> DataFrame:
-    """``docs`` with source_size, target and ``_copies``, how often the mix takes the row."""
+    """``docs`` with ``_source_size, _target`` and ``_copies``, how often the mix takes the row."""
     keyed = docs.withColumn("_key", key_of(F.col("source")))
-    joined = C.join_by_size(keyed, plan, "_key", F.col("doc_id"))
-    extra = F.when(bin_of(F.col("doc_id"), seed) < F.col("cut"), 1).otherwise(0)
-    return joined.withColumn("_copies", (F.col("whole") + extra).cast("long")).drop("_key", "whole", "cut")
+    joined = C.join_by_size(keyed, plan.select("_key", *[F.col(c).alias(f"_{c}") for c in plan.columns if c != "_key"]), "_key", F.col("doc_id"))
+    extra = F.when(bin_of(F.col("doc_id"), seed) < F.col("_cut"), 1).otherwise(0)
+    return joined.withColumn("_copies", (F.col("_whole") + extra).cast("long")).drop("_key", "_whole", "_cut")
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -101,7 +101,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, max_epochs: float = 3
     """The mixed rows: each document as often as the mix takes it, with the columns of ``docs``."""
     sizes = sized(docs)
     plan = plan_mix(sizes, turn_weights(sizes) if weights is None else weights, max_epochs, seed)
-    chosen = with_copies(docs.select(*docs.columns), plan, seed).where("_copies > 0")
+    chosen = with_copies(docs, plan, seed).where("_copies > 0")
     return chosen.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
 
 
@@ -109,4 +109,4 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = sized(C.documents(spark, sf_dir))
     plan = plan_mix(sizes, turn_weights(sizes))
     return with_copies(sizes, plan).select(
-        "doc_id", "size", "source_size", "target", (F.col("_copies") * F.col("size")).alias("taken"))
+        "doc_id", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("size")).alias("taken"))
