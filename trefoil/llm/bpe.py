@@ -92,19 +92,20 @@ def stitches(cut: DataFrame, pattern: str, chunk: int, overlap: int) -> DataFram
     return both.select("_row", F.array_min(F.array_intersect("tail", "next")).alias("_cut")).where("_cut is not null")
 
 
+def _encoded(encoding: tiktoken.Encoding, text: str, with_ids: bool) -> tuple:
+    """A text's ids, or their number and digests; a batch never holds more than one text's list of ids."""
+    ids = encoding.encode_ordinary(text)
+    raw = np.asarray(ids, "<u4").tobytes()
+    return (raw,) if with_ids else (len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(encoding.decode_bytes(ids)).hexdigest())
+
+
 def _encode_rows(vocabulary: Vocabulary, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = vocabulary()
         for batch in batches:
-            ids = [encoding.encode_ordinary(t or "") for t in batch.column("text").to_pylist()]
-            raw = [np.asarray(i, "<u4").tobytes() for i in ids]
-            if with_ids:
-                out = [pa.array(raw, pa.binary())]
-            else:
-                out = [
-                    pa.array([len(i) for i in ids], pa.int64()), pa.array([hashlib.sha256(r).hexdigest() for r in raw]),
-                    pa.array([hashlib.sha256(encoding.decode_bytes(i)).hexdigest() for i in ids]),
-                ]
+            rows = [_encoded(encoding, t.as_py() or "", with_ids) for t in batch.column("text")]
+            kinds = [pa.binary()] if with_ids else [pa.int64(), pa.string(), pa.string()]
+            out = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
             kept = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *out], [*kept, *(["ids"] if with_ids else DIGEST)])
 
