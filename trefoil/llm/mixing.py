@@ -101,8 +101,9 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, max_epochs: float = 3
     """The mixed rows: each document as often as the mix takes it, with the columns of ``docs``."""
     sizes = sized(docs)
     plan = plan_mix(sizes, turn_weights(sizes) if weights is None else weights, max_epochs, seed)
-    chosen = with_copies(docs, plan, seed).where("_copies > 0")
-    return chosen.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    rows = docs.select("doc_id", "source", F.struct(*docs.columns).alias("_row"))  # whatever its columns are called
+    chosen = with_copies(rows, plan, seed).where("_copies > 0")
+    return chosen.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("_row.*")
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

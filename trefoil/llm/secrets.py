@@ -161,11 +161,13 @@ def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
             F.when(x["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"]).alias("out"))
 
     clean = C.let(F.aggregate("_spans", empty, step), lambda r: F.concat(r["out"], F.substr(F.col("text"), r["at"] + 1)))
-    out = scan(docs).withColumn("text", F.when(F.size("_spans") > 0, clean).otherwise(F.col("text")))
+    found = scan(docs.select("text", F.struct(*docs.columns).alias("_row")))
+    some = F.size("_spans") > 0
+    row = F.when(some, F.col("_row").withField("text", clean)).otherwise(F.col("_row"))
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.size("_spans") > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        count = F.char_length(clean).cast(docs.schema["n_chars"].dataType)
+        row = F.when(some, F.col("_row").withField("text", clean).withField("n_chars", count)).otherwise(F.col("_row"))
+    return found.select(row.alias("_row")).select("_row.*")
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
