@@ -34,7 +34,7 @@ from trefoil.llm import common as C
 from trefoil.llm import rolling as R
 from trefoil.llm.anchors import PACKED, filters, packed, rows_with_refs, unpacked
 
-LENGTH, GRAM = 50, 20
+LENGTH, GRAM = 50, 26
 SPAN = LENGTH - GRAM + 1
 #: 256 filter segments of 64 KB.
 SEGMENTS = 256
