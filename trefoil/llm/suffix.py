@@ -38,6 +38,8 @@ LENGTH, GRAM = 50, 26
 SPAN = LENGTH - GRAM + 1
 #: 256 filter segments of 64 KB.
 SEGMENTS = 256
+#: Samples that a task holds before it sends them.
+HELD_ROWS = 120_000
 #: Windows of one text looked at together; bounds memory on very long texts.
 _CHUNK = 1 << 20
 _NO_ID = (1 << 63) - 1
@@ -103,11 +105,26 @@ def questions(rows: DataFrame, filter_bytes: Broadcast, buckets: int) -> DataFra
     """Kind 0: samples by bucket, with the bytes of their windows; kind 1: windows settled in their batch."""
     width = LENGTH + SPAN - 1
 
+    def sent(found: list, hashes: list, keys: list) -> Iterator[pa.RecordBatch]:
+        if not found:
+            return
+        asks, hashed = np.concatenate(found), np.concatenate(hashes)
+        found.clear()
+        ask, known = _settled(asks, np.concatenate(keys))
+        bucket = (hashed % np.uint64(buckets)).astype(np.int64)
+        if len(known):
+            out = np.zeros(len(known), _ANSWER)
+            for name in ("ref", "start", "windows"):
+                out[name] = asks[name][known]
+            yield packed(bucket[known], out, 1)
+        yield packed(bucket[ask], asks[ask])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         many = R.Bloom(SEGMENTS, np.frombuffer(filter_bytes.value, np.uint8))
         for batch in batches:
-            found, hashes, keys = [], [], []
-            for doc, text, ref in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "ref"))):
+            found, hashes, keys, held = [], [], [], 0
+            for at in range(batch.num_rows):
+                doc, text, ref = (batch.column(c)[at].as_py() for c in ("doc_id", "text", "ref"))
                 raw = np.frombuffer(text.encode(), np.uint8)
                 padded = np.r_[raw, np.zeros(width, np.uint8)]
                 for hashed, place, first, last in samples(raw):
@@ -126,18 +143,11 @@ def questions(rows: DataFrame, filter_bytes: Broadcast, buckets: int) -> DataFra
                     part["bytes"] = own
                     found.append(part)
                     hashes.append(hashed[keep])
-            if not found:
-                continue
-            asks, hashed = np.concatenate(found), np.concatenate(hashes)
-            del found
-            ask, known = _settled(asks, np.concatenate(keys))
-            bucket = (hashed % np.uint64(buckets)).astype(np.int64)
-            yield packed(bucket[ask], asks[ask])
-            if len(known):
-                out = np.zeros(len(known), _ANSWER)
-                for name in ("ref", "start", "windows"):
-                    out[name] = asks[name][known]
-                yield packed(bucket[known], out, 1)
+                    held += len(place)
+                if held >= HELD_ROWS:
+                    yield from sent(found, hashes, keys)
+                    found, hashes, keys, held = [], [], [], 0
+            yield from sent(found, hashes, keys)
 
     return rows.select("doc_id", "text", "ref").mapInArrow(run, PACKED)
 
