@@ -264,8 +264,8 @@ def oracles() -> dict[str, str]:
         "ssgsea_prefix": _plain(where="""p_brand IN (SELECT p_brand FROM part GROUP BY 1
             HAVING count(*) BETWEEN 4 AND 10000 ORDER BY 1 LIMIT 10)"""),
         "ssgsea_matrix": f"""WITH {_scores(member='p_type')}
-            PIVOT (SELECT sample, set_name, round(score, 6) AS score FROM scores)
-            ON set_name USING first(score) GROUP BY sample""",
+            SELECT sample, '{{' || string_agg('"' || set_name || '":' || CAST(CAST(round(score, 6) AS DECIMAL(20, 6)) AS VARCHAR),
+                ',' ORDER BY set_name) || '}}' AS scores FROM scores GROUP BY sample""",
         "ssgsea_checksum": f"""WITH {_scores()} SELECT round(sum(score), 4) AS checksum,
             count(DISTINCT sample) AS n_samples, count(DISTINCT set_name) AS n_sets FROM scores""",
         "avg_rank": f"WITH {EXPR} SELECT sample, row_idx, r AS avg_rank FROM ranked",
@@ -277,7 +277,7 @@ def oracles() -> dict[str, str]:
         "align_sets": f"""WITH {EXPR} SELECT p_brand AS set_name, count(*) AS n_genes FROM part
             WHERE p_partkey IN (SELECT row_idx FROM expr WHERE value > 0) GROUP BY 1""",
         "align_expression": f"""WITH {EXPR} SELECT sample, count(*) AS n_rows, round(sum(value), 4) AS total
-            FROM expr WHERE value > 0 AND p_type < 'M' GROUP BY 1""",
+            FROM expr WHERE value > 0 GROUP BY 1""",
         "knn_query": f"WITH {_knn(Q.K_NEAR, pair=SPLIT)} {KNN_OUT}",
         "knn_pruned": f"WITH {_knn(Q.K_NEAR)} {KNN_OUT}",
         "knn_precomputed": f"WITH {_knn(Q.K_NEAR)} {KNN_OUT}",

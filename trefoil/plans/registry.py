@@ -67,11 +67,10 @@ def ssgsea_prefix(spark, sf):
 
 
 def ssgsea_matrix(spark, sf):
-    ex, sets = _expr(spark, sf), T.gene_sets(spark, sf, "p_type")
-    scores = E.score(ex, sets)
-    names = [r[0] for r in E.qualifying_sets(sets, ex, 1, 10 ** 12).select("set_name").orderBy("set_name").collect()]
-    wide = E.score_matrix(scores, names)
-    return wide.select("sample", *[F.round(F.col(f"`{n}`"), 6).alias(n) for n in names])
+    """The matrix as one map a sample, so that the set names needn't reach the driver."""
+    scores = _r(E.score(_expr(spark, sf), T.gene_sets(spark, sf, "p_type")), "score")
+    return scores.groupBy("sample").agg(F.to_json(F.map_from_entries(
+        F.array_sort(F.collect_list(F.struct("set_name", F.col("score").cast("decimal(20,6)")))))).alias("scores"))
 
 
 def ssgsea_checksum(spark, sf):
@@ -107,7 +106,7 @@ def align_sets(spark, sf):
 
 
 def align_expression(spark, sf):
-    by_type = T.gene_sets(spark, sf, "p_type").filter(F.col("set_name") < "M")
+    by_type = T.gene_sets(spark, sf, "p_type")
     rows, _ = E.align(_bought(spark, sf), by_type)
     return rows.groupBy("sample").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("value"), 4).alias("total"))
 
