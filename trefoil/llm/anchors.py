@@ -38,13 +38,13 @@ _ASK = np.dtype([("key", "<u8"), ("more", "<u4"), ("twice", "<u4"), ("ref", "<i8
 _ANSWER = np.dtype([("ref", "<i8"), ("start", "<i4")])
 
 
-def packed(buckets: np.ndarray, records: np.ndarray, kind: int = 0) -> pa.RecordBatch:
+def packed(buckets: np.ndarray, records: np.ndarray, kind: int = 0, press: zstandard.ZstdCompressor | None = None) -> pa.RecordBatch:
     """One row a bucket, holding its records column by column, compressed."""
     order = np.argsort(buckets, kind="stable")
     buckets, records = buckets[order], records[order]
     firsts = np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1]]) if len(buckets) else np.zeros(0, int)
     ends = np.r_[firsts[1:], len(buckets)] if len(buckets) else firsts
-    names, press = records.dtype.names, zstandard.ZstdCompressor(level=3)
+    names, press = records.dtype.names, press or zstandard.ZstdCompressor(level=3)
     data = []
     for a, b in zip(firsts, ends):
         part = records[a:b]
@@ -58,11 +58,11 @@ def packed(buckets: np.ndarray, records: np.ndarray, kind: int = 0) -> pa.Record
 PACKED = "bucket int, kind int, n int, data binary"
 
 
-def unpacked(table: pa.Table, kind: np.dtype, which: int = 0) -> np.ndarray:
+def unpacked(table: pa.Table, kind: np.dtype, which: int = 0, press: zstandard.ZstdDecompressor | None = None) -> np.ndarray:
     """The records of all rows of one kind."""
     columns = (table[c].to_pylist() for c in ("kind", "n", "data"))
     rows = [(n, data) for k, n, data in zip(*columns) if k == which]
-    out, at, press = np.zeros(sum(n for n, _ in rows), kind), 0, zstandard.ZstdDecompressor()
+    out, at, press = np.zeros(sum(n for n, _ in rows), kind), 0, press or zstandard.ZstdDecompressor()
     for n, data in rows:
         raw, place = press.decompress(data), 0
         if kind.names is None:

@@ -13,8 +13,9 @@ same offset, so a window is the bytes before its sample and a prefix of the suff
 4. Adjacent prefixes: suffixes that share the window's remaining bytes are neighbours in the order; among them, windows with
    the same bytes before the sample are equal, and those of a document above the smallest doc_id are removed.
 
-Samples with equal surroundings in several documents of a batch are settled there but for the smallest doc_id, so copies of
-a text or passage send a row a batch, not a row a document.
+Samples whose surroundings a task has seen in a smaller document are settled there, so copies of a text or passage send a row
+a task, not a row a document. The task's table of surroundings has a fixed size; what it forgets is asked again. The bytes that
+are sent are compressed with a shared dictionary, made from a few texts, which decides no result.
 
 Defined cases: a null text is empty, and one shorter than LENGTH keeps all; rows that share a doc_id don't remove each other; a null
 doc_id counts as larger than all others; an empty table gives no rows; further columns are passed by.
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +42,10 @@ SPAN = LENGTH - GRAM + 1
 SEGMENTS = 256
 #: Samples that a task holds before it sends them.
 HELD_ROWS = 120_000
+#: Surroundings that a task remembers (16 bytes each).
+SLOTS = 1 << 21
+#: Texts, bytes of each, and size of the dictionary for compression.
+DICTIONARY_TEXTS, DICTIONARY_PART, DICTIONARY_BYTES = 400, 8192, 1 << 16
 #: Windows of one text looked at together; bounds memory on very long texts.
 _CHUNK = 1 << 20
 _NO_ID = (1 << 63) - 1
@@ -91,63 +97,100 @@ def grams(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(run, PACKED)
 
 
-def _settled(asks: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which rows of a batch to ask with, and which are answered by an equal row of a smaller document."""
-    order = np.lexsort((asks["doc"], keys))
-    new = np.r_[True, keys[order][1:] != keys[order][:-1]]
-    first = np.flatnonzero(new)
-    least = np.repeat(asks["doc"][order][first], np.diff(np.r_[first, len(order)]))
-    above = asks["doc"][order] > least
-    return order[~above], order[above]
+class Seen:
+    """The document in which surroundings were last asked about, in a table of fixed size where a later entry replaces an
+    earlier one of its slot."""
 
+    def __init__(self, slots: int):
+        self.keys, self.docs = np.zeros(slots, np.uint64), np.full(slots, _NO_ID)
 
-def questions(rows: DataFrame, filter_bytes: Broadcast, buckets: int) -> DataFrame:
-    """Kind 0: samples by bucket, with the bytes of their windows; kind 1: windows settled in their batch."""
-    width = LENGTH + SPAN - 1
+    def below(self, keys: np.ndarray, doc: int) -> np.ndarray:
+        """Which keys are known from a document smaller than ``doc``; the others are then known from ``doc``."""
+        slots = (keys % np.uint64(len(self.keys))).astype(np.int64)
+        known = (self.keys[slots] == keys) & (self.docs[slots] < doc)
+        self.keys[slots[~known]] = keys[~known]
+        self.docs[slots[~known]] = doc
+        return known
+
+
+def dictionary(rows: DataFrame) -> bytes:
+    """What the compressor knows beforehand; empty if there are too few texts to learn from."""
+    some = rows.where("text != ''").select(F.left("text", F.lit(DICTIONARY_PART)).alias("text")).limit(DICTIONARY_TEXTS)
+    texts = [r["text"].encode() for r in some.collect()]
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, [t[a:a + 512] for t in texts for a in range(0, len(t), 512)]).as_bytes()
+    except zstandard.ZstdError:
+        return b""
+
+
+def compressor(known: bytes) -> zstandard.ZstdCompressor:
+    if not known:
+        return zstandard.ZstdCompressor(level=3)
+    data = zstandard.ZstdCompressionDict(known)
+    data.precompute_compress(level=3)
+    return zstandard.ZstdCompressor(level=3, dict_data=data)
+
+
+def decompressor(known: bytes) -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(known) if known else None)
 
-    def sent(found: list, hashes: list, keys: list) -> Iterator[pa.RecordBatch]:
-        if not found:
-            return
-        asks, hashed = np.concatenate(found), np.concatenate(hashes)
-        found.clear()
-        ask, known = _settled(asks, np.concatenate(keys))
-        bucket = (hashed % np.uint64(buckets)).astype(np.int64)
-        if len(known):
-            out = np.zeros(len(known), _ANSWER)
-            for name in ("ref", "start", "windows"):
-                out[name] = asks[name][known]
-            yield packed(bucket[known], out, 1)
-        yield packed(bucket[ask], asks[ask])
+
+def _joined(runs: np.ndarray) -> np.ndarray:
+    """Runs of windows (in order within their document) with those that touch made one."""
+    new = np.r_[True, (runs["ref"][1:] != runs["ref"][:-1]) | (runs["start"][1:] != runs["start"][:-1] + runs["windows"][:-1])]
+    out = runs[new]
+    out["windows"] = np.add.reduceat(runs["windows"], np.flatnonzero(new))
+    return out
+
+
+def questions(rows: DataFrame, filter_bytes: Broadcast, known_bytes: Broadcast, buckets: int) -> DataFrame:
+    """Kind 0: samples by bucket, with the bytes of their windows; kind 1: windows settled in their task."""
+    width = LENGTH + SPAN - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         many = R.Bloom(SEGMENTS, np.frombuffer(filter_bytes.value, np.uint8))
+        seen, press = Seen(SLOTS), compressor(known_bytes.value)
+        found, hashes, settled, held = [], [], [], 0
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            if settled:
+                runs = _joined(np.concatenate(settled))
+                yield packed(runs["ref"] % buckets, runs, 1)
+            if found:
+                yield packed((np.concatenate(hashes) % np.uint64(buckets)).astype(np.int64), np.concatenate(found), 0, press)
+
         for batch in batches:
-            found, hashes, keys, held = [], [], [], 0
             for at in range(batch.num_rows):
                 doc, text, ref = (batch.column(c)[at].as_py() for c in ("doc_id", "text", "ref"))
+                doc = _NO_ID if doc is None else doc
                 raw = np.frombuffer(text.encode(), np.uint8)
                 padded = np.r_[raw, np.zeros(width, np.uint8)]
                 for hashed, place, first, last in samples(raw):
                     keep = many.has(widened_all(hashed))
                     if not keep.any():
                         continue
-                    place, first, last = place[keep], first[keep], last[keep]
+                    hashed, place, first, last = hashed[keep], place[keep], first[keep], last[keep]
                     low, high = first[0], last[-1] + LENGTH
-                    seen = R.spans_hash(raw[low:high].astype(np.uint64) + np.uint64(1), first - low, last - low + LENGTH)
-                    keys.append(seen ^ R.mix(((place - first) * 64 + last - first).astype(np.uint64)))
+                    key = R.spans_hash(raw[low:high].astype(np.uint64) + np.uint64(1), first - low, last - low + LENGTH)
+                    known = seen.below(key ^ R.mix(((place - first) * 64 + last - first).astype(np.uint64)), doc)
+                    if known.any():
+                        runs = np.zeros(np.count_nonzero(known), _ANSWER)
+                        runs["ref"], runs["start"], runs["windows"] = ref, first[known], (last - first)[known] + 1
+                        settled.append(_joined(runs))
+                    hashed, place, first, last = hashed[~known], place[~known], first[~known], last[~known]
                     part = np.zeros(len(place), _ASK)
-                    part["doc"], part["ref"] = _NO_ID if doc is None else doc, ref
+                    part["doc"], part["ref"] = doc, ref
                     part["start"], part["before"], part["windows"] = first, place - first, last - first + 1
                     own = padded[first[:, None] + np.arange(width)]
                     own[np.arange(width) >= (last - first + LENGTH)[:, None]] = 0
                     part["bytes"] = own
                     found.append(part)
-                    hashes.append(hashed[keep])
+                    hashes.append(hashed)
                     held += len(place)
-                if held >= HELD_ROWS:
-                    yield from sent(found, hashes, keys)
-                    found, hashes, keys, held = [], [], [], 0
-            yield from sent(found, hashes, keys)
+                if held >= HELD_ROWS or len(settled) >= HELD_ROWS:
+                    yield from sent()
+                    found, hashes, settled, held = [], [], [], 0
+        yield from sent()
 
     return rows.select("doc_id", "text", "ref").mapInArrow(run, PACKED)
 
@@ -194,11 +237,11 @@ def repeated(asks: np.ndarray) -> np.ndarray:
     return back
 
 
-def answers(asked: DataFrame, buckets: int) -> DataFrame:
+def answers(asked: DataFrame, known_bytes: Broadcast, buckets: int) -> DataFrame:
     """Runs of removed windows, packed by their document's bucket."""
 
     def decide(table: pa.Table) -> pa.Table:
-        asks = unpacked(table, _ASK)
+        asks = unpacked(table, _ASK, 0, decompressor(known_bytes.value))
         out = [unpacked(table, _ANSWER, 1)]
         if len(asks):
             # By window start: offset ``before`` comes first.
@@ -223,7 +266,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     buckets = 2 * C.partitions(spark)
     rows = rows_with_refs(docs, buckets)
     many = filters(grams(rows), SEGMENTS, both=False, widen=widened)[1]
-    found = answers(questions(rows, spark.sparkContext.broadcast(many.data.tobytes()), buckets), buckets)
+    known = spark.sparkContext.broadcast(dictionary(rows))
+    found = answers(questions(rows, spark.sparkContext.broadcast(many.data.tobytes()), known, buckets), known, buckets)
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         runs = unpacked(right, _ANSWER)
