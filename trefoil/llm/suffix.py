@@ -68,7 +68,8 @@ def samples(raw: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
             reach += step
         first = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
         last = np.r_[first[1:], len(low)] - 1
-        yield low[first] >> np.uint64(24), (low[first] & _PLACE).astype(np.int64) + at, first + at, last + at
+        # Lowest hashes are small numbers: mixed again, they spread evenly over filter segments.
+        yield R.mix(low[first] >> np.uint64(24)) >> np.uint64(24), (low[first] & _PLACE).astype(np.int64) + at, first + at, last + at
 
 
 def widened(segment: int, low: np.ndarray) -> np.ndarray:
