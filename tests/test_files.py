@@ -47,6 +47,8 @@ def test_S4_S5_expression_and_K5(spark, tmp_path):
         files.read_expression(spark, text(tmp_path, "y.tsv", "gene\ta\n"))
     with pytest.raises(ValueError):
         files.read_expression(spark, text(tmp_path, "z.tsv", body), 9)
+    with pytest.raises(ValueError):
+        files.read_expression(spark, text(tmp_path, "w.tsv", "gene_symbol\ta\ta\nX\t1\t2\n"))
     with pytest.raises(Exception):
         files.read_expression(spark, text(tmp_path, "w.tsv", "gene_symbol\ta\nX\tnope\n")).collect()
     sinks.write_expression(got, str(tmp_path / "out"), ["a", "b"])

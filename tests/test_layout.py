@@ -161,6 +161,8 @@ def test_T9b_set_perplexity_and_T14(spark, blobs):
     assert aff.set_perplexity(10) is aff
     small = aff.set_perplexity(5)
     assert small.k == 15 and small.p.agg(F.sum("p")).first()[0] == pytest.approx(1)
+    one_way = S.Affinities.build(frame(spark, blobs[0]), perplexity=10, symmetrize=False).set_perplexity(5)
+    assert one_way.p.groupBy("i").count().agg(F.min("count"), F.max("count")).first() == (15, 15)
     with pytest.raises(ValueError):
         aff.set_perplexity(20)
     with pytest.raises(TypeError):

@@ -34,6 +34,7 @@ class Affinities:
     sigma: float | None = None
     metric: str | Callable = "euclidean"
     params: dict | None = None
+    symmetrize: bool | str = True
 
     @property
     def perplexity(self) -> float:
@@ -60,7 +61,7 @@ class Affinities:
         else:
             k = A.n_neighbors(n, max(scales))
         knn = cut_lineage(N.nearest(points, k, method, metric, params, seed))
-        made = Affinities(knn, kind, points, knn, k, n, scales, sigma, metric, params)
+        made = Affinities(knn, kind, points, knn, k, n, scales, sigma, metric, params, symmetrize)
         made.p = cut_lineage(made._kernel(symmetrize))
         return made
 
@@ -82,8 +83,8 @@ class Affinities:
         kept = A.limit_neighbors(self.knn, perplexity, self.k)
         k = min(self.k, int(3 * perplexity))
         made = Affinities(kept, self.kind, self.points, kept, k, self.n, [float(perplexity)], self.sigma,
-                          self.metric, self.params)
-        made.p = cut_lineage(made._kernel(True))
+                          self.metric, self.params, self.symmetrize)
+        made.p = cut_lineage(made._kernel(self.symmetrize))
         return made
 
     def to_new(self, points: DataFrame, perplexity: float | list[float] | None = None) -> tuple[DataFrame, DataFrame]:

@@ -50,7 +50,9 @@ def read_expression(spark: SparkSession, path: str, n_samples: int | None = None
     samples = names[1:] if n_samples is None else names[1: n_samples + 1]
     if n_samples is not None and len(samples) < n_samples:
         raise ValueError(f"{path} has {len(names) - 1} samples, need {n_samples}")
-    # Positional names keep odd or repeated sample names out of the plan.
+    if len(set(samples)) < len(samples):
+        raise ValueError(f"{path} names a sample twice")
+    # Positional names keep odd sample names out of the plan.
     cols = [f"s{c}" for c in range(len(names) - 1)]
     schema = T.StructType(
         [T.StructField("gene", T.StringType())] + [T.StructField(c, T.DoubleType()) for c in cols]
