@@ -64,6 +64,30 @@ def test_equal_rows_are_split_not_collected(spark):
     assert near.filter("i < 90").agg(F.max("d")).first()[0] == 0.0
 
 
+def test_blocks_keep_their_size_beyond_the_first_pivots(spark, blobs, monkeypatch):
+    monkeypatch.setattr(N, "MAX_PIVOTS", 3)
+    monkeypatch.setattr(N, "FANOUT", 4)
+    assert got(N.exact_knn(frame(spark, blobs), 7, block_rows=10)) == brute(blobs, blobs, 7, "euclidean", True)
+    pts = frame(spark, np.random.default_rng(3).normal(0, 1, (600, 4)))
+    rows = N._prepare(pts, N.space_of("euclidean"))
+    made = N._near_blocks(rows, 600, metrics.euclidean, 2, 20, 0)
+    sizes = [r["count"] for r in made.groupBy("cell", "part").count().collect()]
+    assert max(sizes) <= 2 * 40 and sum(sizes) == 1200
+    assert made.filter("part > 0").count() == 0  # parted by pivots, not by hash
+    found = N.approx_knn(pts, 5, block_rows=20, tables=3)
+    assert N.recall(found, N.exact_knn(pts, 5)).first()[0] > 0.85
+
+
+def test_X8_zero_vectors_and_X4_parameters_from_the_data(spark, blobs):
+    x = np.vstack([blobs[:30], np.zeros((3, 5)), -blobs[:5]])
+    for size in (7, 4096):
+        assert got(N.exact_knn(frame(spark, x), 37, "cosine", block_rows=size)) == brute(x, x, 37, "cosine", True)
+    for metric, params in (("seuclidean", {"V": x.var(0, ddof=1)}), ("mahalanobis", {"VI": np.linalg.inv(np.cov(x.T))})):
+        found = {i: [round(d, 5) for _, d in v] for i, v in got(N.exact_knn(frame(spark, x), 4, metric)).items()}
+        want = {i: [round(d, 5) for _, d in v] for i, v in brute(x, x, 4, metric, True, params).items()}
+        assert found == want
+
+
 def test_T2_T3_T4_approximate_recall_and_T7_dispatch(spark, blobs):
     pts = frame(spark, np.random.default_rng(3).normal(0, 1, (600, 8)))
     truth = N.exact_knn(pts, 10).persist()

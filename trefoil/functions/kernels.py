@@ -43,13 +43,13 @@ def block_top_k(q_ids, q, r_ids, r, k, fn, euclid: bool, drop_same: bool):
             for row in range(len(part)):
                 cols = near[row]
                 edge = est[row, cols].max()
-                dist = np.sqrt(np.sum((r[cols] - part[row]) ** 2, -1))
+                dist = fn(r[cols], part[row])
                 if drop_same:
                     dist = np.where(r_ids[cols] == q_ids[at + row], np.inf, dist)
                 kth = np.sort(dist)[min(k, len(dist)) - 1]
                 if not (kth ** 2 + slack[row, 0] < edge):
                     cols = np.arange(len(r))
-                    dist = np.sqrt(np.sum((r - part[row]) ** 2, -1))
+                    dist = fn(r, part[row])
                     if drop_same:
                         dist = np.where(r_ids == q_ids[at + row], np.inf, dist)
                 emit(at + row, dist, r_ids[cols])

@@ -6,8 +6,10 @@ keeping only the k best of every query, and a ranked merge finishes.
 
 * exact: a query block meets every reference block that the triangle inequality cannot rule out
   (all of them for metrics without it);
-* approximate: a row meets the blocks of its few closest pivots, then optionally its neighbours'
-  neighbours.
+* approximate: a row meets the blocks of its few closest pivots (crowded cells get pivots of their own, level by
+  level), then optionally its neighbours' neighbours.
+
+Blocks keep their size whatever the number of rows. A zero vector is at cosine distance 1 from every row.
 """
 
 from __future__ import annotations
@@ -25,9 +27,12 @@ from trefoil.functions.kernels import block_top_k
 from trefoil.session import cut_lineage
 
 BLOCK_ROWS = 4096
+# Pivots of the first level, held on the driver; they bound cells, not the size of blocks.
 MAX_PIVOTS = 1024
-# Below this many rows the exact join is chosen by ``auto``.
-EXACT_BELOW = 1000
+# Pivots within a crowded cell, and levels of them, of the approximate join.
+FANOUT, LEVELS = 64, 6
+# Pairs of cells that are broadcast; at most MAX_PIVOTS squared exist.
+BROADCAST_PAIRS = 1_000_000
 # Metrics the tree-based approximate index supports.
 TREE_METRICS = ("cosine", "euclidean", "manhattan", "hamming", "dot", "l1", "l2", "taxicab")
 
@@ -50,16 +55,40 @@ def space_of(metric: str | Callable, params: dict | None = None) -> Space:
     if name in ("cosine", "angular"):
         # Chord length on unit vectors orders rows as the angle does.
         finish = (lambda d: d * d / 2.0) if name == "cosine" else None
-        return Space(metrics.euclidean, metrics.euclidean, True, True, finish)
+        return Space(_chord, metrics.euclidean, True, True, finish)
     prune = fn if name in metrics.TRIANGLE else None
     return Space(fn, prune, False, name == "euclidean", None)
 
 
+def _chord(a, b):
+    """Distance of unit vectors whose last entry marks zero vectors; those stand at a right angle to all rows, each other too."""
+    d = metrics.euclidean(a[..., :-1], b[..., :-1])
+    return np.where((a[..., -1] == 1) | (b[..., -1] == 1), np.sqrt(2.0), d)
+
+
+def _from_data(points: DataFrame, metric: str | Callable, params: dict | None) -> dict | None:
+    """Parameters that are taken from the data unless given: variances or the inverse covariance of the features."""
+    params, f = dict(params or {}), F.col("features")
+    if metric == "seuclidean" and params.get("V") is None:
+        wide = range(len(points.select("features").first()[0]))
+        params["V"] = np.array(points.agg(*[F.var_samp(f[c]).alias(f"v{c}") for c in wide]).first(), dtype=float)
+    if metric == "mahalanobis" and params.get("VI") is None:
+        n = len(points.select("features").first()[0])
+        both = [(a, b) for a in range(n) for b in range(a, n)]
+        found = points.agg(*[F.covar_samp(f[a], f[b]).alias(f"v{a}_{b}") for a, b in both]).first()
+        cov = np.zeros((n, n))
+        for (a, b), v in zip(both, found):
+            cov[a, b] = cov[b, a] = v
+        params["VI"] = np.linalg.inv(cov)
+    return params or None
+
+
 def _prepare(points: DataFrame, space: Space) -> DataFrame:
     v = F.col("features").cast("array<double>")
     if space.unit:
         norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-        v = F.when(norm == 0, v).otherwise(F.transform(v, lambda x: x / norm))
+        v = F.when(norm == 0, F.concat(v, F.array(F.lit(1.0)))).otherwise(
+            F.concat(F.transform(v, lambda x: x / norm), F.array(F.lit(0.0))))
     return points.select(F.col("id").cast("long").alias("id"), v.alias("features"))
 
 
@@ -125,9 +154,8 @@ def _blocks(placed: DataFrame, block_rows: int) -> DataFrame:
     """Cut crowded cells by hash so that every (cell, part) stays near ``block_rows``."""
     crowd = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("_n"))
     parts = F.greatest(F.ceil(F.col("_n") / F.lit(block_rows)), F.lit(1))
-    # At most MAX_PIVOTS cells: a bounded broadcast.
     return (
-        placed.join(F.broadcast(crowd), "cell")
+        placed.join(crowd, "cell")
         .withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("long"))
         .drop("_n")
     )
@@ -136,7 +164,7 @@ def _blocks(placed: DataFrame, block_rows: int) -> DataFrame:
 def exact_knn(points: DataFrame, k: int, metric: str | Callable = "euclidean", params: dict | None = None,
               block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The k nearest other rows of every row; ties by id; a row is never its own neighbour."""
-    space = space_of(metric, params)
+    space = space_of(metric, _from_data(points, metric, params))
     rows = _prepare(points, space)
     return _exact(rows, rows, k, space, True, block_rows)
 
@@ -144,7 +172,7 @@ def exact_knn(points: DataFrame, k: int, metric: str | Callable = "euclidean", p
 def query_knn(reference: DataFrame, queries: DataFrame, k: int, metric: str | Callable = "euclidean",
               params: dict | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The k nearest reference rows of every query row, exact hits included."""
-    space = space_of(metric, params)
+    space = space_of(metric, _from_data(reference, metric, params))
     return _exact(_prepare(queries, space), _prepare(reference, space), k, space, False, block_rows)
 
 
@@ -152,8 +180,6 @@ def _exact(q: DataFrame, r: DataFrame, k: int, space: Space, same: bool, block_r
     n = r.count()
     if k < 1 or k > n - int(same):
         raise ValueError(f"k={k} does not fit {n} reference rows")
-    # Blocks grow past ``block_rows`` only when more than MAX_PIVOTS of them would be needed.
-    block_rows = max(block_rows, -(-n // MAX_PIVOTS))
     n_q = n if same else q.count()
     if n <= block_rows and n_q <= block_rows:
         # The references fit one block: only the queries are cut, to use every core.
@@ -170,67 +196,108 @@ def _exact(q: DataFrame, r: DataFrame, k: int, space: Space, same: bool, block_r
 
 
 def _pruned_meet(q: DataFrame, r: DataFrame, k: int, space: Space, same: bool, block_rows: int, n: int) -> DataFrame:
+    """Which cells meet is decided on the driver, over at most MAX_PIVOTS of them a side; their parts, whose number
+    grows with the rows, are paired in Spark."""
     geometry = space.prune or metrics.euclidean
     pivots = _pivots(r, max(2, -(-n // block_rows)))
     r_blocks = cut_lineage(_blocks(_assign(r, pivots, geometry), block_rows))
     q_blocks = r_blocks if same else cut_lineage(_blocks(_assign(q, pivots, geometry), block_rows))
 
-    def sizes(df: DataFrame) -> pd.DataFrame:
-        # One row per block: bounded by pivots plus splits.
-        return (
-            df.groupBy("cell", "part").agg(F.max("reach").alias("radius"), F.count(F.lit(1)).alias("n"))
-            .orderBy("cell", "part").toPandas()
-        )
+    def cells(df: DataFrame) -> pd.DataFrame:
+        found = df.groupBy("cell").agg(F.max("reach").alias("radius"), (F.max("part") + 1).alias("parts"))
+        return found.orderBy("cell").toPandas()
 
-    r_side = sizes(r_blocks)
-    q_side = r_side if same else sizes(q_blocks)
+    r_side = cells(r_blocks)
+    q_side = r_side if same else cells(q_blocks)
     bound = np.full(len(q_side), np.inf)
-    if space.prune is not None and len(q_side) * len(r_side) > 64:
+    if space.prune is not None and q_side["parts"].sum() * r_side["parts"].sum() > 64:
         bound = _first_bounds(q_blocks, r_blocks, q_side, r_side, k, space, same)
-    gap = geometry(pivots[q_side["cell"]][:, None, :], pivots[r_side["cell"]][None])
-    low = gap - q_side["radius"].to_numpy()[:, None] - r_side["radius"].to_numpy()[None]
+    at_r = pivots[r_side["cell"]]
+    gap = np.array([geometry(pivots[c][None], at_r) for c in q_side["cell"]]).reshape(len(q_side), len(r_side))
+    low = gap - q_side["radius"].to_numpy(float)[:, None] - r_side["radius"].to_numpy(float)[None]
     keep_q, keep_r = np.nonzero(low <= bound[:, None] + 1e-9)
-    return _meet_pairs(q_blocks, r_blocks, q_side, r_side, keep_q, keep_r, k, space, same)
+    pairs = pd.DataFrame({
+        "qc": q_side["cell"].to_numpy()[keep_q], "qn": q_side["parts"].to_numpy()[keep_q],
+        "rc": r_side["cell"].to_numpy()[keep_r], "rn": r_side["parts"].to_numpy()[keep_r],
+    })
+    return _meet_cells(q_blocks, r_blocks, pairs, k, space, same)
 
 
 def _first_bounds(q_blocks, r_blocks, q_side, r_side, k, space, same) -> np.ndarray:
-    """Per query block, the largest k-th distance found against one block of its own cell."""
-    first = {c: at for at, c in reversed(list(enumerate(r_side["cell"])))}
-    keep_q = np.array([at for at, c in enumerate(q_side["cell"]) if c in first], dtype=int)
-    if len(keep_q) == 0:
-        return np.full(len(q_side), np.inf)
-    keep_r = np.array([first[q_side["cell"][at]] for at in keep_q], dtype=int)
-    hits = _meet_pairs(q_blocks, r_blocks, q_side, r_side, keep_q, keep_r, k, space, same)
-    per_row = hits.groupBy("i").agg(F.max("d").alias("d"), F.count(F.lit(1)).alias("c"))
+    """Per query cell, the largest k-th distance found against the first block of the same cell."""
+    pairs = q_side.merge(r_side, on="cell", suffixes=("_q", "_r"))
+    pairs = pd.DataFrame({"qc": pairs["cell"], "qn": pairs["parts_q"], "rc": pairs["cell"], "rn": 1})
+    hits = _meet_cells(q_blocks, r_blocks.filter(F.col("part") == 0), pairs, k, space, same)
+    per_row = _merge(hits, k).groupBy("i").agg(F.max("d").alias("d"), F.count(F.lit(1)).alias("c"))
     short = F.when(F.col("c") < k, F.lit(float("inf"))).otherwise(F.col("d"))
     worst = (
-        q_blocks.select("id", "cell", "part")
+        q_blocks.select("id", "cell")
         .join(per_row, F.col("id") == F.col("i"), "left")
-        .groupBy("cell", "part")
+        .groupBy("cell")
         .agg(F.max(F.coalesce(short, F.lit(float("inf")))).alias("d"))
-        .orderBy("cell", "part").toPandas()
+        .orderBy("cell").toPandas()
     )
     return worst["d"].to_numpy(dtype=float)
 
 
-def _meet_pairs(q_blocks, r_blocks, q_side, r_side, keep_q, keep_r, k, space, same) -> DataFrame:
-    spark = q_blocks.sparkSession
-    pairs = spark.createDataFrame(
-        pd.DataFrame({
-            "a": keep_q, "b": keep_r,
-            "qc": q_side["cell"].to_numpy()[keep_q], "qp": q_side["part"].to_numpy()[keep_q],
-            "rc": r_side["cell"].to_numpy()[keep_r], "rp": r_side["part"].to_numpy()[keep_r],
-        }),
-        "a long, b long, qc long, qp long, rc long, rp long",
+def _meet_cells(q_blocks, r_blocks, pairs: pd.DataFrame, k, space, same) -> DataFrame:
+    """Every part of a query cell meets every part of the reference cells it is paired with; ``qn`` and ``rn`` are
+    their numbers of parts."""
+    side = q_blocks.sparkSession.createDataFrame(pairs, "qc long, qn long, rc long, rn long")
+    if len(pairs) <= BROADCAST_PAIRS:
+        side = F.broadcast(side)
+
+    def parts(count: str):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+
+    keys = ["qc", "qp", "rc", "rp"]
+    left = q_blocks.join(side, F.col("cell") == F.col("qc")).select(
+        "id", "features", "qc", F.col("part").alias("qp"), "rc", parts("rn").alias("rp"))
+    right = r_blocks.join(side, F.col("cell") == F.col("rc")).select(
+        "id", "features", "qc", parts("qn").alias("qp"), "rc", F.col("part").alias("rp"))
+    return _meet(left, right, keys, k, space, same)
+
+
+def _near_blocks(rows: DataFrame, n: int, geometry: Callable, probes: int, block_rows: int, seed: int) -> DataFrame:
+    """``id, features, cell, part``: the closest pivots of every row, then the closest pivot within each crowded cell,
+    level by level, so that blocks keep their size and stay close together whatever the number of rows. Rows
+    that no pivot tells apart are cut by hash."""
+    limit = block_rows * probes
+    pivots = _pivots(rows, -(-n // block_rows) * 2, seed)
+    placed = _assign(rows, pivots, geometry, probes).select("id", "features", "cell")
+    for level in range(1, LEVELS):
+        placed = cut_lineage(placed)
+        crowd = cut_lineage(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit))
+        if crowd.isEmpty():
+            break
+        placed = _split(placed, crowd, geometry, limit, seed + level)
+    return _blocks(placed, limit)
+
+
+def _split(placed: DataFrame, crowd: DataFrame, geometry: Callable, limit: int, salt: int) -> DataFrame:
+    """Rows of crowded cells move to the closest of FANOUT pivots chosen in their cell, in tasks of bounded size."""
+    parts = F.ceil(F.col("_n") / F.lit(limit))
+    full = placed.join(crowd, "cell").withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("long"))
+    order = Window.partitionBy("cell").orderBy(F.xxhash64("id", F.lit(salt)), "id")
+    picked = (
+        full.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= FANOUT)
+        .select(F.col("cell").alias("p_cell"), F.col("_r").alias("turn"), F.col("features").alias("pivot"),
+                F.explode(F.sequence(F.lit(0).cast("long"), (parts - 1).cast("long"))).alias("p_part"))
     )
-    side = F.broadcast(pairs) if len(keep_q) <= 1_000_000 else pairs
-    left = q_blocks.join(
-        side, (F.col("cell") == F.col("qc")) & (F.col("part") == F.col("qp"))
-    ).select("id", "features", "a", "b")
-    right = r_blocks.join(
-        side, (F.col("cell") == F.col("rc")) & (F.col("part") == F.col("rp"))
-    ).select("id", "features", "a", "b")
-    return _meet(left, right, ["a", "b"], k, space, same)
+
+    def move(x: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+        out = x[["id", "features", "cell"]].copy()
+        if len(x):
+            centres, at = _stack(pivots.sort_values("turn")["pivot"]), _stack(x["features"])
+            step = max(1, 4_000_000 // max(1, centres.size))
+            best = [geometry(at[a:a + step, None, :], centres[None]).argmin(1) for a in range(0, len(at), step)]
+            out["cell"] = out["cell"] * FANOUT + np.concatenate(best)
+        return out
+
+    moved = full.groupBy("cell", "part").cogroup(picked.groupBy("p_cell", "p_part")).applyInPandas(
+        move, "id long, features array<double>, cell long")
+    calm = placed.join(crowd, "cell", "left_anti")
+    return moved.unionByName(calm.select("id", "features", (F.col("cell") * FANOUT).alias("cell")))
 
 
 def approx_knn(points: DataFrame, k: int, metric: str | Callable = "euclidean", params: dict | None = None,
@@ -241,20 +308,16 @@ def approx_knn(points: DataFrame, k: int, metric: str | Callable = "euclidean",
 
     A block is at least 4k rows; equal rows cut into several parts still meet k equals in their part.
     """
-    space = space_of(metric, params)
+    space = space_of(metric, _from_data(points, metric, params))
     geometry = space.prune or metrics.euclidean
     rows = cut_lineage(_prepare(points, space))
     n = rows.count()
     if k < 1 or k > n - 1:
         raise ValueError(f"k={k} does not fit {n} rows")
-    block_rows = max(block_rows, 4 * k, -(-n // MAX_PIVOTS))
-    if n <= 2 * block_rows:
-        return exact_knn(points, k, metric, params, block_rows=max(n, 1))
+    block_rows = max(block_rows, 4 * k)
     found = None
     for t in range(tables):
-        pivots = _pivots(rows, -(-n // block_rows) * 2, seed + t)
-        blocks = _blocks(_assign(rows, pivots, geometry, probes), block_rows * probes)
-        side = blocks.select("id", "features", "cell", "part")
+        side = _near_blocks(rows, n, geometry, probes, block_rows, seed + t * LEVELS).select("id", "features", "cell", "part")
         hits = _meet(side, side, ["cell", "part"], k, space, True)
         found = hits if found is None else found.unionByName(hits)
     best = cut_lineage(_merge(found.groupBy("i", "j").agg(F.min("d").alias("d")), k))
@@ -303,18 +366,16 @@ def precomputed_query(dist: DataFrame, k: int) -> DataFrame:
 
 def nearest(points: DataFrame, k: int, method: str = "auto", metric: str | Callable = "euclidean",
             params: dict | None = None, seed: int = 0) -> DataFrame:
-    """Pick the join: exact below EXACT_BELOW rows, else approximate, or as named.
+    """Pick the join: ``exact``, or the approximate one (``auto`` too, whatever the number of rows).
 
     The tree, graph-descent and small-world indexes are one approximate join here; their names are
     accepted with the metrics each allows, and differ in effort.
     """
     if metric == "precomputed":
         return precomputed_knn(points, k)
-    if method == "auto":
-        method = "exact" if points.limit(EXACT_BELOW).count() < EXACT_BELOW else "approx"
     if method == "exact":
         return exact_knn(points, k, metric, params)
-    if method in ("approx", "annoy"):
+    if method in ("auto", "approx", "annoy"):
         if method == "annoy" and metric not in TREE_METRICS:
             raise ValueError(f"annoy does not support {metric!r}")
         return approx_knn(points, k, metric, params, seed=seed)
