@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from trefoil.operators import enrichment as E
 from trefoil.operators import ranking as R
@@ -122,3 +123,17 @@ def test_rank_plan_has_one_shuffle(spark, sf):
     )
     text = R.rank_rows(rows, strategy="window")._jdf.queryExecution().executedPlan().toString()
     assert text.count("Exchange hashpartitioning") == 1
+
+
+def test_F2_flat_sample_by_variant_and_F3_no_set_left(spark):
+    x = spark.createDataFrame([("s", i, f"g{i}", 1.0) for i in range(5)], "sample string, row_idx long, gene string, value double")
+    sets = spark.createDataFrame([("a", "g1"), ("a", "g4")], "set_name string, gene string")
+    # Tied ranks weigh alike: ordinals 2 and 5 are hit, 1, 3 and 4 are missed.
+    assert E.score_gsva(x, sets).first()["score"] == pytest.approx(3.5 - 8 / 3)
+    with pytest.raises(Exception, match="constant-ranked"):
+        E.score(x, sets).collect()
+    y = x.withColumn("value", F.col("row_idx") * 1.0)
+    assert E.score(y, sets).count() == 1
+    for other in (dict(gene_sets=sets.withColumn("gene", F.lit("no"))), dict(gene_sets=sets, min_size=3)):
+        with pytest.raises(Exception, match="no gene set"):
+            E.score(y, **other).collect()

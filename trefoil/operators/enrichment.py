@@ -126,12 +126,15 @@ def score(
     min_size: int = 1,
     max_size: int | None = None,
     coverage: str = "window",
+    flat_samples: str = "error",
     strategy: str = "auto",
 ) -> DataFrame:
     """Enrichment score per (sample, set_name).
 
     ``coverage`` says when a set covering every row is an error: ``window`` (only inside the size
     window) or ``always`` (before the size filter, with ``max_size`` defaulting to N-1).
+    ``flat_samples`` says whether a sample of equal values is an error or scored from its tied ranks (``keep``).
+    It is an error too if no set has a member in range in any sample.
     Both profiles use the stable tie order; the legacy profile's unstable sort has no defined
     order to reproduce and only changes the default weights.
     """
@@ -160,7 +163,7 @@ def score(
     ).cast("double")
     weightless = F.raise_error(F.lit("a gene set has zero total rank weight")).cast("double")
     raw = (
-        F.when(F.col("flat"), flat)
+        F.when(F.col("flat") & F.lit(flat_samples != "keep"), flat)
         .when(k == n, covered)
         .when(F.col("sw") == 0, weightless)
         .otherwise(
@@ -175,7 +178,16 @@ def score(
         scored = sums.filter(window).withColumn("score", raw)
     else:
         raise ValueError(f"unknown coverage rule {coverage!r}")
-    return normalize_scores(scored.select("sample", "set_name", "score"), normalization)
+    return normalize_scores(_not_empty(scored.select("sample", "set_name", "score")), normalization)
+
+
+def _not_empty(scores: DataFrame) -> DataFrame:
+    """The scores, or an error if there are none: a counted row that fails, and is dropped otherwise. The count
+    reads the score, so both sides need the same columns and share one shuffle."""
+    none = F.raise_error(F.lit("no gene set has members of the expression within the size limits")).cast("boolean")
+    counted = scores.agg(F.count("score").alias("_n")).filter(F.when(F.col("_n") == 0, none).otherwise(False))
+    columns = [F.lit(None).cast(f.dataType).alias(f.name) for f in scores.schema.fields]
+    return scores.unionByName(counted.select(*columns))
 
 
 def score_by_walk(
@@ -260,7 +272,7 @@ def score_gsva(
     """Variant with the coverage check before the size filter and a strict range normalisation."""
     raw = score(
         expression, gene_sets, alpha=alpha, min_size=min_size, max_size=max_size,
-        coverage="always", strategy=strategy,
+        coverage="always", flat_samples="keep", strategy=strategy,
     )
     return normalize_scores(raw, "global_range", zero_range="error") if normalize else raw
 
