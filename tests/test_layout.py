@@ -169,3 +169,30 @@ def test_T9b_set_perplexity_and_T14(spark, blobs):
         S.Affinities(A.precomputed(aff.p)).to_new(frame(spark, blobs[0]))
     with pytest.raises(TypeError):
         S.Affinities(aff.p).perplexity
+
+
+def test_T11_scales_and_to_new_options(spark, blobs):
+    x = blobs[0]
+    model = S.TSNE(perplexity=[5, 10], initialization="random", negative_gradient_method="exact", early_exaggeration_iter=0, n_iter=1)
+    emb = model.fit(frame(spark, x))
+    assert emb.affinities.kind == "mixture" and emb.affinities.perplexities == [5, 10] and emb.affinities.k == 30
+    small = emb.affinities.set_perplexities([4, 6])
+    assert small.perplexities == [4, 6] and small.k == 18 and small.p.agg(F.sum("p")).first()[0] == pytest.approx(1)
+    with pytest.raises(ValueError):
+        emb.affinities.set_perplexities([40])
+    few = S.Affinities.build(frame(spark, x[:40]), "mixture", perplexity=30)
+    assert few.perplexities == [13] and few.perplexity == 13
+    new = frame(spark, x[:6] + 0.01, 1000)
+    assert few.to_new(new, 500)[1].groupBy("i").count().agg(F.max("count")).first()[0] == 39
+    even = S.Affinities.build(frame(spark, x), "uniform", k=8)
+    assert even.to_new(new, k=3)[0].agg(F.count("p"), F.sum("p")).first() == (18, pytest.approx(6))
+    wide = S.Affinities.build(frame(spark, x), "fixed_sigma", k=8, sigma=1.0)
+    near, far = (wide.to_new(new, sigma=s)[0].agg(F.max("p")).first()[0] for s in (None, 100.0))
+    assert near > far and far == pytest.approx(1 / 8, rel=1e-2)
+    # New rows follow the model's gradient method.
+    def moved(method):
+        rows = emb.transform(new, method=method, n_iter=3).positions.orderBy("id").collect()
+        return np.array([list(r)[1:] for r in rows])
+
+    own = moved("auto")
+    assert np.allclose(own, moved("exact"), rtol=1e-9, atol=0) and not np.allclose(own, moved("fft"), rtol=1e-9, atol=0)

@@ -38,7 +38,7 @@ class Affinities:
 
     @property
     def perplexity(self) -> float:
-        if self.kind != "perplexity":
+        if self.kind not in ("perplexity", "mixture") or len(self.perplexities) != 1:
             raise TypeError("only single-perplexity affinities have one perplexity")
         return self.perplexities[0]
 
@@ -76,8 +76,23 @@ class Affinities:
             return A.fixed_sigma(self.knn, self.sigma, bool(symmetrize))
         return A.uniform(self.knn, "max" if symmetrize is True else symmetrize)
 
+    def set_perplexities(self, perplexities: list[float]) -> "Affinities":
+        """Recompute a mixture or an average for other scales from the neighbours at hand."""
+        if self.kind not in ("mixture", "multiscale"):
+            raise TypeError("only affinities of several scales have perplexities")
+        scales = A.check_perplexities([float(x) for x in perplexities], self.n)
+        if scales == self.perplexities:
+            return self
+        kept = A.limit_neighbors(self.knn, scales[-1], self.k)
+        made = Affinities(kept, self.kind, self.points, kept, min(self.k, int(3 * scales[-1])), self.n, scales,
+                          self.sigma, self.metric, self.params, self.symmetrize)
+        made.p = cut_lineage(made._kernel(self.symmetrize))
+        return made
+
     def set_perplexity(self, perplexity: float) -> "Affinities":
         """Recompute for a smaller perplexity from the neighbours at hand."""
+        if self.kind in ("mixture", "multiscale"):
+            return self.set_perplexities([perplexity])
         if self.kind == "perplexity" and perplexity == self.perplexities[0]:
             return self
         kept = A.limit_neighbors(self.knn, perplexity, self.k)
@@ -87,16 +102,23 @@ class Affinities:
         made.p = cut_lineage(made._kernel(self.symmetrize))
         return made
 
-    def to_new(self, points: DataFrame, perplexity: float | list[float] | None = None) -> tuple[DataFrame, DataFrame]:
-        """(row-normalised affinities to the reference rows, neighbour table)."""
+    def to_new(self, points: DataFrame, perplexity: float | list[float] | None = None, k: int | None = None,
+               sigma: float | None = None) -> tuple[DataFrame, DataFrame]:
+        """(row-normalised affinities to the reference rows, neighbour table). ``k`` neighbours a row and ``sigma``
+        replace those of the reference; scales above a third of the reference rows are capped in mixtures."""
         if self.points is None:
             raise TypeError("precomputed affinities cannot be extended to new rows")
         scales = self.perplexities if perplexity is None else perplexity
         scales = [float(x) for x in (scales if isinstance(scales, (list, tuple)) else [scales])]
-        k = self.k if self.kind in ("fixed_sigma", "uniform") else min(self.n, int(3 * max(scales)))
+        if self.kind in ("mixture", "multiscale"):
+            scales = A.check_perplexities(scales, self.n)
+        if k is None:
+            k = self.k if self.kind in ("fixed_sigma", "uniform") else min(self.n, int(3 * max(scales)))
+        elif k > self.n:
+            raise ValueError(f"k={k} does not fit {self.n} rows")
         knn = cut_lineage(N.query_knn(self.points, points, k, self.metric, self.params))
         if self.kind == "fixed_sigma":
-            return A.to_new_fixed_sigma(knn, self.sigma), knn
+            return A.to_new_fixed_sigma(knn, self.sigma if sigma is None else sigma), knn
         if self.kind == "uniform":
             return A.to_new_uniform(knn), knn
         if self.kind == "multiscale":
@@ -146,8 +168,7 @@ class TSNE:
                         initialization: DataFrame | None = None) -> "TSNEEmbedding":
         if affinities is None:
             affinities = Affinities.build(
-                points, "multiscale" if isinstance(self.perplexity, (list, tuple)) else "perplexity",
-                self.perplexity, method=self.neighbors, metric=self.metric, params=self.metric_params,
+                points, "mixture", self.perplexity, method=self.neighbors, metric=self.metric, params=self.metric_params,
                 seed=self.random_state,
             )
         start = initialization if initialization is not None else self.initialization
@@ -290,15 +311,16 @@ class PartialTSNEEmbedding:
         if n_iter == 0:
             return self
         parent, dims, model = self.parent, self.parent.dims, self.parent.model
-        method = G.resolve_method(method, self.layout.count())
+        # Unless another is named, the method that made the map; an exact sum is a tree with every cell opened.
+        method = G.resolve_method(model.negative_gradient_method if method == "auto" else method, parent.n)
+        if callable(method):
+            raise ValueError("name a gradient method for new rows: a function of whole layouts can't place them")
         low, high = self.ends
         limit = None
-        if method == "bh" and parent.n > G.TREE_POSITIONS:
-            if dims > 2:
-                raise ValueError("this map is too large for a tree; the grid needs one or two dimensions")
-            method = "fft"
-        if method == "bh":
-            source = G.tree_field(self.reference, dims, model.theta, model.dof)
+        if method != "fft" and parent.n > G.TREE_POSITIONS:
+            raise ValueError(f"a tree places new rows into maps of at most {G.TREE_POSITIONS} rows; use the grid")
+        if method != "fft":
+            source = G.tree_field(self.reference, dims, model.theta if method == "bh" else 0.0, model.dof)
         else:
             reach = max(abs(low.min()), abs(high.max())) * (1 + padding)
             grid = L.make_grid([-reach] * dims, [reach] * dims, model.n_interpolation_points,
