@@ -3,10 +3,12 @@
 Terms are runs of ASCII letters, digits and non-ASCII characters of the lower-cased text, held as 64-bit hashes. The
 lexicon keeps the terms found in at least LEAST and at most MOST of all documents (and in two at least). As every document
 has a bounded mean number of terms t, at most t / LEAST terms can reach the band, whatever the corpus: that bounds the
-broadcast. SLOTS random subsets of the lexicon hold a half, a quarter, ... of its terms. A slot of a fingerprint is the hash
+broadcast. SLOTS random subsets of the lexicon hold a half, a quarter, ... of its terms, down to 1 / 65,536, so that also
+the longest texts have subsets of few terms. A slot of a fingerprint is the hash
 of the document's sorted distinct terms of that subset; a slot with more than FULL terms is marked full, because
 any edit would change it. Two fingerprints are as alike as the share of equal slots among those that are full in neither and
-not empty in both. A text without any term in the lexicon is fingerprinted by its whole content.
+not empty in both; if there are none, only equal texts are alike. A text without any term in the lexicon is fingerprinted by its whole
+content.
 
 A document's neighbour (the next lower doc_id) comes by a window over buckets of consecutive ids; each bucket also gets
 the first document of the following one, so texts are shuffled once and never sorted globally.
@@ -23,9 +25,11 @@ from pyspark.sql import functions as F
 from trefoil.llm import common as C
 
 LEAST, MOST = 0.002, 0.02
-SCALES, TIMES = 8, 6
+SCALES, TIMES = 16, 6
 SLOTS = SCALES * TIMES
 FULL = 3
+#: Slots in a long of a term's mask.
+PART = 48
 #: Ids in a bucket of neighbours, and buckets at most.
 BUCKET_ROWS, BUCKETS = 64, 16384
 _SPLIT = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -39,16 +43,19 @@ def term_hashes(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, least: float = LEAST, most: float = MOST) -> DataFrame:
-    """``h, mask``: the band's terms, and which slots hold each. All documents are counted."""
+    """``h, mask``: the band's terms, and which slots hold each (a long for every 48). All documents are counted."""
     total = docs.count()
     terms = docs.select(F.explode(term_hashes(C.text_of(docs))).alias("h"))
     band = terms.groupBy("h").agg(F.count("*").alias("df")).where(
         (F.col("df") >= max(2.0, least * total)) & (F.col("df") <= max(2.0, most * total)))
-    mask = F.lit(0).cast("long")
-    for slot in range(SLOTS):
-        inside = F.xxhash64(F.col("h"), F.lit(slot)).bitwiseAND(F.lit((2 << slot // TIMES) - 1)) == 0
-        mask = mask.bitwiseOR(F.when(inside, F.lit(1 << slot)).otherwise(F.lit(0)).cast("long"))
-    return C.stored(band.select("h", mask.alias("mask")), "lexicon")
+    masks = []
+    for first in range(0, SLOTS, PART):
+        mask = F.lit(0).cast("long")
+        for slot in range(first, min(first + PART, SLOTS)):
+            inside = F.xxhash64(F.col("h"), F.lit(slot)).bitwiseAND(F.lit((2 << slot // TIMES) - 1)) == 0
+            mask = mask.bitwiseOR(F.when(inside, F.lit(1 << slot - first)).otherwise(F.lit(0)).cast("long"))
+        masks.append(mask)
+    return C.stored(band.select("h", F.array(*masks).alias("mask")), "lexicon")
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
@@ -81,7 +88,7 @@ def slots_of(found: Column, whole: Column) -> Column:
 
     def filled(terms: Column) -> Column:
         def slot(k: Column) -> Column:
-            mine = F.filter(terms, lambda x: F.call_function("getbit", x["mask"], k) == 1)
+            mine = F.filter(terms, lambda x: F.call_function("getbit", F.get(x["mask"], F.floor(k / PART).cast("int")), k % PART) == 1)
             text = lambda m: F.when(F.size(m) == 0, F.lit("-")).when(F.size(m) > FULL, F.lit("+")).otherwise(
                 F.lower(F.lpad(F.hex(F.xxhash64(F.transform(m, lambda x: x["h"])).bitwiseAND(F.lit((1 << 32) - 1))), 8, "0")))
             return C.let(mine, text)
@@ -92,13 +99,12 @@ def slots_of(found: Column, whole: Column) -> Column:
     return C.let(some, lambda s: F.when(F.exists(s, lambda x: x != "-"), s).otherwise(F.array(F.concat(F.lit("text-"), F.lower(F.hex(whole))))))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Share of equal slots, 0 to 1."""
+def likeness(a: Column, b: Column, same: Column) -> Column:
+    """Share of equal slots, 0 to 1; without any to compare, 1 if the texts are the ``same``."""
     pairs = F.zip_with(a, b, lambda x, y: F.struct(x.alias("x"), y.alias("y")))
     told = F.filter(pairs, lambda p: ~(((p["x"] == "-") & (p["y"] == "-")) | (p["x"] == "+") | (p["y"] == "+")))
-    share = C.let(told, lambda t: F.when(F.size(t) == 0, F.lit(0.0)).otherwise(
+    return C.let(told, lambda t: F.when(F.size(t) == 0, same.cast("double")).otherwise(
         F.size(F.filter(t, lambda p: F.coalesce(p["x"] == p["y"], F.lit(False)))) / F.size(t)))
-    return F.when(a == b, F.lit(1.0)).otherwise(share)
 
 
 def fingerprints(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -117,7 +123,7 @@ def fingerprints(docs: DataFrame, terms: DataFrame) -> DataFrame:
     )
     exploded = digested.withColumn("t", F.explode("_all")).drop("_all")
     kept = exploded.withColumns({"_v": F.col("t.v"), "h": F.col("t.h")}).drop("t")
-    marked = terms.where("h <> 0").unionByName(C.rows_of(docs.sparkSession, [(0, 0)], "h bigint, mask bigint"))
+    marked = terms.where("h <> 0").unionByName(C.rows_of(docs.sparkSession, [(0, [0])], "h bigint, mask array<bigint>"))
     met = kept.join(F.broadcast(marked), "h").where((F.col("_v") == 2) | (F.col("h") != 0))
     carried = ["_extra", "doc_id", "n_chars", "edited_sha256", "_whole", "_whole_edited"]
     grouped = met.groupBy("_bucket", "_rn").agg(
@@ -125,7 +131,8 @@ def fingerprints(docs: DataFrame, terms: DataFrame) -> DataFrame:
     of = lambda v: F.transform(F.filter("_terms", lambda x: x["_v"] == v), lambda x: F.struct(x["h"].alias("h"), x["mask"].alias("mask")))
     made = grouped.withColumns({"_own": slots_of(of(0), F.col("_whole")), "_new": slots_of(of(1), F.col("_whole_edited"))})
     order = Window.partitionBy("_bucket").orderBy("_rn")
-    return made.withColumn("_following", F.lead("_own").over(order)).where("not _extra")
+    following = {"_following": F.lead("_own").over(order), "_whole_following": F.lead("_whole").over(order)}
+    return made.withColumns(following).where("not _extra")
 
 
 def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,5 +140,5 @@ def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fingerprints(docs, lexicon(docs))
     return found.select(
         "doc_id", "n_chars", "edited_sha256", F.array_join("_own", ",").alias("fingerprint"),
-        F.array_join("_new", ",").alias("edited_fingerprint"), likeness(F.col("_own"), F.col("_new")).alias("near_edited"),
-        likeness(F.col("_own"), F.col("_following")).alias("near_next"))
+        F.array_join("_new", ",").alias("edited_fingerprint"), likeness(F.col("_own"), F.col("_new"), F.col("_whole") == F.col("_whole_edited")).alias("near_edited"),
+        likeness(F.col("_own"), F.col("_following"), F.coalesce(F.col("_whole") == F.col("_whole_following"), F.lit(False))).alias("near_next"))
