@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -59,58 +60,104 @@ def pca(points: DataFrame, dims: int = 2, seed: int = 0, add_jitter: bool = True
     return jitter(small, dims, seed) if add_jitter else small
 
 
-def spectral(p: DataFrame, dims: int = 2, seed: int = 0, rounds: int = 60, add_jitter: bool = True) -> DataFrame:
-    """Leading non-trivial eigenvectors of the random walk of a symmetric affinity table.
+def spectral(p: DataFrame, dims: int = 2, seed: int = 0, tolerance: float = 1e-5, steps: int = 12, guard: int = 2,
+             max_restarts: int = 200, add_jitter: bool = True) -> DataFrame:
+    """Leading non-trivial eigenvectors of the random walk of a symmetric affinity table, times their eigenvalues.
 
-    Block iteration on the lazy walk (I + D^-1 P)/2: each round is one join and grouped sum; only
-    small Gram matrices reach the driver.
+    Restarted block Krylov iteration with the walk W = D^-1 P, which is symmetric in the inner product weighted by
+    degree. A cycle extends a block of ``dims + 1 + guard`` vectors by ``steps`` Chebyshev terms of W (one join and grouped
+    sum each), sums the Gram matrices of the whole basis in one pass, and restarts from the best Ritz vectors. It ends when
+    every wanted pair has |W v - value v| <= ``tolerance`` (for |v| = 1), and raises if ``max_restarts`` cycles don't reach
+    that. Only Gram matrices, of a size fixed by the parameters, reach the driver. Each vector's entry of largest size is
+    positive.
     """
-    k = dims + 1
-    cols = [f"v{c}" for c in range(k)]
-    edges = cut_lineage(p.select("i", "j", "p"))
+    width = dims + 1 + guard
+    edges = cut_lineage(p.groupBy("i", "j").agg(F.sum("p").alias("p")))
     deg = edges.groupBy("i").agg(F.sum("p").alias("deg"))
-    start = random(deg.select(F.col("i").alias("id")), k, seed, 1.0)
-    state = deg.join(start.toDF("i", *cols), "i").withColumn("v0", F.lit(1.0))
-
-    def gram(df: DataFrame) -> np.ndarray:
-        got = df.agg(*[
-            F.sum(F.col("deg") * F.col(a) * F.col(b)).alias(f"{a}_{b}") for a in cols for b in cols
-        ]).first()
-        return np.array([[got[f"{a}_{b}"] for b in cols] for a in cols])
-
-    def orthonormal(df: DataFrame) -> DataFrame:
-        mix = np.linalg.inv(np.linalg.cholesky(gram(df))).T
-        return df.select("i", "deg", *[
-            sum((F.col(a) * F.lit(float(mix[r, c])) for r, a in enumerate(cols)), F.lit(0.0)).alias(f"v{c}")
-            for c in range(k)
-        ])
-
-    def walk(df: DataFrame) -> DataFrame:
-        moved = edges.join(df.select(F.col("i").alias("j"), *cols), "j").groupBy("i").agg(
-            *[F.sum(F.col("p") * F.col(c)).alias(f"w{c}") for c in cols]
-        )
-        return df.join(moved, "i")
-
-    for _ in range(rounds):
-        state = cut_lineage(orthonormal(state))
-        stepped = walk(state)
-        state = cut_lineage(stepped.select(
-            "i", "deg", *[((F.col(c) + F.col(f"w{c}") / F.col("deg")) / 2).alias(c) for c in cols]
-        ))
-    state = cut_lineage(orthonormal(state))
-    pushed = walk(state)
-    got = pushed.agg(*[F.sum(F.col(a) * F.col(f"w{b}")).alias(f"{a}_{b}") for a in cols for b in cols]).first()
-    small = np.array([[got[f"{a}_{b}"] for b in cols] for a in cols])
-    values, vectors = np.linalg.eigh((small + small.T) / 2)
-    order = np.argsort(values)[::-1][1:]
-    raw = state.select(F.col("i").alias("id"), *[
-        sum((F.col(a) * F.lit(float(vectors[r, e] * values[e])) for r, a in enumerate(cols)), F.lit(0.0)).alias(f"y{c}")
-        for c, e in enumerate(order)
+    start = random(deg.select(F.col("i").alias("id")), width, seed, 1.0)
+    block = deg.join(start.toDF("i", *_block(0, width)), "i").withColumn("t0_0", F.lit(1.0))
+    for _ in range(max_restarts):
+        basis = cut_lineage(block)
+        for k in range(1, steps + 1):
+            last = basis.select(F.col("i").alias("j"), *_block(k - 1, width))
+            moved = edges.join(last, "j").groupBy("i").agg(*[F.sum(F.col("p") * F.col(c)).alias(f"w{c}") for c in _block(k - 1, width)])
+            walked = {n: F.col(f"w{c}") / F.col("deg") for n, c in zip(_block(k, width), _block(k - 1, width))}
+            if k > 1:
+                walked = {n: 2 * w - F.col(old) for (n, w), old in zip(walked.items(), _block(k - 2, width))}
+            basis = cut_lineage(basis.join(moved, "i").withColumns(walked).drop(*[f"w{c}" for c in _block(k - 1, width)]))
+        values, mix, residual = _ritz(basis, width, steps)
+        block = _combined(basis, mix[:, :width], width)
+        if residual[: dims + 1].max() <= tolerance:
+            break
+    else:
+        raise RuntimeError(f"eigenvectors not found within {tolerance}: residual {residual[: dims + 1].max():.3g} after {max_restarts} restarts")
+    block = cut_lineage(block)
+    cols = _block(0, width)[1: dims + 1]
+    tops = block.agg(*[F.max_by(F.signum(c), F.struct(F.abs(c), -F.col("i"))).alias(c) for c in cols]).first()
+    raw = block.select(F.col("i").alias("id"), *[
+        (F.col(c) * F.lit(float(tops[c] * values[e + 1]))).alias(f"y{e}") for e, c in enumerate(cols)
     ])
     out = rescale(raw, dims)
     return jitter(out, dims, seed) if add_jitter else out
 
 
+def _block(k: int, width: int) -> list[str]:
+    return [f"t{k}_{c}" for c in range(width)]
+
+
+def _ritz(basis: DataFrame, width: int, steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ritz values (descending), their coefficients over blocks 0 .. steps-1, and residuals. W times a Chebyshev block is the
+    mean of its neighbours (of block 0: block 1), so no further product is needed."""
+    names = [c for k in range(steps + 1) for c in _block(k, width)]
+    size = len(names)
+
+    def grams(batches):
+        total = np.zeros((size, size))
+        for pdf in batches:
+            x = pdf[names].to_numpy(float)
+            total += x.T @ (x * pdf["deg"].to_numpy(float)[:, None])
+        a, b = np.triu_indices(size)
+        yield pd.DataFrame({"a": a, "b": b, "s": total[a, b]})
+
+    rows = basis.select("deg", *names).mapInPandas(grams, "a long, b long, s double")
+    got = rows.groupBy("a", "b").agg(F.sum("s").alias("s")).collect()  # size^2 / 2 rows
+    gram = np.zeros((size, size))
+    for a, b, s in got:
+        gram[a, b] = gram[b, a] = s
+    m = width * steps
+    walk = np.zeros((size, m))  # W basis[:, :m] = basis @ walk
+    for k in range(steps):
+        for c in range(width):
+            walk[(k + 1) * width + c, k * width + c] = 1.0 if k == 0 else 0.5
+            if k:
+                walk[(k - 1) * width + c, k * width + c] = 0.5
+    # Scaled and whitened; directions that add nothing are left out.
+    scale = 1 / np.sqrt(np.maximum(np.diag(gram)[:m], 1e-300))
+    spread, axes = np.linalg.eigh(gram[:m, :m] * scale[:, None] * scale[None])
+    keep = spread > 1e-12 * spread.max()
+    white = scale[:, None] * axes[:, keep] / np.sqrt(spread[keep])
+    small = white.T @ (gram[:m] @ walk) @ white
+    values, vectors = np.linalg.eigh((small + small.T) / 2)
+    values, mix = values[::-1], white @ vectors[:, ::-1]
+    off = walk @ mix - np.vstack([mix, np.zeros((width, mix.shape[1]))]) * values
+    residual = np.sqrt(np.maximum(np.einsum("ac,ab,bc->c", off, gram, off), 0))
+    return values, mix, residual
+
+
+def _combined(basis: DataFrame, mix: np.ndarray, width: int) -> DataFrame:
+    """``i, deg`` and the first block of the next cycle: the basis times ``mix``."""
+    names = [c for k in range(mix.shape[0] // width) for c in _block(k, width)]
+    first = _block(0, width)
+
+    def times(batches):
+        for pdf in batches:
+            x = pdf[names].to_numpy(float) @ mix
+            yield pdf[["i", "deg"]].assign(**{c: x[:, n] if n < x.shape[1] else 0.0 for n, c in enumerate(first)})
+
+    kinds = f"i {basis.schema['i'].dataType.simpleString()}, deg double, " + ", ".join(f"{c} double" for c in first)
+    return basis.select("i", "deg", *names).mapInPandas(times, kinds)
+
+
 def neighbor_median(knn: DataFrame, reference: DataFrame, dims: int, k: int) -> DataFrame:
     """Median reference position of the k nearest references of each new row."""
     rows = knn.filter(F.col("rk") <= k).join(reference.select(F.col("id").alias("j"), *ys(dims)), "j")

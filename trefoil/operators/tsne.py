@@ -6,7 +6,6 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +14,8 @@ from trefoil.operators import affinity as A
 from trefoil.operators import gradient as G
 from trefoil.operators import initial as I
 from trefoil.operators import neighbors as N
+from trefoil.operators import convolve, placing
+from trefoil.operators.cells import CellTree
 from trefoil.session import cut_lineage
 
 AFFINITIES = ("perplexity", "mixture", "multiscale", "fixed_sigma", "uniform")
@@ -263,8 +264,8 @@ class TSNEEmbedding:
             raise ValueError(f"unknown initialization {initialization!r}")
         places = frame.select(F.col("id").alias("j"), F.array(*G.ys(self.dims)).alias("at"))
         linked = p.join(places, "j").groupBy(F.col("i").alias("id")).agg(
-            F.collect_list(F.struct("p", "at")).alias("links")  # k links per row
-        )
+            F.sort_array(F.collect_list(F.struct("j", "p", "at"))).alias("links")  # k links per row
+        ).select("id", F.col("links.p").alias("weights"), F.flatten("links.at").alias("places"))
         state = cut_lineage(G.start_layout(start, self.dims).join(linked, "id"))
         return PartialTSNEEmbedding(state, self, frame, ends, p)
 
@@ -291,14 +292,14 @@ class TSNEEmbedding:
 
 @dataclass
 class PartialTSNEEmbedding:
-    """New rows against a frozen map; one pass of independent batches does all iterations."""
+    """New rows against a frozen map; regions of the map do all iterations of their rows at once."""
 
     layout: DataFrame
     parent: TSNEEmbedding
     reference: DataFrame
     ends: tuple[np.ndarray, np.ndarray]
     p: DataFrame
-    n_new: int | None = None
+    kl_divergence: float | None = None
 
     @property
     def positions(self) -> DataFrame:
@@ -307,54 +308,50 @@ class PartialTSNEEmbedding:
     def optimize(self, n_iter: int, learning_rate: float = 0.1, exaggeration: float | None = 1.5,
                  momentum: float = 0.8, max_grad_norm: float | None = 0.25,
                  max_step_norm: float | None = None, method: str = "auto",
-                 freeze_inner_gains: bool = True, padding: float = 0.25) -> "PartialTSNEEmbedding":
+                 freeze_inner_gains: bool = True, padding: float = 0.25, callbacks: list | None = None,
+                 callbacks_every: int = 50, propagate: bool = False) -> "PartialTSNEEmbedding":
+        """``n_iter`` steps of every row. Callbacks are asked at their turns with the divergence of the new rows; one that
+        stops the run leaves the rows where they are then."""
         if n_iter == 0:
             return self
-        parent, dims, model = self.parent, self.parent.dims, self.parent.model
-        # Unless another is named, the method that made the map; an exact sum is a tree with every cell opened.
-        method = G.resolve_method(model.negative_gradient_method if method == "auto" else method, parent.n)
+        model, dims = self.parent.model, self.parent.dims
+        source, limit = self._field(method, padding)
+        watch = G.Watch(list(callbacks or []), callbacks_every)
+        step = lambda n: L.NewRows(learning_rate, exaggeration or 1.0, momentum, 0.01, max_grad_norm, max_step_norm,
+                                   n, model.dof, limit, freeze_inner_gains)
+        now, done = self, 0
+        while done < n_iter:
+            many = min(callbacks_every - done % callbacks_every, n_iter - done) if watch.callbacks else n_iter
+            moved = cut_lineage(placing.place(now.layout, source, step(many)))
+            done += many
+            now = PartialTSNEEmbedding(moved.drop("z"), self.parent, self.reference, self.ends, self.p)
+            z = float(moved.agg(F.sum("z")).first()[0] or 0.0)
+            now.kl_divergence = G.divergence(self.p, now.positions, self.reference, dims, z, model.dof, small=False)
+            if watch.due(done):
+                try:
+                    watch.ask(done, now.kl_divergence, now.positions)
+                except G.OptimizationInterrupt:
+                    if propagate:
+                        raise
+                    return now
+        return now
+
+    def _field(self, method: str, padding: float) -> tuple[placing.GridField | placing.TreeField, tuple[float, float] | None]:
+        """Where repulsion comes from: unless another is named, by the method that made the map; an exact sum is a
+        tree with every cell opened."""
+        parent, model, dims = self.parent, self.parent.model, self.parent.dims
+        method = G.resolve_method(model.negative_gradient_method if method == "auto" else method, dims)
         if callable(method):
             raise ValueError("name a gradient method for new rows: a function of whole layouts can't place them")
-        low, high = self.ends
-        limit = None
-        if method != "fft" and parent.n > G.TREE_POSITIONS:
-            raise ValueError(f"a tree places new rows into maps of at most {G.TREE_POSITIONS} rows; use the grid")
         if method != "fft":
-            source = G.tree_field(self.reference, dims, model.theta if method == "bh" else 0.0, model.dof)
-        else:
-            reach = max(abs(low.min()), abs(high.max())) * (1 + padding)
-            grid = L.make_grid([-reach] * dims, [reach] * dims, model.n_interpolation_points,
-                               model.min_num_intervals, model.ints_in_interval)
-            source = G.grid_field(self.reference, dims, grid, model.dof, parent.n)
-            limit = (-reach, reach)
-        plan = L.NewRows(learning_rate, exaggeration or 1.0, momentum, 0.01, max_grad_norm, max_step_norm,
-                         n_iter, model.dof, limit, freeze_inner_gains)
-        sample = source.sample
-
-        def run(batches):
-            for pdf in batches:
-                if len(pdf) == 0:
-                    continue
-                width = max(len(x) for x in pdf["links"])
-                p, refs = np.zeros((len(pdf), width)), np.zeros((len(pdf), width, dims))
-                for row, links in enumerate(pdf["links"]):
-                    for c, link in enumerate(links):
-                        p[row, c] = link["p"]
-                        refs[row, c] = link["at"]
-                y, u, g = L.descend_rows(
-                    *(pdf[G.ys(dims, k)].to_numpy(float) for k in "yug"), p, refs, sample, plan
-                )
-                yield pd.DataFrame({
-                    "id": pdf["id"],
-                    **{f"{k}{c}": v[:, c] for k, v in (("y", y), ("u", u), ("g", g)) for c in range(dims)},
-                    "links": pdf["links"],
-                })
-
-        schema = G.layout_schema(dims) + ", links array<struct<p double, at array<double>>>"
-        order = ["id"] + [c for k in "yug" for c in G.ys(dims, k)] + ["links"]
-        spread = self.layout.select(*order).repartition("id")
-        moved = cut_lineage(spread.mapInPandas(run, schema))
-        return PartialTSNEEmbedding(moved, parent, self.reference, self.ends, self.p)
+            tree = CellTree.build(self.reference, dims)
+            return placing.TreeField(tree, model.theta if method == "bh" else 0.0, model.dof), None
+        low, high = self.ends
+        reach = max(abs(low.min()), abs(high.max())) * (1 + padding)
+        grid = L.make_grid([-reach] * dims, [reach] * dims, model.n_interpolation_points, model.min_num_intervals,
+                           model.ints_in_interval)
+        boxes = cut_lineage(convolve.potentials(self.reference, dims, grid, model.dof))
+        return placing.GridField(grid, boxes, dims), (-reach, reach)
 
 
 class TSNETransformer:

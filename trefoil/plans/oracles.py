@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from trefoil.functions import patterns
+from trefoil.plans import layout_sql
 from trefoil.plans import registry as Q
 
 EXPR = """
@@ -338,6 +339,8 @@ def oracles() -> dict[str, str]:
     out["orbits4_enumerated"] = out["orbits4_nodes"]
     out["ssgsea_gsva"] = out["ssgsea_range"]
     out["bh_exact_limit"] = out["repulsion_exact"]
+    out["bh_repulsion"] = out["bh_joined"] = layout_sql.tree(POS, 0.5)
+    out["fft_repulsion"] = layout_sql.grid(POS)
     for m in DIST:
         out[f"knn_{m}"] = f"WITH {_knn(Q.K_NEAR, m)} {KNN_OUT}"
     for k in (3, 4, 5):

@@ -138,7 +138,9 @@ def knn_pruned(spark, sf):
 
 
 def knn_precomputed(spark, sf):
-    dist = N.exact_knn(T.points(spark, sf), 50).select("i", "j", "d")
+    """A table of all distances is the input."""
+    pts = T.points(spark, sf)
+    dist = N.exact_knn(pts, pts.count() - 1).select("i", "j", "d")
     return _r(N.precomputed_knn(dist, K_NEAR), "d")
 
 
@@ -286,7 +288,7 @@ def random_init(spark, sf):
 
 def spectral_init(spark, sf):
     p = A.perplexity_based(_knn(spark, sf, 30), PERPLEXITY, 30)
-    return I.spectral(p, 2, rounds=8)
+    return I.spectral(p, 2)
 
 
 # -- gradient ------------------------------------------------------------------------------------------
@@ -332,25 +334,27 @@ def clip_disc(spark, sf):
 
 
 def bh_repulsion(spark, sf):
-    at = _positions(spark, sf)
-    return D.sampled(at, 2, D.tree_field(at, 2, 0.5, 1.0))
+    got = D.tree_repulsion(_positions(spark, sf), 2, 0.5, 1.0)
+    return _r(got, "z", "f0", "f1", digits=5)
 
 
 def bh_exact_limit(spark, sf):
     """The tree with every cell opened is the exact sum."""
-    at = _positions(spark, sf)
-    got = D.sampled(at, 2, D.tree_field(at, 2, 0.0, 1.0)).select("id", "z", "f0", "f1")
+    got = D.tree_repulsion(_positions(spark, sf), 2, 0.0, 1.0)
     return _r(got, "z", "f0", "f1", digits=5)
 
 
 def bh_joined(spark, sf):
-    return D.joined_tree_repulsion(_positions(spark, sf), 2, 0.5, 1.0, depth=12)
+    """The same tree dealt over many small tiles gives the same numbers."""
+    got = D.tree_repulsion(_positions(spark, sf), 2, 0.5, 1.0, tile_rows=20)
+    return _r(got, "z", "f0", "f1", digits=5)
 
 
 def fft_repulsion(spark, sf):
     at = _positions(spark, sf)
     low, high = D.position_bounds(at, 2)
-    return D.sampled(at, 2, D.grid_field(at, 2, L.make_grid(low, high), 1.0, at.count()))
+    got = D.grid_repulsion(at, 2, L.make_grid(low, high)).select("id", "z", "f0", "f1")
+    return _r(got, "z", "f0", "f1", digits=4)
 
 
 def tsne_fit(spark, sf):
