@@ -1,10 +1,10 @@
 """DuckDB SQL of the queries that SQL can express. SQL has no XXH64, CRC-32, classifier or byte-pair encoder of its own,
-so operators 2, 4, 5, 6 and 7 are tested against brute force instead."""
+so operators 2, 4, 5, 6, 7, 11 and 13 are tested against brute force instead; operator 12's CRC-32 is spelt out below."""
 
 from __future__ import annotations
 
 
-from trefoil.llm import anchors, cascade, mixing, secrets, suffix
+from trefoil.llm import anchors, cascade, importance, mixing, secrets, suffix
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -123,6 +123,45 @@ SELECT d.doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_
 FROM d LEFT JOIN sums USING (doc_id)
 """
 
+def _crc(text: str) -> str:
+    """CRC-32 of a string's UTF-8 bytes: a fold with the usual table, which comes from the polynomial."""
+    table = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        table.append(c)
+    places = f"range(CAST(length(hex(encode({text}))) // 2 AS BIGINT))"
+    octets = f"list_transform({places}, lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, b: xor(c >> 8, {table}[xor(c & 255, b) + 1])), 4294967295)"
+
+
+def _features(table: str, key: str) -> str:
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"""{table}_w AS (SELECT {key} AS id, regexp_extract_all({low}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM {table}),
+{table}_f AS (SELECT id, array_to_string(w[i:i + n - 1], ' ') AS g FROM {table}_w, unnest(range(1, len(w) + 1)) AS u(i), unnest([1, 2, 3]) AS v(n)
+  WHERE i + n - 1 <= len(w))"""
+
+
+OP12 = rf"""
+WITH {_features('documents', 'doc_id')}, {_features('benchmark', 'item_id')},
+named AS (SELECT g, {_crc('g')} % {importance.BUCKETS} AS k FROM (SELECT g FROM documents_f UNION SELECT g FROM benchmark_f)),
+raw AS (SELECT k, count(*) AS n FROM documents_f JOIN named USING (g) GROUP BY k),
+aim AS (SELECT k, count(*) AS n FROM benchmark_f JOIN named USING (g) GROUP BY k),
+gain AS (SELECT raw.k, CAST(floor(1000 * ln(
+    ((coalesce(aim.n, 0) + 1) * ((SELECT count(*) FROM documents_f) + {importance.SMOOTHING}))::DOUBLE
+    / ((raw.n + 1) * ((SELECT count(*) FROM benchmark_f) + {importance.SMOOTHING}))::DOUBLE)) AS BIGINT) AS v
+  FROM raw LEFT JOIN aim ON aim.k = raw.k),
+weighed AS (SELECT id, count(*) AS n, CAST(sum(v) AS BIGINT) AS weight FROM documents_f JOIN named USING (g) JOIN gain USING (k) GROUP BY id),
+scored AS (SELECT d.id AS doc_id, len(w) AS n_words, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || d.id), 1, 8))::BIGINT + 0.5) / 4294967296))) AS BIGINT) AS score
+  FROM documents_w d LEFT JOIN weighed ON weighed.id = d.id),
+placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_words >= {importance.LEAST_WORDS})
+SELECT s.doc_id, n_features, weight, score,
+  CASE WHEN rank <= {importance.PERCENT} * (SELECT count(*) FROM placed) // 100 THEN rank END AS rank
+FROM scored s LEFT JOIN placed ON placed.doc_id = s.doc_id
+"""
+
 ORACLES: dict[str, str] = {
     "op1_mix_sources": OP1, "op3_secret_scan": OP3, "op8_rule_cascade": OP8, "op9_block_anchors": OP9, "op10_suffix_dedup": OP10,
+    "op12_importance_resampling": OP12,
 }
