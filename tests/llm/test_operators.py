@@ -249,56 +249,75 @@ def _x(data, seed=42):
 
 
 def _imatch(texts):
-    """Brute-force fingerprints of (doc_id, text) rows without ties."""
+    """Brute-force fingerprints of (doc_id, text) rows."""
     import re
 
     long = lambda v, n=8: (v % (1 << 8 * n)).to_bytes(n, "little")
     terms = lambda t: {_x(w.encode()) for w in re.split(imatch._SPLIT, t.lower()) if w}
-    df = Counter(h for _, t in texts for h in terms(t))
-    n = len(texts)
-    band = {h for h, c in df.items() if max(2, imatch.LEAST * n) <= c <= max(2, imatch.MOST * n)}
+    texts = sorted(((d, t or "") for d, t in texts), key=lambda r: (r[0] is None, -(r[0] or 0), _x(r[1].encode())))
+    distinct = {t for _, t in texts}
+    df = Counter(h for t in distinct for h in terms(t))
+    low, high = (max(2, share * len(distinct)) for share in (imatch.LEAST, imatch.MOST))
+    band, common = ({h for h, c in df.items() if low <= c <= high}, {h for h, c in df.items() if c >= low and c > high})
 
     def slots(t):
+        own = terms(t)
+        use = own & band or own - common or own
         out = []
-        for k in range(imatch.SLOTS):
-            mine = sorted(h for h in terms(t) & band if _x(long(k, 4), _x(long(h))) & ((2 << k // imatch.TIMES) - 1) == 0)
-            if not mine:
-                out.append("-")
-            elif len(mine) > imatch.FULL:
-                out.append("+")
-            else:
+        for family in range(imatch.TIMES):
+            for scale in range(imatch.SCALES):
+                mine = sorted(h for h in use if _x(long(family, 4), _x(long(h))) % (2 << scale) == 0)
                 seed = 42
                 for h in mine:
                     seed = _x(long(h), seed)
-                out.append(f"{seed & 0xFFFFFFFF:08x}")
+                out.append(f"{seed & 0xFFFFFFFF:08x}{'+' if len(mine) > imatch.FULL else ''}" if mine else "-")
         return out if any(x != "-" for x in out) else [f"text-{_x(t.encode()) % (1 << 64):x}"]
 
-    def near(a, b):
-        if a == b:
-            return 1.0
-        told = [(x, y) for x, y in zip(a + [None] * (len(b) - len(a)), b + [None] * (len(a) - len(b))) if not (x == y == "-" or "+" in (x, y))]
-        return sum(x == y for x, y in told) / len(told) if told else 0.0
+    def near(a, b, same):
+        told = [(x, y) for x, y in zip(a + [None] * (len(b) - len(a)), b + [None] * (len(a) - len(b)))
+                if not (x == y == "-" or (x or "").endswith("+") or (y or "").endswith("+"))]
+        return sum(x == y for x, y in told) / len(told) if told else float(same)
 
-    texts = sorted(texts, reverse=True)
-    out = []
+    n, out = len(texts), []
     for i, (d, t) in enumerate(texts):
         nxt = texts[(i + 1) % n][1]
         k = len(t) // 3
         edited = t[:len(t) - k] + nxt[:k]
         a, b, c = slots(t), slots(edited), slots(nxt)
-        out.append((d, len(t), hashlib.sha256(edited.encode()).hexdigest(), ",".join(a), ",".join(b), round(near(a, b), 9), round(near(a, c), 9)))
+        out.append((d, len(t), hashlib.sha256(edited.encode()).hexdigest(), ",".join(a), ",".join(b),
+                    round(near(a, b, t == edited), 9), round(near(a, c, t == nxt), 9)))
     return out
 
 
+def _rounded(rows):
+    return ordered((*r[:5], round(r[5], 9), round(r[6], 9)) for r in rows)
+
+
 def test_imatch(spark, messy, monkeypatch):
+    """Null and repeated ids included; buckets hold about three rows, so ids are cut over several."""
     monkeypatch.setattr(imatch, "BUCKET_ROWS", 3)
-    docs = common.documents(spark, messy).where("doc_id is not null and doc_id not in (12, 14)").select("doc_id", "text")
-    want = _imatch([(r["doc_id"], r["text"] or "") for r in docs.collect()])
-    folder = f"{messy}-imatch"
-    docs.write.mode("overwrite").parquet(f"{folder}/documents.parquet")
-    got = [(*r[:5], round(r[5], 9), round(r[6], 9)) for r in imatch.op7_imatch(spark, folder).collect()]
-    assert ordered(got) == ordered(want)
-    assert imatch.op7_imatch(spark, messy).count() == len(rows())
+    docs = common.documents(spark, messy).select("doc_id", "text")
+    assert _rounded(imatch.op7_imatch(spark, messy).collect()) == ordered(_imatch([tuple(r) for r in docs.collect()]))
+    more = docs.unionByName(spark.range(40).selectExpr("if(id < 25, null, 16) AS doc_id", "concat('same words here ', id, ' and there ', id % 5) AS text"))
+    more.write.mode("overwrite").parquet(f"{messy}-imatch/documents.parquet")
+    got = imatch.op7_imatch(spark, f"{messy}-imatch").collect()
+    assert _rounded(got) == ordered(_imatch([tuple(r) for r in more.collect()]))
+    cut = imatch.neighbours(more.withColumn("doc_id", imatch.F.col("doc_id").cast("long"))).where("not _extra")
+    assert cut.where("doc_id is null").select("_bucket").distinct().count() > 3
+
+
+def test_imatch_of_a_text_that_fills_a_third(spark, tmp_path):
+    """The copies keep their near matching: frequency counts distinct texts."""
+    docs = common.documents(spark, "/root/testdata/sf0.01").select("doc_id", "text")
+    one = docs.where("length(text) between 900 and 1500").orderBy("doc_id").first()["text"]
+    ids = spark.range(500).select((imatch.F.col("id") * 2 + 50_000).alias("doc_id"), imatch.F.lit(one).alias("text"))
+    spread = docs.withColumn("doc_id", imatch.F.col("doc_id") * 2 + 50_001).unionByName(ids)
+    spread.write.parquet(f"{tmp_path}/documents.parquet")
+    got = imatch.op7_imatch(spark, str(tmp_path)).toPandas()
+    copies = got[got.doc_id % 2 == 0]
+    assert len(copies) == 500 and not copies.fingerprint.str.startswith("text-").any()
+    apart = copies[copies.near_next < 1]
+    assert len(apart) > 300 and apart.near_edited.mean() > 0.25 > apart.near_next.mean()
 
 
 def test_imatch_tells_edits_from_neighbours(spark):
