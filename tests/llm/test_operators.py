@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
-from .conftest import rows
+from .conftest import _sentences, rows
 
 from trefoil.llm import anchors, bpe, cascade, common, imatch, mixing, quality, ring, secrets, simhash, suffix
 from trefoil.llm.components import components
@@ -348,6 +348,17 @@ def test_word_windows(spark, messy):
     assert ordered(map(tuple, got)) == ordered(want)
 
 
+def test_words_that_fool_polynomial_hashes(spark):
+    """Doubling patterns collide in every polynomial hash modulo 2^64; here they end otherwise equal windows."""
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate({97: 98, 98: 97})
+    same = _sentences(20, 34)
+    texts = [(1, f"{same} {word}"), (2, f"{same} {word.translate({97: 98, 98: 97})}"), (3, f"{word} {same}"), (4, f"{same} {word} end")]
+    got = anchors.without_repeats(spark.createDataFrame(texts, "doc_id long, text string"), segments=4).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in got} == {1: 35, 2: 0, 3: 0, 4: 35}
+
+
 def test_byte_windows(spark, messy):
     texts = [(r[0], (r[1] or "").encode()) for r in rows()]
     top = 1 << 62

@@ -4,21 +4,25 @@ A window is WINDOW consecutive words. Every document's non-overlapping blocks of
 2 * BLOCK - 1 <= WINDOW each window holds a whole block of its document. Every rolling run of BLOCK words of every document
 probes the index: at other places than its own blocks it hits if the index has its hash, at its own blocks if the index has it
 twice. Of two equal windows each holds a hit, namely where the other has its block. Hits extend to the windows
-around them, whose 96-bit hashes are then compared over the whole corpus; the windows found again are joined to maximal runs.
+around them. Their words' 128-bit BLAKE2b digests are compared over the whole corpus (the shorter hashes of the index only
+choose candidates); the windows found again are joined to maximal runs.
 
 1. blocks: a task sends each different block hash of a batch once; they are gathered by filter segment.
 2. The index as Bloom filters of fixed size (all blocks; blocks found twice) is broadcast. It lets some extra candidates
    through, never fewer. For a corpus whose blocks overfill it, raise ``segments``.
 3. questions: windows around hits. Windows that a batch holds twice are settled there; it asks about each different window
-   once, so that a passage in a third of all documents sends a row a batch and not a row a document.
+   once, so that a passage in a third of all documents asks a row a batch and not a row a document. What is settled goes
+   straight to its document's bucket.
 4. answers return to the document's bucket, where they meet the texts.
 
-Defined cases: a null, empty or blank text has no words, and one of fewer than WINDOW words keeps all; rows that repeat a doc_id and text
+Defined cases: a null, empty or blank text has no words, and one of fewer than WINDOW words keeps all; very long texts and words are
+read whole; windows that overlap themselves count; rows that repeat a doc_id and text
 are each other's copies; a null doc_id is kept; an empty table gives no rows; further columns are passed by.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +38,7 @@ from trefoil.llm import rolling as R
 WINDOW, BLOCK = 35, 18
 #: Filter segments of 64 KB each: 32 MB a filter.
 SEGMENTS = 512
-_ASK = np.dtype([("key", "<u8"), ("more", "<u4"), ("twice", "<u4"), ("ref", "<i8"), ("start", "<i4")])
+_ASK = np.dtype([("key", "<u8"), ("more", "<u8"), ("twice", "<u4"), ("ref", "<i8"), ("start", "<i4")])
 _ANSWER = np.dtype([("ref", "<i8"), ("start", "<i4")])
 
 
@@ -146,6 +150,15 @@ def candidates(words: np.ndarray, window: int, block: int, every: R.Bloom, many:
     return np.flatnonzero(np.cumsum(steps[:last + 1]) > 0)
 
 
+def window_names(text: str, starts: np.ndarray, window: int) -> np.ndarray:
+    """128 bits of BLAKE2b, as two integers, of the words of each window, joined by a space."""
+    words = text.encode().split()
+    ends = np.cumsum([len(w) + 1 for w in words])
+    line, digest = b" ".join(words), hashlib.blake2b
+    spans = zip((ends - [len(w) + 1 for w in words])[starts].tolist(), (ends[starts + window - 1] - 1).tolist())
+    return np.frombuffer(b"".join([digest(line[a:b], digest_size=16).digest() for a, b in spans]), "<u8").reshape(-1, 2)
+
+
 def questions(rows: DataFrame, filter_bytes: Broadcast, segments: int, window: int, block: int, buckets: int) -> DataFrame:
     """Kind 0: asked windows by key; kind 1: windows settled in their batch, on their way to the answers."""
 
@@ -159,8 +172,7 @@ def questions(rows: DataFrame, filter_bytes: Broadcast, segments: int, window: i
                 if not len(starts):
                     continue
                 part = np.zeros(len(starts), _ASK)
-                part["key"] = R.spans_hash(words, starts, starts + window)
-                part["more"] = R.spans_hash(R.word_hashes(text, 1), starts, starts + window, 1) >> np.uint64(32)
+                part["key"], part["more"] = window_names(text, starts, window).T
                 part["ref"], part["start"] = ref, starts
                 found.append(part)
             if not found:
@@ -175,7 +187,7 @@ def questions(rows: DataFrame, filter_bytes: Broadcast, segments: int, window: i
             yield packed((once["key"] % np.uint64(buckets)).astype(np.int64), once)
             known = asks[np.repeat(counts > 1, counts)]
             if len(known):
-                yield packed((known["key"] % np.uint64(buckets)).astype(np.int64), known, 1)
+                yield packed(known["ref"] % buckets, known, 1)
 
     return rows.select("text", "ref").mapInArrow(run, PACKED)
 
