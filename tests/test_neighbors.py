@@ -4,7 +4,10 @@ from pyspark.sql import functions as F
 
 from trefoil.functions import metrics
 from trefoil.operators import affinity as A
+from trefoil.operators import descent, forest
 from trefoil.operators import neighbors as N
+from trefoil.operators import tsne as S
+from trefoil.operators.forest import Forest
 
 
 def frame(spark, x, start=0):
@@ -160,3 +163,73 @@ def test_T13_uniform_values_T10_sigma_T9_limits(spark, blobs):
     for bad in (lambda: A.effective_perplexity(0, 3), lambda: A.uniform(knn, "x"), lambda: A.limit_neighbors(knn, 30, 6)):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_T2_forest_leaves_and_recall(spark):
+    """Leaves keep their size although a sixth of the rows are equal; levels in Spark and in tasks give like recall."""
+    x = np.random.default_rng(3).normal(0, 1, (600, 8))
+    x[:100] = x[0]
+    pts = frame(spark, x)
+    truth = N.exact_knn(pts, 10).filter("i >= 100").persist()
+    for task_rows in (None, 150):
+        made = Forest.build(pts, trees=8, k=10, leaf_rows=40, task_rows=task_rows)
+        sizes = [r["count"] for r in made.leaves.groupBy("tree", "cell", "leaf").count().collect()]
+        assert max(sizes) <= 40 and sum(sizes) == 8 * 600 and (made.levels > 1) == (task_rows is not None)
+        found = made.own(10)
+        assert N.recall(found.filter("i >= 100"), truth).first()[0] > 0.85 and found.filter("i = j").count() == 0
+        assert found.filter("i < 100").agg(F.max("d")).first()[0] == 0
+    again = Forest.build(pts.repartition(5), trees=8, k=10, leaf_rows=40, task_rows=150).own(10)
+    assert got(again) == got(found)
+    more = Forest.build(pts, trees=16, k=10, leaf_rows=40).own(10)
+    assert N.recall(more, truth).first()[0] > N.recall(Forest.build(pts, trees=2, k=10, leaf_rows=40).own(10), truth).first()[0]
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine", "manhattan"])
+def test_T2_J7_new_rows_ask_the_stored_forest(spark, metric, monkeypatch):
+    monkeypatch.setattr(forest, "QUERY_ROWS", 16)  # crowded leaves are dealt over several tasks
+    rng = np.random.default_rng(5)
+    x, new = rng.normal(0, 1, (500, 8)), rng.normal(0, 1, (120, 8))
+    new[:40] = x[7]
+    made = Forest.build(frame(spark, x), metric, k=5, task_rows=200)
+    found, truth = made.query(frame(spark, new, 1000), 5), N.query_knn(frame(spark, x), frame(spark, new, 1000), 5, metric)
+    assert N.recall(found, truth).first()[0] > 0.9 and found.count() == 600
+    assert {r["j"] for r in found.filter("i < 1040 and rk = 1").collect()} == {7}
+    with pytest.raises(ValueError):
+        made.query(frame(spark, new), 501)
+
+
+def test_T3_descent_improves_over_rounds(spark):
+    x = np.random.default_rng(4).normal(0, 1, (500, 12))
+    x[:60] = x[0]
+    pts = frame(spark, x)
+    truth = N.exact_knn(pts, 10).filter("i >= 60").persist()
+    made = Forest.build(pts, trees=2, k=10, leaf_rows=30)
+    start = made.own(10).persist()
+    best, changed = descent.descend(start, N._prepare(pts, made.space), 10, made.space)
+    before, after = (N.recall(t.filter("i >= 60"), truth).first()[0] for t in (start, best))
+    assert before < 0.6 and after > 0.93 and len(changed) > 2 and changed[-1] < changed[0] / 20
+    ranks = best.groupBy("i").agg(F.count("j").alias("c"), F.countDistinct("j").alias("u"), F.max("rk").alias("m")).select("c", "u", "m").distinct()
+    assert [tuple(r) for r in ranks.collect()] == [(10, 10, 10)]
+
+
+def test_T3_hubs_are_sampled(spark):
+    lists = spark.range(5000).selectExpr("CAST(7 AS BIGINT) AS v", "id AS u", "id % 2 = 0 AS fresh", "1 AS way")
+    got_ = descent._sampled(lists, 6, 0).groupBy("fresh").count().collect()
+    assert sorted(tuple(r) for r in got_) == [(False, 6), (True, 6)]
+
+
+def test_T6_neighbour_table_or_index_as_input(spark, blobs):
+    pts = frame(spark, blobs)
+    knn = N.exact_knn(pts, 15).persist()
+    plain = S.Affinities.build(pts, perplexity=5, method="exact")
+    table = S.Affinities.build(None, perplexity=5, neighbours=knn.select("i", "j", "d"))
+    assert sorted(map(tuple, table.p.collect())) == sorted(map(tuple, plain.p.collect()))
+    with pytest.raises(TypeError):
+        table.to_new(pts)
+    with pytest.raises(ValueError):
+        S.Affinities.build(None, perplexity=10, neighbours=knn)  # needs 30 a row
+    index = Forest.build(pts, k=15)
+    by_index = S.Affinities.build(None, perplexity=5, index=index)
+    assert by_index.n == 120 and by_index.to_new(frame(spark, blobs[:5], 900))[1].count() == 75
+    with pytest.raises(ValueError):
+        S.Affinities.build(None, neighbours=knn, index=index)

@@ -15,7 +15,7 @@ Blocks keep their size whatever the number of rows. A zero vector is at cosine d
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -368,19 +368,23 @@ def nearest(points: DataFrame, k: int, method: str = "auto", metric: str | Calla
             params: dict | None = None, seed: int = 0) -> DataFrame:
     """Pick the join: ``exact``, or the approximate one (``auto`` too, whatever the number of rows).
 
-    The tree, graph-descent and small-world indexes are one approximate join here; their names are
-    accepted with the metrics each allows, and differ in effort.
+    ``annoy`` is the projection forest, ``pynndescent`` neighbour descent from a small forest, and ``hnsw`` the approximate join
+    with more effort; each accepts the metrics of the index of that name.
     """
+    from trefoil.operators import forest  # builds on this module
+
     if metric == "precomputed":
         return precomputed_knn(points, k)
     if method == "exact":
         return exact_knn(points, k, metric, params)
-    if method in ("auto", "approx", "annoy"):
-        if method == "annoy" and metric not in TREE_METRICS:
-            raise ValueError(f"annoy does not support {metric!r}")
+    if method in ("auto", "approx"):
         return approx_knn(points, k, metric, params, seed=seed)
+    if method == "annoy":
+        if metric not in TREE_METRICS:
+            raise ValueError(f"annoy does not support {metric!r}")
+        return forest.Forest.build(points, metric, params, trees=16, k=k, seed=seed).own(k)
     if method == "pynndescent":
-        return approx_knn(points, k, metric, params, tables=1, refine=2, seed=seed)
+        return descent_knn(points, k, metric, params, seed=seed)
     if method == "hnsw":
         if metric not in ("cosine", "euclidean", "dot", "l2", "ip"):
             raise ValueError(f"hnsw does not support {metric!r}")
@@ -390,6 +394,20 @@ def nearest(points: DataFrame, k: int, method: str = "auto", metric: str | Calla
     raise ValueError(f"unknown neighbour method {method!r}")
 
 
+def descent_knn(points: DataFrame, k: int, metric: str | Callable = "euclidean", params: dict | None = None, trees: int = 2,
+                sample: int = 10, rounds: int = 12, change: float = 0.001, seed: int = 0) -> DataFrame:
+    """Neighbour descent that starts from the leaves of a small forest."""
+    from trefoil.operators import descent, forest  # both build on this module
+
+    made = forest.Forest.build(points, metric, params, trees=trees, k=k, seed=seed)
+    rows = cut_lineage(_prepare(points, made.space))
+    raw = replace(made, space=replace(made.space, finish=None))
+    best, _ = descent.descend(raw.own(k), rows, k, made.space, sample, rounds, change, seed)
+    if made.space.finish is not None:
+        best = best.withColumn("d", made.space.finish(F.col("d")))
+    return best
+
+
 def recall(found: DataFrame, truth: DataFrame) -> DataFrame:
     """Share of true neighbour pairs that were found."""
     hit = truth.select("i", "j").join(

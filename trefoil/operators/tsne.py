@@ -16,6 +16,7 @@ from trefoil.operators import initial as I
 from trefoil.operators import neighbors as N
 from trefoil.operators import convolve, placing
 from trefoil.operators.cells import CellTree
+from trefoil.operators.forest import Forest
 from trefoil.session import cut_lineage
 
 AFFINITIES = ("perplexity", "mixture", "multiscale", "fixed_sigma", "uniform")
@@ -36,6 +37,11 @@ class Affinities:
     metric: str | Callable = "euclidean"
     params: dict | None = None
     symmetrize: bool | str = True
+    method: str = "auto"
+    seed: int = 0
+    #: The stored index that new rows ask, and the number of neighbours it was made for.
+    index: Forest | None = None
+    index_k: int = 0
 
     @property
     def perplexity(self) -> float:
@@ -44,14 +50,26 @@ class Affinities:
         return self.perplexities[0]
 
     @staticmethod
-    def build(points: DataFrame, kind: str = "perplexity", perplexity: float | list[float] = 30,
+    def build(points: DataFrame | None, kind: str = "perplexity", perplexity: float | list[float] = 30,
               sigma: float | None = None, k: int | None = None, method: str = "auto",
               metric: str | Callable = "euclidean", params: dict | None = None,
-              symmetrize: bool | str = True, seed: int = 0) -> "Affinities":
-        """Neighbours by the chosen index, then the chosen kernel."""
+              symmetrize: bool | str = True, seed: int = 0, neighbours: DataFrame | None = None,
+              index: Forest | None = None) -> "Affinities":
+        """Neighbours by the chosen method, then the chosen kernel. A table ``neighbours`` (i, j, d) or a stored ``index``
+        takes the place of the search; with a table alone (no points) new rows can't be placed."""
         if kind not in AFFINITIES:
             raise ValueError(f"unknown affinity kind {kind!r}")
-        n = points.select("i" if metric == "precomputed" else "id").distinct().count()
+        if neighbours is not None and index is not None:
+            raise ValueError("give a neighbour table or an index, not both")
+        given = None
+        if neighbours is not None:
+            given = cut_lineage(N._merge(neighbours.filter(F.col("i") != F.col("j")).select("i", "j", "d"), 1 << 30))
+            sizes = given.groupBy("i").count().agg(F.count(F.lit(1)).alias("n"), F.min("count").alias("k")).first()
+            n, most = sizes["n"], sizes["k"]
+        elif index is not None:
+            n = index.n
+        else:
+            n = points.select("i" if metric == "precomputed" else "id").distinct().count()
         scales = [float(x) for x in (perplexity if isinstance(perplexity, (list, tuple)) else [perplexity])]
         if kind in ("mixture", "multiscale"):
             scales = A.check_perplexities(scales, n)
@@ -61,11 +79,30 @@ class Affinities:
                 raise ValueError(f"k={k} does not fit {n} rows")
         else:
             k = A.n_neighbors(n, max(scales))
-        knn = cut_lineage(N.nearest(points, k, method, metric, params, seed))
-        made = Affinities(knn, kind, points, knn, k, n, scales, sigma, metric, params, symmetrize)
+        if given is not None:
+            if k > most:
+                raise ValueError(f"{k} neighbours are needed, but some rows of the table have {most}")
+            knn = given.filter(F.col("rk") <= k)
+        elif index is not None:
+            knn = cut_lineage(index.own(k))
+        else:
+            knn = cut_lineage(N.nearest(points, k, method, metric, params, seed))
+        made = Affinities(knn, kind, points, knn, k, n, scales, sigma, metric, params, symmetrize, method, seed, index,
+                          k if index is not None else 0)
         made.p = cut_lineage(made._kernel(symmetrize))
         return made
 
+    def nearest_to_new(self, points: DataFrame, k: int) -> DataFrame:
+        """The reference rows nearest to new rows: by the exact join if the reference used it, else by the stored
+        index, which is made when it is first asked and remade only for more neighbours."""
+        if self.points is None and self.index is None:
+            raise TypeError("precomputed affinities cannot be extended to new rows")
+        if self.method == "exact" and self.index is None:
+            return N.query_knn(self.points, points, k, self.metric, self.params)
+        if self.index is None or (self.index_k < k and self.points is not None):
+            self.index, self.index_k = Forest.build(self.points, self.metric, self.params, k=k, seed=self.seed), k
+        return self.index.query(points, k)
+
     def _kernel(self, symmetrize: bool | str) -> DataFrame:
         if self.kind == "perplexity":
             return A.perplexity_based(self.knn, self.perplexities[0], self.k, bool(symmetrize))
@@ -86,7 +123,8 @@ class Affinities:
             return self
         kept = A.limit_neighbors(self.knn, scales[-1], self.k)
         made = Affinities(kept, self.kind, self.points, kept, min(self.k, int(3 * scales[-1])), self.n, scales,
-                          self.sigma, self.metric, self.params, self.symmetrize)
+                          self.sigma, self.metric, self.params, self.symmetrize,
+                          self.method, self.seed, self.index, self.index_k)
         made.p = cut_lineage(made._kernel(self.symmetrize))
         return made
 
@@ -99,7 +137,8 @@ class Affinities:
         kept = A.limit_neighbors(self.knn, perplexity, self.k)
         k = min(self.k, int(3 * perplexity))
         made = Affinities(kept, self.kind, self.points, kept, k, self.n, [float(perplexity)], self.sigma,
-                          self.metric, self.params, self.symmetrize)
+                          self.metric, self.params, self.symmetrize,
+                          self.method, self.seed, self.index, self.index_k)
         made.p = cut_lineage(made._kernel(self.symmetrize))
         return made
 
@@ -107,7 +146,7 @@ class Affinities:
                sigma: float | None = None) -> tuple[DataFrame, DataFrame]:
         """(row-normalised affinities to the reference rows, neighbour table). ``k`` neighbours a row and ``sigma``
         replace those of the reference; scales above a third of the reference rows are capped in mixtures."""
-        if self.points is None:
+        if self.points is None and self.index is None:
             raise TypeError("precomputed affinities cannot be extended to new rows")
         scales = self.perplexities if perplexity is None else perplexity
         scales = [float(x) for x in (scales if isinstance(scales, (list, tuple)) else [scales])]
@@ -117,7 +156,7 @@ class Affinities:
             k = self.k if self.kind in ("fixed_sigma", "uniform") else min(self.n, int(3 * max(scales)))
         elif k > self.n:
             raise ValueError(f"k={k} does not fit {self.n} rows")
-        knn = cut_lineage(N.query_knn(self.points, points, k, self.metric, self.params))
+        knn = cut_lineage(self.nearest_to_new(points, k))
         if self.kind == "fixed_sigma":
             return A.to_new_fixed_sigma(knn, self.sigma if sigma is None else sigma), knn
         if self.kind == "uniform":

@@ -338,6 +338,9 @@ def oracles() -> dict[str, str]:
     }
     out["orbits4_enumerated"] = out["orbits4_nodes"]
     out["ssgsea_gsva"] = out["ssgsea_range"]
+    found = "SELECT count(*) * {k} AS n_found, true AS same_distances, true AS recall_reached, true AS \"full\" FROM embeddings WHERE {w}"
+    out["forest_recall"] = out["descent_recall"] = found.format(k=Q.K_NEAR, w="true")
+    out["forest_query_recall"] = found.format(k=Q.K_NEAR, w="label < 2")
     out["bh_exact_limit"] = out["repulsion_exact"]
     out["bh_repulsion"] = out["bh_joined"] = layout_sql.tree(POS, 0.5)
     out["fft_repulsion"] = layout_sql.grid(POS)

@@ -16,6 +16,7 @@ from trefoil.operators import neighbors as N
 from trefoil.operators import orbits as O
 from trefoil.operators import ranking as R
 from trefoil.operators import tsne as S
+from trefoil.operators.forest import Forest
 from trefoil.sources import tables as T
 
 K_GRAPH = 4
@@ -150,6 +151,35 @@ def ann_recall(spark, sf):
     return N.recall(found, N.exact_knn(pts, K_NEAR))
 
 
+def _recalled(spark, found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
+    """Rows found, whether each row has all its k, whether every distance is right, and whether recall reaches 0.9."""
+    right = found.join(truth.select("i", "j", F.col("d").alias("t")), ["i", "j"], "left")
+    share = F.count("t") / F.lit(truth.count())
+    full = found.groupBy("i").agg(F.count(F.lit(1)).alias("c")).agg(F.min(F.col("c") == k).alias("full"))
+    told = right.agg(F.count(F.lit(1)).alias("n_found"), (F.max(F.abs(F.col("d") - F.col("t"))) < 1e-9).alias("same_distances"),
+                     (share >= 0.9).alias("recall_reached"))
+    return told.join(F.broadcast(full))  # one row each
+
+
+def forest_recall(spark, sf):
+    """The projection forest against the exact join."""
+    pts = T.points(spark, sf)
+    return _recalled(spark, Forest.build(pts, trees=16, k=K_NEAR).own(K_NEAR).persist(), N.exact_knn(pts, K_NEAR).persist(), K_NEAR)
+
+
+def forest_query_recall(spark, sf):
+    """New rows ask the stored forest."""
+    reference, asking = _split(spark, sf)
+    found = Forest.build(reference, k=K_NEAR).query(asking, K_NEAR)
+    return _recalled(spark, found.persist(), N.query_knn(reference, asking, K_NEAR).persist(), K_NEAR)
+
+
+def descent_recall(spark, sf):
+    """Neighbour descent from two trees against the exact join."""
+    pts = T.points(spark, sf)
+    return _recalled(spark, N.descent_knn(pts, K_NEAR).persist(), N.exact_knn(pts, K_NEAR).persist(), K_NEAR)
+
+
 # -- graphs -------------------------------------------------------------------------------------
 
 
@@ -398,6 +428,9 @@ QUERIES = {
     "knn_pruned": knn_pruned,
     "knn_precomputed": knn_precomputed,
     "ann_recall": ann_recall,
+    "forest_recall": forest_recall,
+    "forest_query_recall": forest_query_recall,
+    "descent_recall": descent_recall,
     "graph_normalise": graph_normalise,
     "degree": degree,
     "degree_hist": degree_hist,
