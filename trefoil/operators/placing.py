@@ -47,6 +47,11 @@ class GridField:
     def origin(self) -> tuple[float, ...]:
         return self.grid.low
 
+    @property
+    def ends(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places beyond the grid count as its edge."""
+        return np.array(self.grid.low), np.array(self.grid.low) + np.array(self.grid.boxes) * self.grid.width
+
     def region(self, places: list[Column]) -> list[Column]:
         """Rows beyond the grid belong to its outermost boxes."""
         out = []
@@ -109,6 +114,10 @@ class TreeField:
     def origin(self) -> tuple[float, ...]:
         return self.tree.low
 
+    @property
+    def ends(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.full(self.dims, -np.inf), np.full(self.dims, np.inf)
+
     def region(self, places: list[Column]) -> list[Column]:
         return [F.floor((p - F.lit(float(low))) / F.lit(self.width)).cast("long") for p, low in zip(places, self.origin)]
 
@@ -143,7 +152,7 @@ def place(layout: DataFrame, source: GridField | TreeField, plan: L.NewRows, til
     columns = [*layout_columns(dims), "weights", "places"]
     kinds = ", ".join(["id long", *[f"{c} double" for c in columns[1:-2]], "weights array<double>", "places array<double>"])
     kinds += ", done long, z double"
-    make, origin, width, margin = source.sampler(), np.array(source.origin), source.width, source.margin
+    make, origin, width, margin, ends = source.sampler(), np.array(source.origin), source.width, source.margin, source.ends
     names = columns + ["done", "z"]
 
     def run(mine: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
@@ -157,12 +166,19 @@ def place(layout: DataFrame, source: GridField | TreeField, plan: L.NewRows, til
         p[fill] = np.concatenate(mine["weights"].to_list())
         refs[fill] = np.concatenate(mine["places"].to_list()).reshape(-1, dims)
         sample = make(part, region)
+
+        def inside(at: np.ndarray) -> np.ndarray:
+            at = np.clip(at, *ends)
+            return ((at >= low) & (at <= high)).all(1)
+
         y, u, g, done = L.descend_rows(
             *(mine[ys(dims, k)].to_numpy(float) for k in "yug"), p, refs, sample, plan, mine["done"].to_numpy(np.int64),
-            lambda at: ((at >= low) & (at <= high)).all(1),
+            inside,
         )
         out = mine[["id"]].assign(**{f"{k}{c}": v[:, c] for k, v in (("y", y), ("u", u), ("g", g)) for c in range(dims)})
-        return out.assign(weights=mine["weights"], places=mine["places"], done=done, z=sample(y)[0])[names]
+        # A row that left with its last step is dealt once more, for its sum.
+        z = np.where(inside(y), sample(y)[0], np.nan)
+        return out.assign(weights=mine["weights"], places=mine["places"], done=done, z=z)[names]
 
     state = layout.select(*columns, F.lit(0).cast("long").alias("done"), F.lit(0.0).alias("z"))
     finished = []
@@ -176,7 +192,8 @@ def place(layout: DataFrame, source: GridField | TreeField, plan: L.NewRows, til
             "piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1))).drop("pieces")
         group = [*keys, "piece"]
         moved = cut_lineage(rows.groupBy(*group).cogroup(parts.groupBy(*group)).applyInPandas(run, kinds))
-        finished.append(moved.filter(F.col("done") >= plan.n_iter).drop("done"))
-        state = moved.filter(F.col("done") < plan.n_iter)
+        over = (F.col("done") >= plan.n_iter) & F.col("z").isNotNull() & ~F.isnan("z")
+        finished.append(moved.filter(over).drop("done"))
+        state = moved.filter(~over)
         if state.isEmpty():
             return reduce(DataFrame.unionByName, finished)

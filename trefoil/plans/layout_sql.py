@@ -4,6 +4,7 @@ from __future__ import annotations
 
 EPS = "2.220446049250313e-16"
 DEPTH = 26
+BUCKET = 8
 
 # pos(id, y0, y1) comes from the caller.
 _CELLS = f"""
@@ -15,7 +16,7 @@ fine AS (SELECT id, y0, y1,
          FROM pos, cube),
 paths AS (SELECT y0, y1, CAST(lv AS BIGINT) AS lv, k0 >> ({DEPTH} - lv) AS k0, k1 >> ({DEPTH} - lv) AS k1
           FROM (SELECT y0, y1, k0, k1, CAST(unnest(range(0, {DEPTH + 1})) AS INTEGER) AS lv FROM fine)),
-cells AS (SELECT lv, k0, k1, k0 >> 1 AS up0, k1 >> 1 AS up1, count(*) AS n,
+cells AS (SELECT lv, k0, k1, count(*) AS n,
                  CASE WHEN min(y0) = max(y0) AND min(y1) = max(y1) THEN min(y0) ELSE avg(y0) END AS m0,
                  CASE WHEN min(y0) = max(y0) AND min(y1) = max(y1) THEN min(y1) ELSE avg(y1) END AS m1,
                  (min(y0) = max(y0) AND min(y1) = max(y1)) OR lv = {DEPTH} AS leaf
@@ -27,14 +28,15 @@ def tree(pos: str, theta: float) -> str:
     return f"""WITH RECURSIVE {pos}, {_CELLS},
 walk AS (
   SELECT id, y0, y1, k0 AS own0, k1 AS own1, CAST(0 AS BIGINT) AS lv, CAST(0 AS BIGINT) AS k0, CAST(0 AS BIGINT) AS k1,
-         0.0::DOUBLE AS g0, 0.0::DOUBLE AS g1, 0.0::DOUBLE AS n, true AS opened FROM fine
+         0.0::DOUBLE AS g0, 0.0::DOUBLE AS g1, 0.0::DOUBLE AS n, (SELECT count(*) FROM pos) AS members, true AS opened FROM fine
   UNION ALL
-  SELECT id, y0, y1, own0, own1, lv, k0, k1, g0, g1, n,
+  SELECT id, y0, y1, own0, own1, lv, k0, k1, g0, g1, n, members,
          NOT leaf AND power(side / power(2.0, lv), 2) >= {theta * theta} * (g0 * g0 + g1 * g1 + {EPS}) AS opened
-  FROM (SELECT w.id, w.y0, w.y1, w.own0, w.own1, c.lv, c.k0, c.k1, c.leaf, side, c.n - own AS n,
+  FROM (SELECT w.id, w.y0, w.y1, w.own0, w.own1, c.lv, c.k0, c.k1, c.leaf, side, c.n AS members, c.n - own AS n,
                w.y0 - CASE WHEN own = 1 AND c.n > 1 THEN c.m0 + (c.m0 - w.y0) / (c.n - 1) ELSE c.m0 END AS g0,
                w.y1 - CASE WHEN own = 1 AND c.n > 1 THEN c.m1 + (c.m1 - w.y1) / (c.n - 1) ELSE c.m1 END AS g1
-        FROM walk w JOIN cells c ON c.lv = w.lv + 1 AND c.up0 = w.k0 AND c.up1 = w.k1, cube,
+        FROM walk w JOIN cells c ON c.lv = CASE WHEN w.members > {BUCKET} THEN w.lv + 1 ELSE {DEPTH} END
+               AND c.k0 >> CAST(c.lv - w.lv AS INTEGER) = w.k0 AND c.k1 >> CAST(c.lv - w.lv AS INTEGER) = w.k1, cube,
              LATERAL (SELECT CASE WHEN c.leaf AND w.own0 >> CAST({DEPTH} - c.lv AS INTEGER) = c.k0
                                    AND w.own1 >> CAST({DEPTH} - c.lv AS INTEGER) = c.k1 THEN 1 ELSE 0 END AS own) o
         WHERE w.opened) x)
