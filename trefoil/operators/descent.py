@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trefoil.operators import neighbors as N
-from trefoil.session import cut_lineage
+from trefoil.session import cut_lineage, written
 
 #: Parts in which a hub's reverse list is sampled first.
 PARTS = 64
@@ -70,7 +70,7 @@ def descend(start: DataFrame, rows: DataFrame, k: int, space: N.Space, sample: i
         kept = best.join(used, ["i", "j"], "left").select("i", "j", "d", (F.col("fresh") & F.col("used").isNull()).alias("fresh"))
         order = Window.partitionBy("i").orderBy("d", "j")
         both = kept.withColumn("came", F.lit(0)).unionByName(fresh.withColumn("came", F.lit(1)))
-        merged = cut_lineage(both.withColumn("rk", F.row_number().over(order)).filter(F.col("rk") <= k))
+        merged = written(both.withColumn("rk", F.row_number().over(order)).filter(F.col("rk") <= k))
         changed.append(merged.filter("came = 1").count())
         best = merged.drop("came")
         if changed[-1] <= change * n * k:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trefoil.operators.gradient import ys
-from trefoil.session import cut_lineage
+from trefoil.session import cut_lineage, written
 
 SPREAD = 1e-4
 
@@ -77,14 +77,14 @@ def spectral(p: DataFrame, dims: int = 2, seed: int = 0, tolerance: float = 1e-5
     start = random(deg.select(F.col("i").alias("id")), width, seed, 1.0)
     block = deg.join(start.toDF("i", *_block(0, width)), "i").withColumn("t0_0", F.lit(1.0))
     for _ in range(max_restarts):
-        basis = cut_lineage(block)
+        basis = written(block)
         for k in range(1, steps + 1):
             last = basis.select(F.col("i").alias("j"), *_block(k - 1, width))
             moved = edges.join(last, "j").groupBy("i").agg(*[F.sum(F.col("p") * F.col(c)).alias(f"w{c}") for c in _block(k - 1, width)])
             walked = {n: F.col(f"w{c}") / F.col("deg") for n, c in zip(_block(k, width), _block(k - 1, width))}
             if k > 1:
                 walked = {n: 2 * w - F.col(old) for (n, w), old in zip(walked.items(), _block(k - 2, width))}
-            basis = cut_lineage(basis.join(moved, "i").withColumns(walked).drop(*[f"w{c}" for c in _block(k - 1, width)]))
+            basis = written(basis.join(moved, "i").withColumns(walked).drop(*[f"w{c}" for c in _block(k - 1, width)]))
         values, mix, residual = _ritz(basis, width, steps)
         block = _combined(basis, mix[:, :width], width)
         if residual[: dims + 1].max() <= tolerance:

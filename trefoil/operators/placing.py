@@ -18,13 +18,14 @@ from pyspark.sql import functions as F
 
 from trefoil.functions import layout as L
 from trefoil.operators.cells import CellTree, ys
-from trefoil.session import cut_lineage
+from trefoil.session import cut_lineage, written
 
 TILE_ROWS = 1024
-#: Width of a region and of its margin, in boxes of the grid.
-REGION_BOXES, MARGIN_BOXES = 16, 4
-#: Regions across the map when a tree gives the field; half of one is the margin.
-REGIONS = 16
+#: Width of a region and of its margin, in boxes of the grid: a task holds 96 x 96 boxes at most, and the smallest grids are one region.
+REGION_BOXES, MARGIN_BOXES = 64, 16
+#: Regions across the map when a tree gives the field, and their least width; half of it is the margin. The kernel's length is one, so
+#: narrower regions would be left with every step; a map's width grows with its rows, so few rows lie in one of that width.
+REGIONS, LEAST_WIDTH = 16, 4.0
 
 
 @dataclass(frozen=True)
@@ -104,7 +105,7 @@ class TreeField:
 
     @property
     def width(self) -> float:
-        return self.tree.side / REGIONS
+        return max(self.tree.side / REGIONS, LEAST_WIDTH)
 
     @property
     def margin(self) -> float:
@@ -191,7 +192,7 @@ def place(layout: DataFrame, source: GridField | TreeField, plan: L.NewRows, til
         parts = source.parts(regions.select(*keys)).join(regions, keys).withColumn(
             "piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1))).drop("pieces")
         group = [*keys, "piece"]
-        moved = cut_lineage(rows.groupBy(*group).cogroup(parts.groupBy(*group)).applyInPandas(run, kinds))
+        moved = written(rows.groupBy(*group).cogroup(parts.groupBy(*group)).applyInPandas(run, kinds))
         over = (F.col("done") >= plan.n_iter) & F.col("z").isNotNull() & ~F.isnan("z")
         finished.append(moved.filter(over).drop("done"))
         state = moved.filter(~over)
