@@ -72,6 +72,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """Running totals of an array: each pass joins every entry with the one 1, 2, 4, ... places before, so n entries take
+    log2(n) passes and nothing is appended to a growing array."""
+    steps = F.array(*[F.lit(1 << i) for i in range(31)])
+
+    def scan(v: Column) -> Column:
+        return F.aggregate(F.filter(steps, lambda s: s < F.size(v)), v, lambda acc, s: F.transform(
+            acc, lambda x, i: F.when(i >= s, combine(x, F.get(acc, i - s))).otherwise(x)))
+
+    return let(values, scan)
+
+
 def rows_of(spark: SparkSession, rows: Iterable[tuple], schema: str) -> DataFrame:
     """A small table made on the driver (its size is bounded by parameters), without Python on the executors."""
     names = [c.strip().split(" ")[0] for c in schema.split(",")]

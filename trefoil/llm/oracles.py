@@ -31,10 +31,10 @@ FROM s JOIN q ON s.source IS NOT DISTINCT FROM q.source JOIN c ON s.source IS NO
 """
 
 
-def _located(name: str, pattern: str) -> str:
+def _located(name: str, pattern: str, source: str = "d") -> str:
     """Matches of a pattern with their places, from the lengths of what stands between them."""
     return rf"""
-{name}_m AS (SELECT doc_id, t, regexp_extract_all(t, $re${pattern}$re$) AS h, string_split_regex(t, $re${pattern}$re$) AS p FROM d
+{name}_m AS (SELECT doc_id, t, regexp_extract_all(t, $re${pattern}$re$) AS h, string_split_regex(t, $re${pattern}$re$) AS p FROM {source}
   WHERE regexp_matches(t, $re${pattern}$re$)),
 {name} AS (SELECT doc_id, hit, sum(gap + prev) OVER (PARTITION BY doc_id ORDER BY i) AS a, i FROM (
   SELECT doc_id, i, h[i] AS hit, length(p[i]) AS gap, CASE WHEN i > 1 THEN length(h[i - 1]) ELSE 0 END AS prev
@@ -44,21 +44,28 @@ def _located(name: str, pattern: str) -> str:
 def _entropy(name: str, kind: str) -> str:
     pattern, _, bits = secrets.CLASSES[kind]
     number, width, terms = secrets.KINDS.index(kind), secrets.WINDOW, secrets.terms()
-    allowed = " OR ".join(f"regexp_full_match(hit, $re${rule}$re$)" for rule in secrets.ALLOWED)
-    return rf"""{_located(name, pattern)},
-{name}_k AS MATERIALIZED (SELECT * FROM {name} WHERE NOT ({allowed})),
+    told = " OR ".join(f"regexp_full_match(span, $re${rule}$re$)" for rule in secrets.ALLOWED_SPANS)
+    return rf"""{_located(name, pattern, 'blank')},
+{name}_k AS MATERIALIZED (SELECT * FROM {name} WHERE NOT regexp_full_match(hit, $re${secrets.ALLOWED}$re$)),
 {name}_p AS MATERIALIZED (SELECT doc_id, a, w, substr(hit, CAST(w + 1 AS BIGINT), {width}) AS piece FROM {name}_k, unnest(range(0, length(hit) - {width} + 1)) AS u(w)),
 {name}_w AS (SELECT doc_id, a, w, sum({terms}[n + 1]) AS s FROM (
   SELECT doc_id, a, w, substr(piece, j, 1) AS c, count(*) AS n FROM {name}_p, unnest(range(1, {width} + 1)) AS v(j) GROUP BY ALL) GROUP BY ALL),
 {name}_g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, a ORDER BY w) AS run FROM (
   SELECT *, CASE WHEN w <= lag(w) OVER (PARTITION BY doc_id, a ORDER BY w) + {width} THEN 0 ELSE 1 END AS fresh
   FROM {name}_w WHERE s <= {secrets.most(bits)})),
-{name}_s AS (SELECT doc_id, {number} AS k, a + min(w) AS a, a + max(w) + {width} AS b FROM {name}_g GROUP BY doc_id, a, run)"""
+{name}_r AS (SELECT doc_id, a, min(w) AS v, max(w) + {width} AS w FROM {name}_g GROUP BY doc_id, a, run),
+{name}_s AS (SELECT doc_id, {number} AS k, a + v AS a, a + w AS b FROM (
+  SELECT r.*, substr(hit, CAST(v + 1 AS BIGINT), CAST(w - v AS BIGINT)) AS span FROM {name}_r r JOIN {name}_k USING (doc_id, a)) WHERE NOT ({told}))"""
 
 
 _NAMED = "CASE k " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(secrets.KINDS)) + " END || ':' || a || ':' || b"
+_BLANK = "t"
+for _word in secrets.WORDS:
+    _BLANK = f"regexp_replace({_BLANK}, '(?i){_word}', '{' ' * len(_word)}', 'g')"
+
 OP3 = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+blank AS (SELECT doc_id, {_BLANK} AS t FROM d),
 {_located('x0', secrets.ASSIGN)}, {_located('x1', secrets.ACCESS)}, {_located('x2', secrets.HEX)},
 base AS (
   SELECT doc_id, 0 AS k, a, a + length(hit) AS b FROM x0 WHERE length(regexp_extract(hit, $re${secrets.ASSIGN}$re$, 2)) >= 6
@@ -66,8 +73,11 @@ base AS (
   UNION ALL SELECT doc_id, 2, a, a + length(hit) FROM x2),
 {_entropy('e0', 'entropy_hex')},
 {_entropy('e1', 'entropy_base64')},
-added AS (SELECT * FROM (SELECT * FROM e0_s UNION ALL SELECT * FROM e1_s) e
-  WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = e.doc_id AND base.a < e.b AND e.a < base.b)),
+found AS (SELECT * FROM e0_s UNION ALL SELECT * FROM e1_s),
+cuts AS (SELECT doc_id, k, a, b FROM found UNION
+  SELECT found.doc_id, k, base.b, found.b FROM found JOIN (SELECT doc_id, a, b FROM base) base ON base.doc_id = found.doc_id AND base.b > found.a AND base.b < found.b),
+added AS (SELECT doc_id, k, a, least(b, coalesce((SELECT min(base.a) FROM base WHERE base.doc_id = cuts.doc_id AND base.a > cuts.a), b)) AS b
+  FROM cuts WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = cuts.doc_id AND base.a <= cuts.a AND cuts.a < base.b)),
 every AS (SELECT doc_id, string_agg({_NAMED}, ',' ORDER BY a, k, b) AS spans FROM (SELECT * FROM base UNION ALL SELECT * FROM added) GROUP BY doc_id),
 g AS (SELECT doc_id, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access,
   count(*) FILTER (WHERE k = 2) AS n_hex, string_agg({_NAMED}, ',' ORDER BY a, k, b) AS spans FROM base GROUP BY doc_id)
