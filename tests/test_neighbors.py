@@ -233,3 +233,49 @@ def test_T6_neighbour_table_or_index_as_input(spark, blobs):
     assert by_index.n == 120 and by_index.to_new(frame(spark, blobs[:5], 900))[1].count() == 75
     with pytest.raises(ValueError):
         S.Affinities.build(None, neighbours=knn, index=index)
+
+
+def _mass_rows(rng, n=40, d=7):
+    x = rng.integers(0, 4, (n, d)).astype(float)  # ties and empty entries
+    x[0] = 0.0
+    x[1] = 5.0
+    return x
+
+
+def test_X6_ranks_share_ties():
+    assert metrics.average_ranks(np.array([[3.0, 1.0, 3.0, 2.0], [5.0, 5.0, 5.0, 5.0]])).tolist() == [[3.5, 1.0, 3.5, 2.0], [2.5] * 4]
+    assert metrics.spearmanr(np.array([1.0, 2.0, 9.0]), np.array([0.0, 5.0, 6.0])) == pytest.approx(0.0)
+    assert metrics.spearmanr(np.array([1.0, 2.0, 9.0]), np.array([8.0, 5.0, 2.0])) == pytest.approx(2.0)
+
+
+def test_X6_transport_on_a_line_a_circle_and_between_far_places():
+    a, b = np.array([2.0, 0, 0, 0, 0, 0]), np.array([0, 0, 0, 0, 0, 1.0])
+    assert metrics.wasserstein_1d(a, b) == pytest.approx(5.0)
+    assert metrics.circular_kantorovich(a, b) == pytest.approx(1.0)  # one step the other way round
+    line = np.abs(np.subtract.outer(np.arange(6.0), np.arange(6.0)))
+    assert metrics.sinkhorn(a, b, cost=line) == pytest.approx(5.0)  # a single source and target leave no choice
+    near = metrics.sinkhorn(np.array([1.0, 1, 0, 0]), np.array([0.0, 1, 1, 0]), cost=line[:4, :4], regularization=0.02, rounds=2000)
+    assert near == pytest.approx(1.0, abs=0.02)
+
+
+def test_X6_divergences_and_bits():
+    p, q = np.array([0.5, 0.5, 0.0]), np.array([0.0, 0.5, 0.5])
+    assert metrics.jensen_shannon(p, q) == pytest.approx(0.5 * np.log(2), abs=1e-5)
+    assert metrics.symmetric_kl(p, p) == 0 and metrics.symmetric_kl(p, q) > 10
+    a, b = np.array([255.0, 0, 6]), np.array([15.0, 0, 3])
+    assert metrics.bit_hamming(a, b) == 6 and metrics.bit_jaccard(a, b) == pytest.approx(6 / 11)
+    assert metrics.bit_jaccard(a * 0, b * 0) == 0
+
+
+@pytest.mark.parametrize("metric", [
+    "spearmanr", "tsss", "wasserstein_1d", "circular_kantorovich", "sinkhorn", "jensen-shannon", "symmetric_kl", "bit_hamming", "bit_jaccard",
+])
+def test_X6_neighbours_equal_brute_force(spark, metric):
+    x = _mass_rows(np.random.default_rng(4))
+    found = N.exact_knn(frame(spark, x), 4, metric, block_rows=12)
+    _, fn = metrics.resolve(metric)
+    d = np.array([[float(fn(p, q)) for q in x] for p in x])
+    np.fill_diagonal(d, np.inf)
+    for r in found.collect():  # places of equal distances may differ in the last bit
+        assert r["d"] == pytest.approx(d[r["i"], r["j"]], abs=1e-9) and r["d"] == pytest.approx(np.sort(d[r["i"]])[r["rk"] - 1], abs=1e-9)
+    assert found.count() == 4 * len(x)

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Metrics for which the triangle inequality allows pruning.
-TRIANGLE = {"euclidean", "manhattan", "chebyshev", "minkowski", "seuclidean", "mahalanobis", "hamming"}
+TRIANGLE = {"euclidean", "manhattan", "chebyshev", "minkowski", "seuclidean", "mahalanobis", "hamming", "wasserstein_1d",
+            "bit_hamming"}
 
 # Other names accepted for the same metric.
 ALIASES = {
@@ -22,6 +23,9 @@ ALIASES = {
     "taxicab": "manhattan", "infinity": "chebyshev", "linfinity": "chebyshev",
     "linfty": "chebyshev", "linf": "chebyshev", "matching": "hamming", "ip": "inner_product",
     "canberra": "canberra", "standardised_euclidean": "seuclidean", "weighted_minkowski": "wminkowski",
+    "wasserstein-1d": "wasserstein_1d", "kantorovich-1d": "wasserstein_1d", "kantorovich_1d": "wasserstein_1d",
+    "circular_wasserstein": "circular_kantorovich", "jensen-shannon": "jensen_shannon", "symmetric-kl": "symmetric_kl",
+    "symmetric_kullback_liebler": "symmetric_kl",
 }
 
 
@@ -153,12 +157,96 @@ def hellinger(a, b):
     return np.sqrt(np.maximum(1.0 - _ratio(np.sum(np.sqrt(np.abs(a * b)), -1), norm), 0.0))
 
 
+def average_ranks(x):
+    """Ranks from 1 along the last axis; ties share their mean."""
+    n = x.shape[-1]
+    order = np.argsort(x, -1, kind="stable")
+    ordered = np.take_along_axis(x, order, -1)
+    place = np.broadcast_to(np.arange(n), x.shape)
+    new = np.concatenate([np.ones(x.shape[:-1] + (1,), bool), ordered[..., 1:] != ordered[..., :-1]], -1)
+    first = np.maximum.accumulate(np.where(new, place, 0), -1)
+    ends = np.concatenate([new[..., 1:], np.ones(x.shape[:-1] + (1,), bool)], -1)
+    last = np.minimum.accumulate(np.where(ends, place, n - 1)[..., ::-1], -1)[..., ::-1]
+    out = np.empty(x.shape)
+    np.put_along_axis(out, order, (first + last) / 2.0 + 1.0, -1)
+    return out
+
+
+def spearmanr(a, b):
+    return correlation(average_ranks(a), average_ranks(b))
+
+
+def tsss(a, b):
+    """Triangle times sector: the area between two vectors and that of the ring their difference sweeps, angle widened by 10 degrees."""
+    x, y = np.sqrt(np.sum(a * a, -1)), np.sqrt(np.sum(b * b, -1))
+    angle = np.arccos(np.clip(_ratio(np.sum(a * b, -1), x * y), -1.0, 1.0)) + np.radians(10.0)
+    return 0.5 * x * y * np.sin(angle) * (euclidean(a, b) + np.abs(x - y)) ** 2 * angle
+
+
+def _mass(x):
+    """Rows as distributions; a row without mass stays zero."""
+    return _ratio(x, np.sum(x, -1, keepdims=True))
+
+
+def wasserstein_1d(a, b, p=1.0):
+    return minkowski(np.cumsum(_mass(a), -1), np.cumsum(_mass(b), -1), p)
+
+
+def circular_kantorovich(a, b, p=1.0):
+    """Transport on a circle: the flow through every place is free up to a constant, whose best value is the median."""
+    flow = np.cumsum(_mass(a), -1) - np.cumsum(_mass(b), -1)
+    return np.sum(np.abs(flow - np.median(flow, -1, keepdims=True)) ** p, -1) ** (1.0 / p)
+
+
+def sinkhorn(a, b, cost=None, regularization=1.0, rounds=64):
+    """Entropic transport between rows as distributions; places are all 1 apart unless ``cost`` (d, d) is given."""
+    a, b = np.broadcast_arrays(_mass(a), _mass(b))
+    cost = 1.0 - np.eye(a.shape[-1]) if cost is None else np.asarray(cost, float)
+    kernel = np.exp(-cost / regularization)
+    u = np.ones_like(a)
+    for _ in range(rounds):
+        v = _ratio(b, u @ kernel)
+        u = _ratio(a, v @ kernel.T)
+    return np.sum(u * (v @ (kernel * cost).T), -1)
+
+
+#: Added to every entry before logarithms, so that empty entries have one (fixed value: spacing of single floats at 1).
+EPSILON = 2.0 ** -23
+
+
+def jensen_shannon(a, b):
+    p, q = _mass(a + EPSILON), _mass(b + EPSILON)
+    m = 0.5 * (p + q)
+    return 0.5 * np.sum(p * np.log(p / m) + q * np.log(q / m), -1)
+
+
+def symmetric_kl(a, b):
+    p, q = _mass(a + EPSILON), _mass(b + EPSILON)
+    return np.sum((p - q) * np.log(p / q), -1)
+
+
+def _bytes(x):
+    return np.asarray(x).astype(np.uint8)
+
+
+def bit_hamming(a, b):
+    """Differing bits of rows of packed bytes (entries 0 to 255)."""
+    return np.sum(np.bitwise_count(_bytes(a) ^ _bytes(b)), -1).astype(float)
+
+
+def bit_jaccard(a, b):
+    a, b = _bytes(a), _bytes(b)
+    either = np.sum(np.bitwise_count(a | b), -1).astype(float)
+    return _ratio(np.sum(np.bitwise_count(a ^ b), -1).astype(float), either)
+
+
 METRICS: dict[str, Callable] = {
     f.__name__: f
     for f in (
         euclidean, sqeuclidean, manhattan, chebyshev, minkowski, wminkowski, seuclidean, mahalanobis,
         cosine, angular, true_angular, correlation, dot, inner_product, braycurtis, canberra, hamming,
         jaccard, dice, kulsinski, rogerstanimoto, russellrao, sokalsneath, yule, haversine, hellinger,
+        spearmanr, tsss, wasserstein_1d, circular_kantorovich, sinkhorn, jensen_shannon, symmetric_kl, bit_hamming, bit_jaccard,
     )
 }
 METRICS["sokalmichener"] = rogerstanimoto

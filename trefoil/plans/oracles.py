@@ -58,11 +58,30 @@ DIST = {
 }
 
 
+#: Metrics on rows made otherwise: the rows, and the distance between them.
+MADE = {
+    "spearmanr": (
+        "list_transform(f, lambda x: len(list_filter(f, lambda y: y < x)) + (len(list_filter(f, lambda y: y = x)) + 1) / 2.0 - (len(f) + 1) / 2.0)",
+        DIST["cosine"]),
+    "wasserstein_1d": (
+        "list_transform(range(1, len(f) + 1), lambda i: list_sum(list_transform(f[1:i], lambda x: abs(x))) / list_sum(list_transform(f, lambda x: abs(x))))",
+        DIST["manhattan"]),
+    "jensen_shannon": (
+        "list_transform(f, lambda x: (abs(x) + power(2, -23)) / list_sum(list_transform(f, lambda y: abs(y) + power(2, -23))))",
+        "list_sum(list_transform(list_zip(a.f, b.f), lambda z: 0.5 * (z[1] * ln(2 * z[1] / (z[1] + z[2])) + z[2] * ln(2 * z[2] / (z[1] + z[2])))))"),
+    "bit_hamming": (
+        "list_transform(f, lambda x: CAST(floor(abs(x) * 1000) AS BIGINT) % 256)",
+        "list_sum(list_transform(list_zip(a.f, b.f), lambda z: bit_count(xor(z[1], z[2]))))::DOUBLE"),
+}
+
+
 def _knn(k: int, metric: str = "euclidean", pair: str = "a.id <> b.id") -> str:
-    return f"""{PTS},
+    rows, dist = (PTS, DIST[metric]) if metric in DIST else (
+        f"{PTS.replace('pts AS', 'raw AS', 1)}, pts AS (SELECT id, {MADE[metric][0]} AS f, label FROM raw)", MADE[metric][1])
+    return f"""{rows},
 knn AS (SELECT * FROM (
     SELECT i, j, d, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rk
-    FROM (SELECT a.id AS i, b.id AS j, {DIST[metric]} AS d FROM pts a, pts b WHERE {pair}))
+    FROM (SELECT a.id AS i, b.id AS j, {dist} AS d FROM pts a, pts b WHERE {pair}))
   WHERE rk <= {k})"""
 
 
@@ -344,7 +363,7 @@ def oracles() -> dict[str, str]:
     out["bh_exact_limit"] = out["repulsion_exact"]
     out["bh_repulsion"] = out["bh_joined"] = layout_sql.tree(POS, 0.5)
     out["fft_repulsion"] = layout_sql.grid(POS)
-    for m in DIST:
+    for m in (*DIST, *MADE):
         out[f"knn_{m}"] = f"WITH {_knn(Q.K_NEAR, m)} {KNN_OUT}"
     for k in (3, 4, 5):
         out[f"k{k}_nodes"] = _cliques(k)

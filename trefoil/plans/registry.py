@@ -133,6 +133,15 @@ def knn_query(spark, sf):
     return _r(N.query_knn(reference, asking, K_NEAR), "d")
 
 
+def _near_as(metric: str, made):
+    """Neighbours of rows whose entries ``made`` turns into masses or bytes."""
+    def run(spark, sf):
+        pts = T.points(spark, sf).withColumn("features", F.transform("features", made))
+        return _r(N.exact_knn(pts, K_NEAR, metric), "d")
+
+    return run
+
+
 def knn_pruned(spark, sf):
     """The block join with pivots and pruning, on blocks small enough to need it."""
     return _r(N.exact_knn(T.points(spark, sf), K_NEAR, block_rows=100), "d")
@@ -424,6 +433,10 @@ QUERIES = {
     "knn_chebyshev": _near("chebyshev"),
     "knn_cosine": _near("cosine"),
     "knn_canberra": _near("canberra"),
+    "knn_spearmanr": _near("spearmanr"),
+    "knn_wasserstein_1d": _near_as("wasserstein_1d", F.abs),
+    "knn_jensen_shannon": _near_as("jensen_shannon", F.abs),
+    "knn_bit_hamming": _near_as("bit_hamming", lambda x: (F.floor(F.abs(x) * 1000) % 256).cast("double")),
     "knn_query": knn_query,
     "knn_pruned": knn_pruned,
     "knn_precomputed": knn_precomputed,
