@@ -33,6 +33,8 @@ MAX_PIVOTS = 1024
 FANOUT, LEVELS = 64, 6
 # Pairs of cells that are broadcast; at most MAX_PIVOTS squared exist.
 BROADCAST_PAIRS = 1_000_000
+# Entries a row that neighbour descent keeps at least.
+DESCENT_LIST = 30
 # Metrics the tree-based approximate index supports.
 TREE_METRICS = ("cosine", "euclidean", "manhattan", "hamming", "dot", "l1", "l2", "taxicab")
 
@@ -396,13 +398,19 @@ def nearest(points: DataFrame, k: int, method: str = "auto", metric: str | Calla
 
 def descent_knn(points: DataFrame, k: int, metric: str | Callable = "euclidean", params: dict | None = None, trees: int = 2,
                 sample: int = 10, rounds: int = 12, change: float = 0.001, seed: int = 0) -> DataFrame:
-    """Neighbour descent that starts from the leaves of a small forest."""
+    """Neighbour descent that starts from the leaves of a small forest.
+
+    Lists shorter than the dimension of the neighbourhoods stall in a local optimum, so at least ``DESCENT_LIST`` entries
+    a row are kept on the way; the k best of them are returned.
+    """
     from trefoil.operators import descent, forest  # both build on this module
 
     made = forest.Forest.build(points, metric, params, trees=trees, k=k, seed=seed)
     rows = cut_lineage(_prepare(points, made.space))
     raw = replace(made, space=replace(made.space, finish=None))
-    best, _ = descent.descend(raw.own(k), rows, k, made.space, sample, rounds, change, seed)
+    width = max(k, min(DESCENT_LIST, made.n - 1))
+    best, _ = descent.descend(raw.own(width), rows, width, made.space, sample, rounds, change, seed)
+    best = best.filter(F.col("rk") <= k)
     if made.space.finish is not None:
         best = best.withColumn("d", made.space.finish(F.col("d")))
     return best
