@@ -2,8 +2,9 @@
 
 Cliques are listed along a degree order (each edge points to its higher-degree end, ties by id), so
 a node's out-list holds at most sqrt(2m) ids however large a hub is, and only real cliques become
-rows. Wedges are listed with the centre's edges cut into chunks, so a hub's pairs are spread over
-many tasks.
+rows. Joins on an end that a hub may dominate are cut: lookups of degrees broadcast the hubs, of which no more than
+BROADCAST_ROWS can exist at their degree, and triangles and wedges deal a hub's edges over chunks, so a hub's rows are spread
+over many tasks.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trefoil.session import BROADCAST_ROWS, cut_lineage
+
 # Edges of one centre that one join key may hold before it is split further.
 HUB_CHUNK = 4096
 
@@ -72,31 +75,49 @@ def degree_histogram(edges: DataFrame, nodes: DataFrame | None = None) -> DataFr
 
 
 def with_degrees(edges: DataFrame) -> DataFrame:
-    """Add the degrees of both ends as ``dx, dy``."""
-    deg = degrees(edges)
-    return edges.join(deg.toDF("x", "dx"), "x").join(deg.toDF("y", "dy"), "y")
+    """Add the degrees of both ends as ``dx, dy``.
+
+    Hubs are nodes above a degree that at most ``BROADCAST_ROWS`` nodes can exceed, as all degrees sum to 2m. Their edges
+    meet a broadcast of them; only edges of other nodes are shuffled by that end.
+    """
+    deg = cut_lineage(degrees(edges))
+    ends = deg.agg(F.sum("degree")).first()[0] or 0
+    floor = max(HUB_CHUNK, -(-ends // BROADCAST_ROWS))
+    light, hubs = deg.filter(F.col("degree") <= floor), deg.filter(F.col("degree") > floor)
+    some = not hubs.isEmpty()
+    for end, name in (("x", "dx"), ("y", "dy")):
+        found = edges
+        if some:
+            found = edges.join(F.broadcast(hubs.select(F.col("v").alias(end))), end, "left_anti")
+        found = found.join(light.toDF(end, name), end)
+        edges = found.unionByName(edges.join(F.broadcast(hubs.toDF(end, name)), end)) if some else found
+    return edges
 
 
 def oriented(edges_with_degrees: DataFrame) -> DataFrame:
-    """``a, b`` with (degree, id) of a below that of b."""
+    """``a, b`` with (degree, id) of a below that of b, and their degrees ``da, db``."""
     flip = (F.col("dx") > F.col("dy")) | ((F.col("dx") == F.col("dy")) & (F.col("x") > F.col("y")))
     return edges_with_degrees.select(
         F.when(flip, F.col("y")).otherwise(F.col("x")).alias("a"),
         F.when(flip, F.col("x")).otherwise(F.col("y")).alias("b"),
+        F.least("dx", "dy").alias("da"), F.greatest("dx", "dy").alias("db"),
     )
 
 
 def out_lists(arcs: DataFrame) -> DataFrame:
-    """``a, out``: sorted higher neighbours, at most sqrt(2m) of them."""
-    return arcs.groupBy("a").agg(F.sort_array(F.collect_list("b")).alias("out"))
+    """``a, da, out``: sorted higher neighbours, at most sqrt(2m) of them, and the degree of a."""
+    return arcs.groupBy("a").agg(F.max("da").alias("da"), F.sort_array(F.collect_list("b")).alias("out"))
 
 
-def triangle_list(arcs: DataFrame, outs: DataFrame) -> DataFrame:
-    """Each triangle once as ``a, b, c`` with ``both``, the higher common neighbours of a and b."""
-    heads = outs.select(F.col("a").alias("b"), F.col("out").alias("out_b"))
+def triangle_list(arcs: DataFrame, outs: DataFrame, chunk: int = HUB_CHUNK) -> DataFrame:
+    """Each triangle once as ``a, b, c`` with ``both``, the higher common neighbours of a and b.
+
+    The arcs into a hub b are dealt over chunks, and its list is repeated once a chunk.
+    """
+    heads = outs.select(F.col("a").alias("b"), F.col("da").alias("db"), F.col("out").alias("out_b"))
+    tails = arcs.select("a", "b", "db").join(outs.select("a", "out"), "a")
     return (
-        arcs.join(outs, "a")
-        .join(heads, "b")
+        chunked_join(tails, heads, "b", "db", chunk, ["a"])
         .withColumn("both", F.array_intersect("out", "out_b"))
         .filter(F.size("both") > 0)
         .select("a", "b", "both", F.explode("both").alias("c"))
@@ -142,10 +163,10 @@ def edge_membership(cliques: DataFrame, cols: list[str], name: str) -> DataFrame
     )
 
 
-def edge_triangles(edges: DataFrame) -> DataFrame:
+def edge_triangles(edges: DataFrame, chunk: int = HUB_CHUNK) -> DataFrame:
     """``x, y, triangles`` for every edge, 0 included."""
     arcs = oriented(with_degrees(edges))
-    listed = triangle_list(arcs, out_lists(arcs))
+    listed = triangle_list(arcs, out_lists(arcs), chunk)
     counts = edge_membership(listed, ["a", "b", "c"], "triangles")
     return edges.select("x", "y").join(counts, ["x", "y"], "left").fillna(0, subset=["triangles"])
 
@@ -168,14 +189,16 @@ def node_cliques(edges: DataFrame, size: int, nodes: DataFrame | None = None) ->
     return base.select("v").join(found, "v", "left").fillna(0, subset=["n_cliques"])
 
 
-def chunked_join(left: DataFrame, right: DataFrame, key: str, degree: str, chunk: int) -> DataFrame:
-    """Join on ``key`` with the left rows of a big key cut into chunks of about ``chunk`` rows.
+def chunked_join(left: DataFrame, right: DataFrame, key: str, degree: str, chunk: int,
+                 by: list[str] | None = None) -> DataFrame:
+    """Join on ``key`` with the left rows of a big key cut into chunks of about ``chunk`` rows, by a hash of the columns
+    ``by`` (all).
 
     ``degree`` (carried by both sides) is the number of rows of the key; the right rows of a big
     key are repeated once per chunk, those of ordinary keys are not.
     """
     parts = F.greatest(F.ceil(F.col(degree) / F.lit(chunk)), F.lit(1)).cast("int")
-    cut = left.withColumn("_chunk", F.pmod(F.xxhash64(*left.columns), parts).cast("int")).drop(degree)
+    cut = left.withColumn("_chunk", F.pmod(F.xxhash64(*(by or left.columns)), parts).cast("int")).drop(degree)
     repeated = right.withColumn("_chunk", F.explode(F.sequence(F.lit(0), parts - 1)))
     return cut.join(repeated, [key, "_chunk"]).drop("_chunk")
 
