@@ -86,6 +86,22 @@ knn AS (SELECT * FROM (
 
 
 SPLIT = "a.label < 2 AND b.label >= 2"
+# All pairs of customers, whether they share a part or not.
+BASKETS = """cells AS (SELECT o_custkey AS id, l_partkey AS dim, sum(l_quantity)::DOUBLE AS w FROM lineitem
+    JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
+sizes AS (SELECT c_custkey AS id, coalesce(sum(w * w), 0) AS norm, count(w) AS n FROM customer LEFT JOIN cells ON id = c_custkey GROUP BY 1),
+common AS (SELECT a.id AS i, b.id AS j, sum(a.w * b.w) AS dot, count(*) AS n FROM cells a JOIN cells b USING (dim)
+    WHERE a.id <> b.id GROUP BY 1, 2),
+pairs AS (SELECT a.id AS i, b.id AS j, coalesce(c.dot / (sqrt(a.norm) * sqrt(b.norm)), 0) AS cosine,
+    coalesce(c.n / (a.n + b.n - c.n), 0) AS jaccard
+    FROM sizes a JOIN sizes b ON a.id <> b.id LEFT JOIN common c ON c.i = a.id AND c.j = b.id)"""
+
+
+def _sparse(metric: str) -> str:
+    return f"""WITH {BASKETS}, knn AS (SELECT i, j, 1 - {metric} AS d, row_number() OVER (PARTITION BY i ORDER BY 1 - {metric}, j) AS rk
+        FROM pairs QUALIFY rk <= {Q.K_NEAR}) {KNN_OUT}"""
+
+
 KNN_OUT = "SELECT i, j, round(d, 6) AS d, rk::INTEGER AS rk FROM knn"
 
 GRAPH = f"""{_knn(Q.K_GRAPH)},
@@ -360,6 +376,7 @@ def oracles() -> dict[str, str]:
     found = "SELECT count(*) * {k} AS n_found, true AS same_distances, true AS recall_reached, true AS \"full\" FROM embeddings WHERE {w}"
     out["forest_recall"] = out["descent_recall"] = found.format(k=Q.K_NEAR, w="true")
     out["forest_query_recall"] = found.format(k=Q.K_NEAR, w="label < 2")
+    out["knn_sparse_cosine"], out["knn_sparse_jaccard"] = _sparse("cosine"), _sparse("jaccard")
     out["bh_exact_limit"] = out["repulsion_exact"]
     out["bh_repulsion"] = out["bh_joined"] = layout_sql.tree(POS, 0.5)
     out["fft_repulsion"] = layout_sql.grid(POS)

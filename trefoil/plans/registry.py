@@ -17,6 +17,7 @@ from trefoil.operators import orbits as O
 from trefoil.operators import ranking as R
 from trefoil.operators import tsne as S
 from trefoil.operators.forest import Forest
+from trefoil.operators.sparse import sparse_knn
 from trefoil.sources import tables as T
 
 K_GRAPH = 4
@@ -154,6 +155,15 @@ def knn_precomputed(spark, sf):
     return _r(N.precomputed_knn(dist, K_NEAR), "d")
 
 
+def _sparse(metric: str):
+    """All customers, those who bought nothing too, by the parts they bought."""
+    def run(spark, sf):
+        ids = T.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
+        return _r(sparse_knn(T.baskets(spark, sf), K_NEAR, metric, ids), "d")
+
+    return run
+
+
 def ann_recall(spark, sf):
     pts = T.points(spark, sf)
     found = N.approx_knn(pts, K_NEAR, block_rows=64)
@@ -444,6 +454,8 @@ QUERIES = {
     "forest_recall": forest_recall,
     "forest_query_recall": forest_query_recall,
     "descent_recall": descent_recall,
+    "knn_sparse_cosine": _sparse("cosine"),
+    "knn_sparse_jaccard": _sparse("jaccard"),
     "graph_normalise": graph_normalise,
     "degree": degree,
     "degree_hist": degree_hist,

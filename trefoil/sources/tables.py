@@ -58,3 +58,12 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("embedding").cast("array<double>").alias("features"),
         F.col("label"),
     )
+
+
+def baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as sparse rows ``id, dim, weight``: the quantity of every part they bought."""
+    sold = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    bought = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return sold.join(bought, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("o_custkey").alias("id"), F.col("l_partkey").alias("dim"), F.col("l_quantity").alias("weight")
+    )
