@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from fractions import Fraction
 from functools import lru_cache
-from itertools import permutations, product
+from itertools import permutations
 from math import gcd
 
 # The standard numbering of graphlets and their node orbits.
@@ -235,27 +235,3 @@ def solve_nodes(features: dict[str, str], size: int):
         o: ({p: c for p, c in zip(order, coeffs) if c}, den)
         for o, (coeffs, den) in zip(targets, inverse)
     }
-
-
-def count_homs(edges: list[tuple[int, int]], nbrs: list[set[int]], start: tuple[int, ...]) -> int:
-    """Plain recursive homomorphism count in a small graph; the tests' independent check."""
-    k = size_of(edges)
-    earlier = [[b for a, b in edges if a == x and b < x] + [a for a, b in edges if b == x and a < x]
-               for x in range(k)]
-
-    def extend(image):
-        x = len(image)
-        if x == k:
-            return 1
-        pools = [nbrs[image[z]] for z in earlier[x]]
-        options = set.intersection(*pools) if pools else set(range(len(nbrs)))
-        return sum(extend(image + (y,)) for y in options)
-
-    return extend(tuple(start))
-
-
-def all_masks(k: int):
-    """Every labelled graph on k nodes as an edge list."""
-    pairs = [(i, j) for i in range(k) for j in range(i + 1, k)]
-    for bits in product((0, 1), repeat=len(pairs)):
-        yield [p for p, b in zip(pairs, bits) if b]

@@ -1,4 +1,4 @@
-"""Session helpers: a tuned local session, lineage cuts and size-checked broadcasts."""
+"""Session helpers: a tuned local session, lineage cuts and the size bound of broadcasts."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # A side is broadcast only when a count proves it has no more rows than this.
 BROADCAST_ROWS = 2_000_000
@@ -75,10 +74,3 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{spark.sparkContext.getCheckpointDir()}/round-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only when at most ``max_rows`` rows exist; otherwise leave a shuffle join."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
