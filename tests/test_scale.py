@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from trefoil.functions import layout as L
 from trefoil.functions import metrics
 from trefoil.functions.kernels import Nearest
+from trefoil.operators import enrichment as E
 from trefoil.operators import neighbors as N
+from trefoil.plans.registry import QUERIES
+from trefoil.sources import tables as T
 
 
 def test_walk_over_an_open_tree_holds_a_bounded_number_of_pairs():
@@ -80,3 +83,19 @@ def test_exact_join_copies_rows_a_fixed_number_of_times(spark, monkeypatch, metr
     want = np.sort(dist, 1)[:, :5]
     have = got.toPandas().sort_values(["i", "d"])["d"].to_numpy().reshape(400, 5)
     assert np.allclose(have, want, atol=1e-9)
+
+
+def _tables(folder, spark, sf, parts: int) -> str:
+    """The tables at ``sf`` with ``parts`` parts of one brand."""
+    for name in ("lineitem", "orders", "customer", "nation"):
+        (folder / f"{name}.parquet").symlink_to(f"{sf}/{name}.parquet")
+    part = spark.read.parquet(f"{sf}/part.parquet").filter("p_partkey = 1").drop("p_partkey")
+    spark.range(1, parts + 1).select(F.col("id").alias("p_partkey")).crossJoin(F.broadcast(part)).write.parquet(f"{folder}/part.parquet")
+    return str(folder)
+
+
+def test_no_set_of_the_asked_size_gives_no_scores(spark, sf, tmp_path):
+    many = _tables(tmp_path, spark, sf, 120)
+    assert QUERIES["ssgsea_sizes"](spark, many).count() == 0
+    with pytest.raises(Exception, match="no gene set"):
+        E.score(T.expression(spark, many), T.gene_sets(spark, many), min_size=75, max_size=90).count()

@@ -22,6 +22,7 @@ from trefoil.session import BROADCAST_ROWS
 
 PROFILES = ("stable", "single_sample_gsea_0.2")
 CORREL_NORMS = ("rank", "zscore")
+NO_SETS = ("error", "empty")
 NORMALIZATIONS = ("raw", "sample_zscore", "global_range")
 
 
@@ -36,7 +37,7 @@ class CompiledGeneSets:
         return F.broadcast(self.members) if self.rows <= BROADCAST_ROWS else self.members
 
 
-def compile_gene_sets(gene_sets: DataFrame) -> CompiledGeneSets:
+def compile_gene_sets(gene_sets: DataFrame, no_sets: str = "error") -> CompiledGeneSets:
     """Stringify ids, drop duplicates and empty names, persist, and count for the join choice."""
     members = (
         gene_sets.select(
@@ -47,7 +48,7 @@ def compile_gene_sets(gene_sets: DataFrame) -> CompiledGeneSets:
         .persist()
     )
     rows = members.count()
-    if rows == 0:
+    if rows == 0 and no_sets != "empty":
         raise ValueError("no row of gene_sets names both a set and a gene, so gene_sets is empty")
     return CompiledGeneSets(members, rows)
 
@@ -129,6 +130,7 @@ def score(
     max_size: int | None = None,
     coverage: str = "window",
     flat_samples: str = "error",
+    no_sets: str = "error",
     strategy: str = "auto",
 ) -> DataFrame:
     """Enrichment score per (sample, set_name).
@@ -136,7 +138,7 @@ def score(
     ``coverage`` says when a set covering every row is an error: ``window`` (only inside the size
     window) or ``always`` (before the size filter, with ``max_size`` defaulting to N-1).
     ``flat_samples`` says whether a sample of equal values is an error or scored from its tied ranks (``keep``).
-    It is an error too if no set has a member in range in any sample.
+    It is an error too if no set has a member in range in any sample, unless ``no_sets`` is ``empty``: then there are no scores.
     Both profiles use the stable tie order; the legacy profile's unstable sort has no defined
     order to reproduce and only changes the default weights.
     """
@@ -144,8 +146,10 @@ def score(
     check_sizes(min_size, max_size)
     if normalization not in NORMALIZATIONS:
         raise ValueError(f"unknown normalization {normalization!r}")
+    if no_sets not in NO_SETS:
+        raise ValueError(f"unknown rule for no sets {no_sets!r}")
     weights = _resolve(profile, correl_norm_type)
-    compiled = gene_sets if isinstance(gene_sets, CompiledGeneSets) else compile_gene_sets(gene_sets)
+    compiled = gene_sets if isinstance(gene_sets, CompiledGeneSets) else compile_gene_sets(gene_sets, no_sets)
     clean = finite_expression(expression)
     hits = weighted_ranks(clean, alpha, weights, strategy).join(compiled.side(), "gene")
     sums = hits.groupBy("sample", "set_name").agg(
@@ -181,7 +185,8 @@ def score(
         scored = sums.filter(window).withColumn("score", raw)
     else:
         raise ValueError(f"unknown coverage rule {coverage!r}")
-    return normalize_scores(_not_empty(scored.select("sample", "set_name", "score")), normalization)
+    scores = scored.select("sample", "set_name", "score")
+    return normalize_scores(scores if no_sets == "empty" else _not_empty(scores), normalization)
 
 
 def _not_empty(scores: DataFrame) -> DataFrame:
