@@ -103,3 +103,17 @@ def test_no_set_of_the_asked_size_gives_no_scores(spark, sf, tmp_path):
 
 def test_prefix_of_no_qualifying_set_gives_no_scores(spark, sf, tmp_path):
     assert QUERIES["ssgsea_prefix"](spark, _tables(tmp_path, spark, sf, 10_001)).count() == 0
+
+
+def test_table_of_all_distances_is_thinned_before_it_is_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(N, "PAIR_ROWS", 100)
+    x = np.random.default_rng(2).normal(0, 1, (300, 4))
+    pts = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, features array<double>")
+    dist = N.all_distances(pts, "manhattan")
+    assert dist.count() == 300 * 299 and dist.filter("i = j").count() == 0
+    assert N._best_of_batches(dist, 5).count() < 300 * 299 / 5
+    want = {(r["i"], r["j"], r["rk"]) for r in N.exact_knn(pts, 5, "manhattan").collect()}
+    assert {(r["i"], r["j"], r["rk"]) for r in N.precomputed_knn(dist, 5).collect()} == want
+    odd = spark.createDataFrame([(1, 2, None), (1, 3, 0.5), (1, 4, float("nan")), (1, 1, 0.0), (2, 1, 0.5)], "i long, j long, d double")
+    assert [(r["i"], r["j"], r["rk"]) for r in N.precomputed_knn(odd, 3).orderBy("i", "rk").collect()] == [
+        (1, 2, 1), (1, 3, 2), (1, 4, 3), (2, 1, 1)]

@@ -21,6 +21,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +37,10 @@ MAX_PIVOTS = 1024
 FANOUT, LEVELS = 64, 6
 # Tiles a side of the exact join, and the bounds of a tile: rows that are worth a task, and entries that it may hold.
 TILES, TILE_LEAST, TILE_ENTRIES = 16, 2048, 1 << 22
+# Rows a side of a block of the table of all distances; a task hands out the square of it at once.
+PAIR_ROWS = 1024
+# Tasks of that table at most.
+PAIR_TASKS = 1024
 # Entries a row that neighbour descent keeps at least.
 DESCENT_LIST = 30
 # Metrics the tree-based approximate index supports.
@@ -391,9 +396,56 @@ def _measure(fn: Callable):
     return F.pandas_udf(batch, "double")(F.col("fi"), F.col("fj"))
 
 
+def all_distances(points: DataFrame, metric: str | Callable = "euclidean", params: dict | None = None) -> DataFrame:
+    """``i, j, d`` for every two different rows, in both orders. The table has the square of the rows and is handed out block
+    by block: it is neither shuffled nor held anywhere."""
+    space = space_of(metric, _from_data(points, metric, params))
+    rows = cut_lineage(_prepare(points, space))
+    parts = max(1, -(-rows.count() // PAIR_ROWS))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
+    own = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("long")
+    left = rows.select("id", "features", own.alias("a")).withColumn("b", every)
+    right = rows.select(F.col("id").alias("r_id"), F.col("features").alias("r_features"), own.alias("r_b")).withColumn("r_a", every)
+    fn, finish = space.fn, space.finish or (lambda d: d)
+
+    def measure(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if len(q) == 0 or len(r) == 0:
+            return pd.DataFrame({"i": [], "j": [], "d": []})
+        x, y = _stack(q["features"]), _stack(r["r_features"])
+        step = max(1, 250_000 // y.size)
+        d = np.concatenate([np.asarray(fn(x[at:at + step, None, :], y[None]), dtype=float) for at in range(0, len(x), step)]).ravel()
+        i, j = np.repeat(q["id"].to_numpy(), len(r)), np.tile(r["r_id"].to_numpy(), len(q))
+        other = i != j
+        return pd.DataFrame({"i": i[other], "j": j[other], "d": finish(d[other])})
+
+    # Not left to the coalescing of small partitions: their pairs are much work.
+    tasks = min(parts * parts, PAIR_TASKS)
+    left, right = left.repartition(tasks, "a", "b"), right.repartition(tasks, "r_a", "r_b")
+    return left.groupBy("a", "b").cogroup(right.groupBy("r_a", "r_b")).applyInPandas(measure, _HIT)
+
+
+def _best_of_batches(hits: DataFrame, k: int) -> DataFrame:
+    """``i, j, d`` without rows that k others next to them are nearer than, so that a merge shuffles what is left only."""
+    def best(batches):
+        for batch in batches:
+            i, d = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("i", "d"))
+            if batch.column("d").null_count:
+                d = np.where(batch.column("d").is_null(), -np.inf, d)  # a missing distance comes first, NaN last, as in the merge
+            starts = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])) if len(i) else np.zeros(0, int)
+            ends, keep = np.append(starts[1:], len(i)), np.ones(len(i), bool)
+            for run in np.flatnonzero(ends - starts > k):
+                of = slice(starts[run], ends[run])
+                keep[of] = ~(d[of] > np.partition(d[of], k - 1)[k - 1])
+            yield batch.filter(pa.array(keep))
+
+    return hits.mapInArrow(best, _HIT)
+
+
 def precomputed_knn(dist: DataFrame, k: int) -> DataFrame:
     """From long-form distances ``i, j, d``: the k nearest others of every i."""
-    return _merge(dist.filter(F.col("i") != F.col("j")).select("i", "j", "d"), k)
+    others = dist.filter(F.col("i") != F.col("j")).select(
+        F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("d").cast("double").alias("d"))
+    return _merge(_best_of_batches(others, k), k)
 
 
 def precomputed_query(dist: DataFrame, k: int) -> DataFrame:
@@ -467,6 +519,6 @@ def symmetric_graph(knn: DataFrame) -> DataFrame:
 
 
 __all__ = [
-    "approx_knn", "exact_knn", "nearest", "precomputed_knn", "precomputed_query",
+    "all_distances", "approx_knn", "exact_knn", "nearest", "precomputed_knn", "precomputed_query",
     "query_knn", "recall", "symmetric_graph",
 ]

@@ -151,9 +151,7 @@ def knn_pruned(spark, sf):
 
 def knn_precomputed(spark, sf):
     """A table of all distances is the input."""
-    pts = T.points(spark, sf)
-    dist = N.exact_knn(pts, pts.count() - 1).select("i", "j", "d")
-    return _r(N.precomputed_knn(dist, K_NEAR), "d")
+    return _r(N.precomputed_knn(N.all_distances(T.points(spark, sf)), K_NEAR), "d")
 
 
 def _sparse(metric: str):
