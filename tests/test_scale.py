@@ -117,3 +117,21 @@ def test_table_of_all_distances_is_thinned_before_it_is_shuffled(spark, monkeypa
     odd = spark.createDataFrame([(1, 2, None), (1, 3, 0.5), (1, 4, float("nan")), (1, 1, 0.0), (2, 1, 0.5)], "i long, j long, d double")
     assert [(r["i"], r["j"], r["rk"]) for r in N.precomputed_knn(odd, 3).orderBy("i", "rk").collect()] == [
         (1, 2, 1), (1, 3, 2), (1, 4, 3), (2, 1, 1)]
+
+
+@pytest.mark.parametrize("dims, dof", [(1, 1.0), (2, 0.8), (3, 1.0)])
+def test_exact_repulsion_works_on_small_tiles(dims, dof):
+    rng = np.random.default_rng(1)
+    y, other = rng.normal(0, 5, (300, dims)), rng.normal(0, 5, (5000, dims))
+    other[4000:4100] = y[:100]
+    other_ids = np.r_[np.arange(1000, 5000), np.arange(100), np.arange(9000, 9900)]
+    tracemalloc.start()
+    z, f = L.met_exactly(np.arange(300), y, other_ids, other, dof)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    gap = y[:, None] - other[None]
+    q, w = L.student((gap ** 2).sum(-1), dof)
+    same = np.arange(300)[:, None] == other_ids[None]
+    q[same], w[same] = 0, 0
+    assert same.sum() == 100 and np.allclose(z, q.sum(1)) and np.allclose(f, (w[..., None] * gap).sum(1))
+    assert peak < 5e6
