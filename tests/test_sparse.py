@@ -1,7 +1,11 @@
+import itertools
+import re
+
 import numpy as np
 import pytest
 
 from trefoil.operators import graph as G
+from trefoil.operators import sparse as S
 from trefoil.operators.sparse import sparse_knn
 
 
@@ -84,3 +88,19 @@ def test_one_node_in_half_of_all_edges(spark, monkeypatch):
     assert co == {(x, z): len(near[x] & near[z]) for x in near for z in near if x < z and near[x] & near[z]}
     four = {r["v"]: r["n_cliques"] for r in G.node_cliques(edges, 4).collect()}
     assert four[0] == sum(len(near[x] & near[y] & near[0]) for x, y in pairs if x and y) // 3
+
+
+@pytest.mark.parametrize("metric", ["cosine", "jaccard"])
+def test_pairs_of_sparse_rows_are_not_shuffled(spark, metric):
+    """Lists travel to the rows that ask them; a pair is made, added up and ranked in its row's partition."""
+    rng = np.random.default_rng(3)
+    cells = [(i, int(d), 1.0) for i in range(60) for d in rng.choice(30, 6, replace=False)]
+    entries = S._entries(spark.createDataFrame(cells, "id long, dim long, weight double"), metric)
+    met = S._lists_met(entries, entries, 4096)
+    by = re.findall(r"Exchange hashpartitioning\((\w+)#\w+, (\w+)", met._jdf.queryExecution().executedPlan().toString())
+    assert by and ("i", "j") not in by
+    want = {(a, b): 0 for a in range(60) for b in range(60) if a != b}
+    for (a, d, _), (b, e, _) in itertools.product(cells, cells):
+        if a != b and d == e:
+            want[a, b] += 1
+    assert {(r["i"], r["j"]): r["dot"] for r in met.collect()} == {p: n for p, n in want.items() if n}

@@ -8,6 +8,9 @@ Rows that share a dimension meet in the list of that dimension. Two passes keep
    is below that bound can't reach it alone, so the row asks only the lists before it. Pairs whose partial sum and suffix
    still don't reach the bound go; for the rest the suffix is added through a join on (row, dimension).
 
+Rows whose dimensions are all rare are done after the first pass. In both, whole lists travel to the rows that ask them, packed, and are
+opened there, so pairs are never shuffled.
+
 Lists above ``CHUNK`` rows are dealt over chunks and the rows that ask them are repeated once a chunk. Nothing is broadcast but
 the 2k smallest ids, which fill up rows with fewer than k others that share a dimension with them.
 
@@ -21,38 +24,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trefoil.session import cut_lineage
+from trefoil.session import written
 
 RARE = 256
 CHUNK = 4096
+#: Products that one partition of rows adds up.
+PARTITION_PAIRS = 4_000_000
 #: Slack of comparisons with a bound, far above the rounding of sums and far below a difference of interest.
 SLACK = 1e-9
 METRICS = ("cosine", "jaccard")
 
 
 def _entries(rows: DataFrame, metric: str) -> DataFrame:
-    """``id, dim, w, size, df``: summed weights (Jaccard: 1), the row's sum of squares and the length of the dimension's list."""
+    """``id, dim, w, size, df, longest``: summed weights (Jaccard: 1), the row's sum of squares, the length of the dimension's list
+    and of the longest list that the row is in."""
     w = F.col("weight").cast("double")
     w = F.when(w < 0, F.raise_error(F.lit("sparse neighbours need weights of 0 or more")).cast("double")).otherwise(w)
     kept = rows.select(F.col("id").cast("long").alias("id"), "dim", w.alias("w"))
     kept = kept.filter("id IS NOT NULL AND dim IS NOT NULL AND w <> 0").groupBy("id", "dim").agg(F.sum("w").alias("w"))
     if metric == "jaccard":
         kept = kept.withColumn("w", F.lit(1.0))
-    kept = cut_lineage(kept)
-    size = kept.groupBy("id").agg(F.sum(F.col("w") * F.col("w")).alias("size"))
-    df = kept.groupBy("dim").agg(F.count(F.lit(1)).alias("df"))
-    return cut_lineage(kept.join(size, "id").join(df, "dim"))
+    kept = written(kept)
+    listed = written(kept.join(kept.groupBy("dim").agg(F.count(F.lit(1)).alias("df")), "dim"))
+    size = listed.groupBy("id").agg(F.sum(F.col("w") * F.col("w")).alias("size"), F.max("df").alias("longest"))
+    return written(listed.join(size, "id").select("id", "dim", "w", "size", "df", "longest"))
 
 
 def _lists_met(ask: DataFrame, lists: DataFrame, chunk: int) -> DataFrame:
-    """Sums ``i, j, dot, size_i, size_j`` over dimensions that ``ask`` and ``lists`` share; long lists are dealt over chunks."""
+    """Sums ``i, j, dot, size_i, size_j`` over dimensions that ``ask`` and ``lists`` share, dealt by i; long lists are dealt over chunks.
+
+    A list travels to a row as arrays and is opened where the row's sums are made, so a pair is never shuffled: (i, j) is
+    grouped, and later ranked, in the partition of i."""
     parts = F.greatest(F.ceil(F.col("df") / F.lit(chunk)), F.lit(1)).cast("int")
     left = ask.select(F.col("id").alias("i"), "dim", F.col("w").alias("wi"), F.col("size").alias("size_i"),
                       F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    right = lists.select(F.col("id").alias("j"), "dim", F.col("w").alias("wj"), F.col("size").alias("size_j"),
-                         F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"))
-    met = left.join(right, ["dim", "part"]).filter(F.col("i") != F.col("j"))
-    return met.groupBy("i", "j", "size_i", "size_j").agg(F.sum(F.col("wi") * F.col("wj")).alias("dot"))
+    right = lists.select("dim", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), F.struct("id", "w", "size").alias("e"))
+    # In the order of ids, which packs well.
+    right = right.groupBy("dim", "part").agg(F.sort_array(F.collect_list("e")).alias("es")).select(
+        "dim", "part", F.col("es.id").alias("js"), F.col("es.w").alias("ws"), F.col("es.size").alias("sizes"))
+    pairs = ask.agg(F.sum("df")).first()[0] or 0
+    n = max(int(ask.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs // PARTITION_PAIRS))
+    met = left.join(right, ["dim", "part"]).drop("dim", "part").repartition(n, "i")
+    met = met.select("i", "wi", "size_i", "ws", "sizes", F.posexplode("js").alias("at", "j")).filter(F.col("i") != F.col("j"))
+    met = met.select("i", "j", "wi", "size_i", F.col("ws")[F.col("at")].alias("wj"), F.col("sizes")[F.col("at")].alias("size_j"))
+    return met.groupBy("i", "j").agg(
+        F.sum(F.col("wi") * F.col("wj")).alias("dot"), F.first("size_i").alias("size_i"), F.first("size_j").alias("size_j"))
 
 
 def _similarity(metric: str) -> Column:
@@ -78,34 +94,38 @@ def sparse_knn(rows: DataFrame, k: int, metric: str = "cosine", ids: DataFrame |
         raise ValueError(f"k={k} neighbours")
     entries = _entries(rows, metric)
     few = entries.filter(F.col("df") <= rare)
-    best = Window.partitionBy("i").orderBy(F.desc("low"))
-    bounds = (
-        _lists_met(few, few, chunk).select("i", _similarity(metric).alias("low"))
-        .withColumn("r", F.row_number().over(best)).filter(F.col("r") == k).select(F.col("i").alias("id"), "low")
-    )
+    nearest = Window.partitionBy("i").orderBy("d", "j")
+
+    def best(pairs: DataFrame) -> DataFrame:
+        ranked = pairs.select("i", "j", (F.lit(1.0) - _similarity(metric)).alias("d"), _similarity(metric).alias("low"))
+        return written(ranked.withColumn("rk", F.row_number().over(nearest)).filter(F.col("rk") <= k))
+
+    first = best(_lists_met(few, few, chunk))
+    common = entries.filter(F.col("longest") > rare)
+    everyone = entries.select("id")
+    if ids is not None:
+        everyone = everyone.union(ids.select(F.col("id").cast("long").alias("id")).filter("id IS NOT NULL"))
+    everyone = written(everyone.distinct())
+    if common.isEmpty():  # the sums over rare dimensions are whole
+        return _filled(first, everyone, k)
+    bounds = first.filter(F.col("rk") == k).select(F.col("i").alias("id"), "low")
     onward = Window.partitionBy("id").orderBy("df", "dim").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     left = F.sum(F.col("w") * F.col("w")).over(onward) / F.col("size")
     suffix = (F.sqrt(left) if metric == "cosine" else left).alias("suffix")
-    ordered = entries.select("*", suffix).join(bounds, "id", "left").fillna(0.0, subset=["low"])
-    marked = cut_lineage(ordered.withColumn("asks", F.col("suffix") >= F.col("low") - SLACK))
+    ordered = common.select("*", suffix).join(bounds, "id", "left").fillna(0.0, subset=["low"])
+    marked = written(ordered.withColumn("asks", F.col("suffix") >= F.col("low") - SLACK))
     rest = marked.groupBy("id").agg(
         F.max("low").alias("low"), F.max(F.when(~F.col("asks"), F.col("suffix")).otherwise(0.0)).alias("rest"))
     pairs = _lists_met(marked.filter("asks"), entries, chunk).join(rest.withColumnRenamed("id", "i"), "i")
-    pairs = cut_lineage(pairs.filter(_most(metric) >= F.col("low") - SLACK).drop("low", "rest"))
-    later = marked.filter("NOT asks").select(F.col("id").alias("i"), "dim", F.col("w").alias("wi"))
+    pairs = written(pairs.filter(_most(metric) >= F.col("low") - SLACK).drop("low", "rest"))
+    unasked = marked.filter("NOT asks").select(F.col("id").alias("i"), "dim", F.col("w").alias("wi"))
     held = entries.select(F.col("id").alias("j"), "dim", F.col("w").alias("wj"))
-    added = pairs.select("i", "j").join(later, "i").join(held, ["j", "dim"]).groupBy("i", "j").agg(
+    added = pairs.select("i", "j").join(unasked, "i").join(held, ["j", "dim"]).groupBy("i", "j").agg(
         F.sum(F.col("wi") * F.col("wj")).alias("more"))
     whole = pairs.join(added, ["i", "j"], "left").withColumn("dot", F.col("dot") + F.coalesce("more", F.lit(0.0)))
-    nearest = Window.partitionBy("i").orderBy("d", "j")
-    found = cut_lineage(
-        whole.select("i", "j", (F.lit(1.0) - _similarity(metric)).alias("d"))
-        .withColumn("rk", F.row_number().over(nearest)).filter(F.col("rk") <= k)
-    )
-    everyone = entries.select("id")
-    if ids is not None:
-        everyone = everyone.union(ids.select(F.col("id").cast("long").alias("id")).filter("id IS NOT NULL"))
-    return _filled(found, cut_lineage(everyone.distinct()), k)
+    later = best(whole)
+    ids_later = common.select(F.col("id").alias("i")).distinct()
+    return _filled(later.unionByName(first.join(ids_later, "i", "left_anti")), everyone, k)
 
 
 def _filled(found: DataFrame, everyone: DataFrame, k: int) -> DataFrame:
