@@ -4,10 +4,13 @@ from itertools import combinations
 from math import comb
 
 import pytest
+from pyspark.sql import functions as F
 
 from trefoil.functions import features, patterns
+from trefoil.operators import enumerate as U
 from trefoil.operators import graph as G
 from trefoil.operators import orbits as O
+from trefoil.plans import registry
 
 
 def raw(spark, edges):
@@ -142,3 +145,32 @@ def test_G12_command_line(spark, tmp_path):
     main(["orbits", "node", "4", str(tmp_path / "g.in"), str(tmp_path / "out")])
     text = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*")))
     assert text.splitlines()[0].split()[:4] == ["2", "0", "0", "1"]
+
+
+@pytest.mark.parametrize("k", [3, 4, 5])
+def test_listed_subsets_of_a_hub_are_dealt_over_tasks(spark, k):
+    """Every connected set once with its graphlet, also when a node's rows are cut over many chunks."""
+    random.seed(11)
+    n = 14
+    edges = sorted({(0, v) for v in range(1, n)} | {e for e in combinations(range(1, n), 2) if random.random() < 0.15})
+    nbrs = patterns.adjacency(edges, n)
+    want = {}
+    for chosen in combinations(range(n), k):
+        mask = sum(1 << i for i, (a, b) in enumerate(combinations(chosen, 2)) if b in nbrs[a])
+        known = {m: (g, orbits) for m, g, orbits in U.taxonomy(k)}
+        if mask in known:
+            want[chosen] = known[mask]
+    table = G.clean_edges(raw(spark, edges))
+    got = U.classified_subsets(table, k, task_rows=20).collect()
+    assert len(got) == len(want) and {tuple(r["m"]): (r["graphlet"], r["orbits"]) for r in got} == want
+    listed = U.connected_subsets(table, k, task_rows=20)
+    assert {tuple(r["m"]) for r in listed.collect()} == set(want)
+    if k > 3:
+        sizes = [r["count"] for r in listed.groupBy(F.spark_partition_id()).count().collect()]
+        assert max(sizes) < len(want) / 4
+
+
+def test_edges_are_kept_for_the_graph_queries(spark):
+    """They read the edges more than once, and the neighbour join behind these must run once."""
+    plan = registry._graph(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Scan parquet" in plan and "Exchange" not in plan
