@@ -85,6 +85,36 @@ def test_exact_join_copies_rows_a_fixed_number_of_times(spark, monkeypatch, metr
     assert np.allclose(have, want, atol=1e-9)
 
 
+def test_exact_join_sends_a_tile_once_for_both_directions(spark, monkeypatch):
+    """Each direction of two tiles was a pair of its own, and tables of a few thousand rows were cut into fewer tiles a side."""
+    x = np.random.default_rng(7).normal(0, 1, (400, 6))
+    x[:200] = x[:200].astype(np.float32)
+    monkeypatch.setattr(N, "TILES", 4)
+    monkeypatch.setattr(N, "TILE_LEAST", 50)
+    carried = []
+    meet = N._TileMeet.__call__
+    monkeypatch.setattr(N._TileMeet, "__call__", lambda self, q, r, pairs: carried.append(pairs) or meet(self, q, r, pairs))
+    pts = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, features array<double>")
+    got = N.exact_knn(pts, 5, block_rows=20).toPandas().sort_values(["i", "rk"])
+    assert all(a == b for a, b in carried[0]) and all(a < b for a, b in carried[1]) and len(carried[1]) <= 6
+    dist = metrics.METRICS["euclidean"](x[:, None], x[None])
+    np.fill_diagonal(dist, np.inf)
+    assert (got["j"].to_numpy().reshape(400, 5) == np.argsort(dist, axis=1, kind="stable")[:, :5]).all()
+
+
+def test_packed_tiles_keep_every_entry(spark):
+    x = np.random.default_rng(8).normal(0, 1, (60, 3))
+    x[0] = [1e300, -0.0, np.nan]
+    for rows in (x, np.nan_to_num(x[1:]).astype(np.float32).astype(float)):
+        tiles = spark.createDataFrame([(i, [float(v) for v in r], i % 5, i % 2) for i, r in enumerate(rows)],
+                                      "id long, features array<double>, cell long, tile int").coalesce(1)
+        packed = N._packed(tiles).toPandas()
+        assert sorted(packed["tile"]) == [0, 1] and set(packed["single"]) == {len(rows) < 60}
+        ids, entries, cells, bounds = N._unpacked(packed)
+        assert sorted(ids) == list(range(len(rows))) and (cells == ids % 5).all() and np.isinf(bounds).all()
+        assert np.array_equal(entries, rows[ids], equal_nan=True)
+
+
 def _tables(folder, spark, sf, parts: int) -> str:
     """The tables at ``sf`` with ``parts`` parts of one brand."""
     for name in ("lineitem", "orders", "customer", "nation"):

@@ -5,7 +5,7 @@ a large group of equal rows never lands in one task. Blocks meet blocks in cogro
 keeping only the k best of every query, and a ranked merge finishes.
 
 * exact: cells travel in tiles, about ``TILES`` of them a side until a tile has ``TILE_ENTRIES`` entries, so that rows are
-  copied a fixed number of times. A tile first meets itself, which bounds the k-th distance of its rows; then it meets
+  copied a fixed number of times, packed, and once for both directions of two tiles. A tile first meets itself, which bounds the k-th distance of its rows; then it meets
   every other tile, cell by cell, but for cells that the triangle inequality rules out (none for metrics without it).
   Cheap lower bounds (``functions.screens``) say which pairs are measured;
 * approximate: a row meets the blocks of its few closest pivots (crowded cells get pivots of their own, level by
@@ -36,7 +36,7 @@ MAX_PIVOTS = 1024
 # Pivots within a crowded cell, and levels of them, of the approximate join.
 FANOUT, LEVELS = 64, 6
 # Tiles a side of the exact join, and the bounds of a tile: rows that are worth a task, and entries that it may hold.
-TILES, TILE_LEAST, TILE_ENTRIES = 16, 2048, 1 << 22
+TILES, TILE_LEAST, TILE_ENTRIES = 12, 1024, 1 << 22
 # Rows a side of a block of the table of all distances; a task hands out the square of it at once.
 PAIR_ROWS = 1024
 # Tasks of that table at most.
@@ -221,14 +221,18 @@ def _pruned_meet(q: DataFrame, r: DataFrame, k: int, space: Space, same: bool, b
     meet = _TileMeet(k, space, same, q_side["cell"].to_numpy(), r_side["cell"].to_numpy(), low if space.prune else None)
     pairs = _tile_pairs(q_side, r_side, np.ones(low.shape, bool), size)
     if not same:
-        return meet(q_tiles.withColumn("bound", F.lit(float("inf"))), r_tiles, pairs)
-    own = cut_lineage(meet(q_tiles.withColumn("bound", F.lit(float("inf"))), r_tiles, [(a, b) for a, b in pairs if a == b]))
+        return meet(_packed(q_tiles), _packed(r_tiles), pairs)
+    every = _packed(q_tiles)
+    own = cut_lineage(meet(every, every, [(a, b) for a, b in pairs if a == b]))
     kth = own.groupBy("i").agg(F.when(F.count(F.lit(1)) >= k, F.max("d")).alias("bound")).withColumnRenamed("i", "id")
     bound = F.coalesce("bound", F.lit(float("inf"))).alias("bound")
     known = cut_lineage(q_tiles.join(kth, "id", "left").select("id", "features", "cell", "tile", bound))
     worst = known.groupBy("cell").agg(F.max("bound").alias("d")).orderBy("cell").toPandas()["d"].to_numpy(float)
     pairs = _tile_pairs(q_side, r_side, low <= worst[:, None] + 1e-9, size)
-    return own.unionByName(meet(known, r_tiles, [(a, b) for a, b in pairs if a != b]))
+    # One task does both directions of two tiles, so that neither travels twice.
+    both = sorted({(min(a, b), max(a, b)) for a, b in pairs if a != b})
+    every = _packed(known)
+    return own.unionByName(meet(every, every, both))
 
 
 def _tiled(placed: DataFrame, size: int) -> tuple[DataFrame, pd.DataFrame]:
@@ -254,10 +258,48 @@ def _tile_pairs(q_side: pd.DataFrame, r_side: pd.DataFrame, keep: np.ndarray, si
     return [(int(a), int(b)) for a, b in zip(*np.nonzero(met))]
 
 
+def _packed(tiles: DataFrame) -> DataFrame:
+    """Rows of one tile, batch by batch, as one row of bytes: in single precision where that holds every entry exactly, else
+    in double. ``bound`` is infinite where ``tiles`` has none."""
+    def pack(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, cells, tile, bound = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "cell", "tile", "bound"))
+            x = batch.column("features").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+            with np.errstate(over="ignore", invalid="ignore"):
+                single = x.astype(np.float32)
+            if np.array_equal(single.astype(float), x):
+                x = single
+            names = np.unique(tile)
+            rows = [np.flatnonzero(tile == name) for name in names]
+            yield pa.RecordBatch.from_pydict({
+                "tile": pa.array(names, pa.int32()), "single": pa.array([x.dtype == np.float32] * len(names)),
+                **{c: pa.array([v[at].tobytes() for at in rows], pa.binary()) for c, v in (
+                    ("ids", ids), ("cells", cells), ("bounds", bound.astype(float)), ("entries", x))},
+            })
+
+    if "bound" not in tiles.columns:
+        tiles = tiles.withColumn("bound", F.lit(float("inf")))
+    return tiles.select("id", "features", "cell", "tile", "bound").mapInArrow(
+        pack, "tile int, single boolean, ids binary, cells binary, bounds binary, entries binary")
+
+
+def _unpacked(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, entries, cells and bounds of packed rows."""
+    def whole(name: str, kind: type) -> np.ndarray:
+        return np.concatenate([np.frombuffer(v, kind) for v in rows[name]])
+
+    entries = [np.frombuffer(v, np.float32 if single else float).reshape(len(ids) // 8, -1)
+               for v, single, ids in zip(rows["entries"], rows["single"], rows["ids"])]
+    return whole("ids", np.int64), np.concatenate(entries).astype(float), whole("cells", np.int64), whole("bounds", float)
+
+
 @dataclass(frozen=True)
 class _TileMeet:
-    """Cogroups query and reference tiles and keeps each query's k best per pair of tiles. ``low`` is a distance that rows of
-    a query cell and a reference cell are not below, if the metric allows one."""
+    """Brings packed query and reference tiles together and keeps each query's k best per pair of tiles; of the ``same`` rows
+    each asks the other tile's. ``low`` is a distance that rows of a query cell and a reference cell are not below, if the
+    metric allows one."""
 
     k: int
     space: Space
@@ -268,34 +310,40 @@ class _TileMeet:
 
     def __call__(self, q_tiles: DataFrame, r_tiles: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
         spark, parts = q_tiles.sparkSession, max(1, len(pairs))
-        # TILES squared pairs until tiles are full: a small table.
-        met = F.broadcast(spark.createDataFrame([(n, a, b) for n, (a, b) in enumerate(pairs)], "pair int, a int, b int"))
-        left = q_tiles.join(met, F.col("tile") == F.col("a")).select("id", "features", "cell", "bound", "pair")
-        right = r_tiles.join(met, F.col("tile") == F.col("b")).select(
-            F.col("id").alias("r_id"), F.col("features").alias("r_features"), F.col("cell").alias("r_cell"), F.col("pair").alias("r_pair"))
-        # A number of partitions of its own: small tables would be coalesced, though their pairs are much work.
-        left, right = left.repartition(parts, "pair"), right.repartition(parts, "r_pair")
-        return left.groupBy("pair").cogroup(right.groupBy("r_pair")).applyInPandas(self._join(), _HIT)
+
+        def sent(tiles: DataFrame, ends: list[tuple[int, int, int]]) -> DataFrame:
+            # TILES squared pairs until tiles are full: a small table.
+            return tiles.join(F.broadcast(spark.createDataFrame(ends, "pair int, side int, tile int")), "tile")
+
+        left = [(n, 0, a) for n, (a, _) in enumerate(pairs)]
+        right = [(n, 1, b) for n, (a, b) in enumerate(pairs) if not self.same or a != b]
+        packed = sent(q_tiles, left + right) if self.same else sent(q_tiles, left).unionByName(sent(r_tiles, right))
+        # A partition a pair: small tables would be coalesced, and a hash may deal one task several, though pairs are much work.
+        return packed.repartitionById(parts, "pair").groupBy("pair").applyInPandas(self._join(), _HIT)
 
     def _join(self) -> Callable:
         k, space, same, q_cells, r_cells, low = self.k, self.space, self.same, self.q_cells, self.r_cells, self.low
 
-        def join(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-            if len(q) == 0 or len(r) == 0:
-                return pd.DataFrame({"i": [], "j": [], "d": []})
-            near = Nearest(q["id"].to_numpy(), _stack(q["features"]), r["r_id"].to_numpy(), _stack(r["r_features"]),
-                           min(k, len(r)), space.fn, space.screen, same, q["bound"].to_numpy())
-            every = np.arange(len(r))
+        def hits(q, r):
+            (q_ids, x, q_cell, bound), (r_ids, y, r_cell, _) = q, r
+            near = Nearest(q_ids, x, r_ids, y, min(k, len(y)), space.fn, space.screen, same, bound)
             if low is None:
-                near.meet(np.arange(len(q)), every)
+                near.meet(np.arange(len(x)), np.arange(len(y)))
             else:
-                at_r = np.searchsorted(r_cells, r["r_cell"].to_numpy())
-                for cell, rows in q.groupby("cell").indices.items():
+                at_r = np.searchsorted(r_cells, r_cell)
+                for cell in np.unique(q_cell):
                     floor = low[np.searchsorted(q_cells, cell)][at_r]
                     order = np.argsort(floor, kind="stable")
-                    near.meet(rows, order, floor[order])
-            i, j, d = near.hits()
-            return pd.DataFrame({"i": i, "j": j, "d": d})
+                    near.meet(np.flatnonzero(q_cell == cell), order, floor[order])
+            return pd.DataFrame(dict(zip("ijd", near.hits())))
+
+        def join(rows: pd.DataFrame) -> pd.DataFrame:
+            sides = [_unpacked(rows[rows["side"] == side]) for side in sorted(set(rows["side"]))]
+            if same:
+                met = [(sides[0], sides[-1]), (sides[-1], sides[0])][:len(sides)]
+            else:
+                met = [tuple(sides)] if len(sides) == 2 else []
+            return pd.concat([hits(q, r) for q, r in met] or [pd.DataFrame({"i": [], "j": [], "d": []})])
 
         return join
 
