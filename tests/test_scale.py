@@ -1,5 +1,6 @@
 """Steps whose memory, shuffled rows or work must not grow with the square of the input."""
 
+import re
 import tracemalloc
 
 import numpy as np
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from trefoil.functions import layout as L
 from trefoil.functions import metrics
 from trefoil.functions.kernels import Nearest
+from trefoil.operators import affinity as A
 from trefoil.operators import enrichment as E
+from trefoil.operators import initial as I
 from trefoil.operators import neighbors as N
 from trefoil.plans.registry import QUERIES
 from trefoil.sources import tables as T
@@ -165,3 +168,37 @@ def test_exact_repulsion_works_on_small_tiles(dims, dof):
     q[same], w[same] = 0, 0
     assert same.sum() == 100 and np.allclose(z, q.sum(1)) and np.allclose(f, (w[..., None] * gap).sum(1))
     assert peak < 5e6
+
+
+def test_spectral_walk_deals_the_affinities_once(spark, monkeypatch):
+    """A step shuffled the affinities and wrote every term so far again."""
+    rng = np.random.default_rng(9)
+    pts = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(rng.normal(0, 1, (200, 3)))], "id long, features array<double>")
+    p = A.uniform(N.exact_knn(pts, 12), "mean")
+    plans, widths = [], []
+    walked, keep = I._walked, I.written
+
+    def step(edges, term, parts, cols):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        moved = walked(edges, term, parts, cols)
+        plans.append(moved._jdf.queryExecution().executedPlan().toString())
+        return moved
+
+    monkeypatch.setattr(I, "_walked", step)
+    monkeypatch.setattr(I, "written", lambda df: widths.append(len(df.columns)) or keep(df))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 40)  # more than the parts of the affinities
+    try:
+        y = np.array([list(r)[1:] for r in I.spectral(p, 2, add_jitter=False).orderBy("id").collect()])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before[0])
+        spark.conf.set("spark.sql.shuffle.partitions", before[1])
+    dealt = [re.findall(r"Exchange hashpartitioning\(j#\d+L?, (\d+)", plan) for plan in plans]
+    assert dealt and all("SortMergeJoin" in plan for plan in plans) and all(set(d) == {"12"} for d in dealt)
+    assert max(widths) == 2 + 2 + 1 + 2
+    m = np.zeros((200, 200))
+    for r in p.collect():
+        m[r["i"], r["j"]] = r["p"]
+    w = 1 / np.sqrt(m.sum(1))
+    vec = np.linalg.eigh(m * w[:, None] * w[None])[1][:, ::-1] * w[:, None]
+    assert all(abs(np.corrcoef(y[:, c], vec[:, c + 1])[0, 1]) > 0.9999 for c in range(2))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -13,6 +13,8 @@ from trefoil.operators.gradient import ys
 from trefoil.session import cut_lineage, written
 
 SPREAD = 1e-4
+# Parts of the affinity table that a walk steps over, and rows of one part once there are more.
+WALK_PARTS, WALK_ROWS = 12, 1 << 20
 
 
 def random(rows: DataFrame, dims: int = 2, seed: int = 0, spread: float = SPREAD) -> DataFrame:
@@ -66,33 +68,41 @@ def spectral(p: DataFrame, dims: int = 2, seed: int = 0, tolerance: float = 1e-5
 
     Restarted block Krylov iteration with the walk W = D^-1 P, which is symmetric in the inner product weighted by
     degree. A cycle extends a block of ``dims + 1 + guard`` vectors by ``steps`` Chebyshev terms of W (one join and grouped
-    sum each), sums the Gram matrices of the whole basis in one pass, and restarts from the best Ritz vectors. It ends when
+    sum each; the affinities are dealt once, and only a term's own vectors move and are written), brings the terms of a row
+    together, sums the Gram matrices of the whole basis in one pass, and restarts from the best Ritz vectors. It ends when
     every wanted pair has |W v - value v| <= ``tolerance`` (for |v| = 1), and raises if ``max_restarts`` cycles don't reach
     that. Only Gram matrices, of a size fixed by the parameters, reach the driver. Each vector's entry of largest size is
     positive.
     """
     width = dims + 1 + guard
     edges = cut_lineage(p.groupBy("i", "j").agg(F.sum("p").alias("p")))
-    deg = edges.groupBy("i").agg(F.sum("p").alias("deg"))
-    start = random(deg.select(F.col("i").alias("id")), width, seed, 1.0)
-    block = deg.join(start.toDF("i", *_block(0, width)), "i").withColumn("t0_0", F.lit(1.0))
+    deg = written(edges.groupBy("i").agg(F.sum("p").alias("deg")))
+    parts = max(WALK_PARTS, -(-deg.count() // WALK_ROWS))
+    # Kept, as a table that is read back has lost how it is dealt; what is lost with an executor comes from the checkpoint.
+    edges = edges.repartition(parts, "j").sortWithinPartitions("j").persist()
+    edges.count()
+    first = _block(width)
+    block = deg.join(random(deg.select(F.col("i").alias("id")), width, seed, 1.0).toDF("i", *first), "i").withColumn(first[0], F.lit(1.0))
     for _ in range(max_restarts):
-        basis = written(block)
+        terms = [written(block)]
         for k in range(1, steps + 1):
-            last = basis.select(F.col("i").alias("j"), *_block(k - 1, width))
-            moved = edges.join(last, "j").groupBy("i").agg(*[F.sum(F.col("p") * F.col(c)).alias(f"w{c}") for c in _block(k - 1, width)])
-            walked = {n: F.col(f"w{c}") / F.col("deg") for n, c in zip(_block(k, width), _block(k - 1, width))}
+            moved = _walked(edges, terms[-1], parts, first)
+            rows = terms[-1].select("i", "deg").join(moved, "i")
+            walk = {c: F.col(f"w_{c}") / F.col("deg") for c in first}
             if k > 1:
-                walked = {n: 2 * w - F.col(old) for (n, w), old in zip(walked.items(), _block(k - 2, width))}
-            basis = written(basis.join(moved, "i").withColumns(walked).drop(*[f"w{c}" for c in _block(k - 1, width)]))
+                rows = rows.join(terms[-2].select("i", *first), "i")
+                walk = {c: 2 * w - F.col(c) for c, w in walk.items()}
+            terms.append(written(rows.select("i", "deg", *[w.alias(c) for c, w in walk.items()])))
+        basis = _basis(terms, first)
         values, mix, residual = _ritz(basis, width, steps)
-        block = _combined(basis, mix[:, :width], width)
+        block = _combined(basis, mix[:, :width], width, steps)
         if residual[: dims + 1].max() <= tolerance:
             break
     else:
         raise RuntimeError(f"eigenvectors not found within {tolerance}: residual {residual[: dims + 1].max():.3g} after {max_restarts} restarts")
     block = cut_lineage(block)
-    cols = _block(0, width)[1: dims + 1]
+    edges.unpersist()
+    cols = first[1: dims + 1]
     tops = block.agg(*[F.max_by(F.signum(c), F.struct(F.abs(c), -F.col("i"))).alias(c) for c in cols]).first()
     raw = block.select(F.col("i").alias("id"), *[
         (F.col(c) * F.lit(float(tops[c] * values[e + 1]))).alias(f"y{e}") for e, c in enumerate(cols)
@@ -101,25 +111,44 @@ def spectral(p: DataFrame, dims: int = 2, seed: int = 0, tolerance: float = 1e-5
     return jitter(out, dims, seed) if add_jitter else out
 
 
-def _block(k: int, width: int) -> list[str]:
-    return [f"t{k}_{c}" for c in range(width)]
+def _block(width: int) -> list[str]:
+    return [f"t{c}" for c in range(width)]
+
+
+def _walked(edges: DataFrame, term: DataFrame, parts: int, cols: list[str]) -> DataFrame:
+    """``i, w_..``: sums over the neighbours. ``edges`` lie in ``parts`` by ``j`` and stay there; the term's rows go to them."""
+    last = term.select(F.col("i").alias("j"), *cols).repartition(parts, "j")
+    return edges.join(last, "j").groupBy("i").agg(*[F.sum(F.col("p") * F.col(c)).alias(f"w_{c}") for c in cols])
+
+
+def _basis(terms: list[DataFrame], cols: list[str]) -> DataFrame:
+    """``i, deg, basis``: the terms of a row, one after the other."""
+    rows = None
+    for k, term in enumerate(terms):
+        some = term.select("i", "deg", F.struct(F.lit(k).alias("k"), F.array(*cols).alias("x")).alias("term"))
+        rows = some if rows is None else rows.unionByName(some)
+    whole = rows.groupBy("i").agg(F.max("deg").alias("deg"), F.sort_array(F.collect_list("term")).alias("all"))
+    return written(whole.select("i", "deg", F.flatten("all.x").alias("basis")))
+
+
+def _matrix(batch: pa.RecordBatch, size: int) -> np.ndarray:
+    return batch.column("basis").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, size)
 
 
 def _ritz(basis: DataFrame, width: int, steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ritz values (descending), their coefficients over blocks 0 .. steps-1, and residuals. W times a Chebyshev block is the
     mean of its neighbours (of block 0: block 1), so no further product is needed."""
-    names = [c for k in range(steps + 1) for c in _block(k, width)]
-    size = len(names)
+    size = width * (steps + 1)
 
     def grams(batches):
         total = np.zeros((size, size))
-        for pdf in batches:
-            x = pdf[names].to_numpy(float)
-            total += x.T @ (x * pdf["deg"].to_numpy(float)[:, None])
+        for batch in batches:
+            x = _matrix(batch, size)
+            total += x.T @ (x * batch.column("deg").to_numpy()[:, None])
         a, b = np.triu_indices(size)
-        yield pd.DataFrame({"a": a, "b": b, "s": total[a, b]})
+        yield pa.RecordBatch.from_pydict({"a": a, "b": b, "s": total[a, b]})
 
-    rows = basis.select("deg", *names).mapInPandas(grams, "a long, b long, s double")
+    rows = basis.select("deg", "basis").mapInArrow(grams, "a long, b long, s double")
     got = rows.groupBy("a", "b").agg(F.sum("s").alias("s")).collect()  # size^2 / 2 rows
     gram = np.zeros((size, size))
     for a, b, s in got:
@@ -144,18 +173,18 @@ def _ritz(basis: DataFrame, width: int, steps: int) -> tuple[np.ndarray, np.ndar
     return values, mix, residual
 
 
-def _combined(basis: DataFrame, mix: np.ndarray, width: int) -> DataFrame:
+def _combined(basis: DataFrame, mix: np.ndarray, width: int, steps: int) -> DataFrame:
     """``i, deg`` and the first block of the next cycle: the basis times ``mix``."""
-    names = [c for k in range(mix.shape[0] // width) for c in _block(k, width)]
-    first = _block(0, width)
+    first, size = _block(width), width * (steps + 1)
 
     def times(batches):
-        for pdf in batches:
-            x = pdf[names].to_numpy(float) @ mix
-            yield pdf[["i", "deg"]].assign(**{c: x[:, n] if n < x.shape[1] else 0.0 for n, c in enumerate(first)})
+        for batch in batches:
+            x = _matrix(batch, size)[:, : mix.shape[0]] @ mix
+            made = {c: x[:, n] if n < x.shape[1] else np.zeros(len(x)) for n, c in enumerate(first)}
+            yield pa.RecordBatch.from_pydict({"i": batch.column("i"), "deg": batch.column("deg"), **made})
 
     kinds = f"i {basis.schema['i'].dataType.simpleString()}, deg double, " + ", ".join(f"{c} double" for c in first)
-    return basis.select("i", "deg", *names).mapInPandas(times, kinds)
+    return basis.mapInArrow(times, kinds)
 
 
 def neighbor_median(knn: DataFrame, reference: DataFrame, dims: int, k: int) -> DataFrame:
