@@ -202,3 +202,24 @@ def test_spectral_walk_deals_the_affinities_once(spark, monkeypatch):
     w = 1 / np.sqrt(m.sum(1))
     vec = np.linalg.eigh(m * w[:, None] * w[None])[1][:, ::-1] * w[:, None]
     assert all(abs(np.corrcoef(y[:, c], vec[:, c + 1])[0, 1]) > 0.9999 for c in range(2))
+
+
+def test_approximate_join_moves_rows_only_to_their_blocks(spark, monkeypatch):
+    """The blocks met themselves as two sides, and rows were shuffled to meet the count of their cell."""
+    x = np.random.default_rng(10).normal(0, 1, (300, 4)).astype(np.float32).astype(float)
+    pts = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, features array<double>")
+    placed = N._assign(pts, x[:6], metrics.METRICS["euclidean"], 2).select("id", "features", "cell")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        side = N._blocks(placed, 40)
+        found = N._meet_own(side, ["cell", "part"], 3, N.space_of("euclidean"))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
+    both = N._meet(side, side, ["cell", "part"], 3, N.space_of("euclidean"), True)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, both.collect()))
+    assert dict(N._slim(pts).dtypes)["features"] == "array<float>"
+    third = pts.withColumn("features", F.transform("features", lambda v: v / 3))
+    assert dict(N._slim(third).dtypes)["features"] == "array<double>"

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from trefoil.functions import metrics
 from trefoil.functions.kernels import Nearest, block_top_k
 from trefoil.functions.screens import SCREENS
-from trefoil.session import cut_lineage
+from trefoil.session import BROADCAST_ROWS, cut_lineage
 
 BLOCK_ROWS = 4096
 # Pivots of the first level, held on the driver; they bound cells, not the size of blocks.
@@ -130,6 +130,29 @@ def _meet(left: DataFrame, right: DataFrame, keys: list[str], k: int, space: Spa
     return left.groupBy(*keys).cogroup(grouped).applyInPandas(join, _HIT)
 
 
+def _meet_own(side: DataFrame, keys: list[str], k: int, space: Space) -> DataFrame:
+    """The k best of every row within its block: ``_meet`` of a side with itself, whose rows travel once."""
+    fn, screen = space.fn, space.screen
+
+    def join(q: pd.DataFrame) -> pd.DataFrame:
+        ids, x = q["id"].to_numpy(), _stack(q["features"])
+        return pd.DataFrame(dict(zip("ijd", block_top_k(ids, x, ids, x, k, fn, screen, True))))
+
+    return side.groupBy(*keys).applyInPandas(join, _HIT)
+
+
+def _small(counted: DataFrame) -> DataFrame:
+    """A table of cells, broadcast if its count allows it, so that the rows it is joined to stay where they are."""
+    return F.broadcast(counted) if counted.count() <= BROADCAST_ROWS else counted
+
+
+def _slim(rows: DataFrame) -> DataFrame:
+    """``id, features`` in single precision if that holds every entry exactly."""
+    same = F.forall("features", lambda x: x.cast("float").cast("double") == x)
+    exact = rows.agg(F.min(F.coalesce(same, F.lit(False)))).first()[0]
+    return rows.withColumn("features", F.col("features").cast("array<float>")) if exact else rows
+
+
 def _pivots(ref: DataFrame, count: int, salt: int = 0) -> np.ndarray:
     """A bounded, repeatable choice of rows by hash order (at most MAX_PIVOTS vectors)."""
     rows = (
@@ -162,7 +185,7 @@ def _assign(points: DataFrame, pivots: np.ndarray, geometry: Callable, near: int
 
 def _blocks(placed: DataFrame, block_rows: int) -> DataFrame:
     """Cut crowded cells by hash so that every (cell, part) stays near ``block_rows``."""
-    crowd = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("_n"))
+    crowd = _small(cut_lineage(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("_n"))))
     parts = F.greatest(F.ceil(F.col("_n") / F.lit(block_rows)), F.lit(1))
     return (
         placed.join(crowd, "cell")
@@ -366,7 +389,7 @@ def _near_blocks(rows: DataFrame, n: int, geometry: Callable, probes: int, block
 
 def _split(placed: DataFrame, crowd: DataFrame, geometry: Callable, limit: int, salt: int) -> DataFrame:
     """Rows of crowded cells move to the closest of FANOUT pivots chosen in their cell, in tasks of bounded size."""
-    parts = F.ceil(F.col("_n") / F.lit(limit))
+    parts, crowd = F.ceil(F.col("_n") / F.lit(limit)), _small(crowd)
     full = placed.join(crowd, "cell").withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("long"))
     order = Window.partitionBy("cell").orderBy(F.xxhash64("id", F.lit(salt)), "id")
     picked = (
@@ -408,11 +431,12 @@ def approx_knn(points: DataFrame, k: int, metric: str | Callable = "euclidean",
     found = None
     for t in range(tables):
         side = _near_blocks(rows, n, geometry, probes, block_rows, seed + t * LEVELS).select("id", "features", "cell", "part")
-        hits = _meet(side, side, ["cell", "part"], k, space, True)
+        hits = _meet_own(side, ["cell", "part"], k, space)
         found = hits if found is None else found.unionByName(hits)
     best = cut_lineage(_merge(found.groupBy("i", "j").agg(F.min("d").alias("d")), k))
+    slim = _slim(rows) if refine else rows
     for _ in range(refine):
-        best = cut_lineage(_refined(best, rows, k, space, fanout))
+        best = cut_lineage(_refined(best, slim, k, space, fanout))
     if space.finish is not None:
         best = best.withColumn("d", space.finish(F.col("d")))
     return best.select("i", "j", "d", "rk")
