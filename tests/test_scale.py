@@ -13,6 +13,7 @@ from trefoil.functions import metrics
 from trefoil.functions.kernels import Nearest
 from trefoil.operators import affinity as A
 from trefoil.operators import enrichment as E
+from trefoil.operators import graph as G
 from trefoil.operators import initial as I
 from trefoil.operators import neighbors as N
 from trefoil.plans.registry import QUERIES
@@ -223,3 +224,26 @@ def test_approximate_join_moves_rows_only_to_their_blocks(spark, monkeypatch):
     assert dict(N._slim(pts).dtypes)["features"] == "array<float>"
     third = pts.withColumn("features", F.transform("features", lambda v: v / 3))
     assert dict(N._slim(third).dtypes)["features"] == "array<double>"
+
+
+@pytest.mark.parametrize("chunk,walks", [(4096, 1 << 21), (4, 30), (1000, 50)])
+def test_walks_of_squares_travel_as_lists(spark, chunk, walks):
+    """Every walk was a row of a join, and was shuffled twice."""
+    rng = np.random.default_rng(11)
+    a = np.triu(rng.random((40, 40)) < 0.2, 1)
+    a[0, 1:] = a[1, 2:30] = True  # hubs
+    edges = spark.createDataFrame([(int(i), int(j)) for i, j in zip(*np.nonzero(a))], "src long, dst long")
+    found = G.edge_squares(G.with_degrees(G.clean_edges(edges)), chunk, walks)
+    if chunk == 4096:
+        # The only join is that of hubs with the pieces of their lists.
+        assert len(re.findall(r"\w+Join ", found._jdf.queryExecution().executedPlan().toString())) == 1
+    m = (a | a.T).astype(int)
+    through = m * (m @ m @ m - m.sum(0)[None] - m.sum(1)[:, None] + 1)
+    want = {(int(i), int(j)): int(through[i, j]) for i, j in zip(*np.nonzero(a)) if through[i, j]}
+    assert {(r["x"], r["y"]): r["squares"] for r in found.collect()} == want
+
+
+def test_squares_of_a_graph_without_any(spark):
+    for rows in ([], [(0, 1), (1, 2), (0, 2), (2, 3)]):
+        edges = G.clean_edges(spark.createDataFrame(rows, "src long, dst long"))
+        assert G.edge_squares(G.with_degrees(edges)).count() == 0

@@ -9,13 +9,19 @@ over many tasks.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trefoil.session import BROADCAST_ROWS, cut_lineage
+from trefoil.session import BROADCAST_ROWS, cut_lineage, written
 
 # Edges of one centre that one join key may hold before it is split further.
 HUB_CHUNK = 4096
+# Walks of two edges that a task counts at once.
+TASK_WALKS = 1 << 21
 
 
 def clean_edges(raw: DataFrame, n_nodes: int | None = None, strict: bool = False) -> DataFrame:
@@ -228,32 +234,84 @@ def codegrees(edges: DataFrame, chunk: int = HUB_CHUNK) -> DataFrame:
     )
 
 
-def edge_squares(edges_with_degrees: DataFrame, chunk: int = HUB_CHUNK) -> DataFrame:
+def edge_squares(edges_with_degrees: DataFrame, chunk: int = HUB_CHUNK, walks: int = TASK_WALKS) -> DataFrame:
     """4-cycles through each edge: ``x, y, squares`` (edges in none are absent).
 
     Each cycle is found once at its top node in the degree order: the walk top - c - w keeps only
     c and w below the top, so the number of walks is bounded by the sum over edges of the smaller
-    degree even when hubs exist.
+    degree even when hubs exist. Walks of one top and centre travel as one row, the list of their w; about ``walks`` of them
+    are counted in a group, and a top with more is dealt over groups by w.
     """
     two = edges_with_degrees
-    links = two.select(
+    links = written(two.select(
         F.col("x").alias("c"), F.col("y").alias("o"), F.col("dx").alias("dc"), F.col("dy").alias("do")
     ).unionByName(
         two.select(
             F.col("y").alias("c"), F.col("x").alias("o"), F.col("dy").alias("dc"), F.col("dx").alias("do")
         )
-    )
+    ))
     up = (F.col("do") > F.col("dc")) | ((F.col("do") == F.col("dc")) & (F.col("o") > F.col("c")))
     tops = links.filter(up).select("c", F.col("o").alias("top"), F.col("do").alias("dt"), "dc")
-    others = links.select("c", F.col("o").alias("w"), F.col("do").alias("dw"), "dc")
-    below = (F.col("dw") < F.col("dt")) | ((F.col("dw") == F.col("dt")) & (F.col("w") < F.col("top")))
-    walks = chunked_join(others, tops, "c", "dc", chunk).filter(below).select("top", "c", "w")
-    mates = walks.groupBy("top", "w").agg(F.count(F.lit(1)).alias("_mid")).filter(F.col("_mid") > 1)
-    closed = walks.join(mates, ["top", "w"]).withColumn("n", F.col("_mid") - 1)
+    load = tops.groupBy("top").agg(F.sum("dc").alias("load"))
+    heavy = cut_lineage(load.filter(F.col("load") > walks).select("top", F.ceil(F.col("load") / F.lit(walks)).cast("int").alias("shares")))
+    groups = max(1, -(-(tops.agg(F.sum("dc")).first()[0] or 0) // walks))
+    # Ordinary centres hold their neighbours in one sorted list, and what is below a top is the part of it before the top.
+    entry = F.struct(F.col("do").alias("d"), F.col("o").alias("v"))
+    lists = links.filter(F.col("dc") <= chunk).groupBy("c").agg(F.max("dc").alias("dc"), F.sort_array(F.collect_list(entry)).alias("all"))
+    at = lists.select("c", "dc", F.col("all.v").alias("ids"), F.posexplode("all").alias("pos", "to"))
+    above = (F.col("to.d") > F.col("dc")) | ((F.col("to.d") == F.col("dc")) & (F.col("to.v") > F.col("c")))
+    walked = at.filter(above & (F.col("pos") > 0)).select(
+        F.col("to.v").alias("top"), "c", F.lit(0).alias("piece"), F.slice("ids", F.lit(1), F.col("pos")).alias("ws"))
+    # A hub's list is cut into pieces, and every top of it meets each.
+    piece = F.pmod(F.xxhash64("o"), F.ceil(F.col("dc") / F.lit(chunk))).cast("int").alias("piece")
+    pieces = links.filter(F.col("dc") > chunk).groupBy("c", piece).agg(F.collect_list(entry).alias("all"))
+    below = F.filter("all", lambda e: e < F.struct(F.col("dt").alias("d"), F.col("top").alias("v")))
+    hubs = tops.filter(F.col("dc") > chunk).join(pieces, "c").select("top", "c", "piece", F.transform(below, lambda e: e["v"]).alias("ws"))
+    walked = walked.unionByName(hubs.filter(F.size("ws") > 0))
+    if not heavy.isEmpty():
+        shared = walked.join(F.broadcast(heavy), "top").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+        mine = F.filter("ws", lambda w: F.pmod(F.xxhash64(w), F.col("shares")) == F.col("share"))
+        shared = shared.select("top", "c", "piece", mine.alias("ws"), "share").filter(F.size("ws") > 0)
+        walked = walked.join(F.broadcast(heavy), "top", "left_anti").withColumn("share", F.lit(0)).unionByName(shared)
+    else:
+        walked = walked.withColumn("share", F.lit(0))
+    dealt = walked.select("top", "c", "piece", "ws", F.pmod(F.xxhash64("top", "share"), F.lit(groups)).alias("slot"))
+    mates = dealt.groupBy("slot").applyInArrow(_mates, "top long, c long, piece int, n long, ws array<long>, ns array<int>")
+    back = mates.select("top", "c", "n", "ws", "ns", F.pmod(F.xxhash64("c", "piece"), F.lit(groups)).alias("slot"))
     return (
-        closed.select("n", F.explode(F.array(*[
-            F.struct(F.least("c", o).alias("x"), F.greatest("c", o).alias("y")) for o in ("top", "w")
-        ])).alias("e"))
-        .groupBy(F.col("e.x").alias("x"), F.col("e.y").alias("y"))
-        .agg(F.sum("n").alias("squares"))
+        back.groupBy("slot").applyInArrow(_summed, "c long, o long, n long")
+        .groupBy(F.least("c", "o").alias("x"), F.greatest("c", "o").alias("y"))
+        .agg(F.sum("n").alias("squares")).filter(F.col("squares") > 0)
     )
+
+
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All entries of lists, one after the other, and the length of each."""
+    return pc.list_flatten(column).to_numpy(), pc.list_value_length(column).to_numpy()
+
+
+def _mates(rows: pa.Table) -> pa.Table:
+    """For every walk how many other centres its top and end share (``ns``), and their sum for the edge of top and centre."""
+    ends, size = _flat(rows["ws"])
+    top, _ = pd.factorize(rows["top"].to_numpy())
+    w, names = pd.factorize(ends)
+    pair, _ = pd.factorize(np.repeat(top.astype(np.int64), size) * len(names) + w)
+    n = np.bincount(pair)[pair] - 1
+    starts = np.concatenate([[0], np.cumsum(size)])
+    total = np.add.reduceat(n, starts[:-1])  # no list is empty
+    some = total > 0
+    return pa.table({
+        "top": rows["top"], "c": rows["c"], "piece": rows["piece"], "n": total.astype(np.int64),
+        "ws": rows["ws"].combine_chunks(), "ns": pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(n, pa.int32())),
+    }).filter(pa.array(some))
+
+
+def _summed(rows: pa.Table) -> pa.Table:
+    """The squares of every edge of a centre, with the end of a walk or its top."""
+    (ends, size), (n, _) = _flat(rows["ws"]), _flat(rows["ns"])
+    c, centres = pd.factorize(rows["c"].to_numpy())
+    o, names = pd.factorize(np.concatenate([ends, rows["top"].to_numpy()]))
+    edge, keys = pd.factorize(np.concatenate([np.repeat(c, size), c]).astype(np.int64) * len(names) + o)
+    total = np.zeros(len(keys), np.int64)
+    np.add.at(total, edge, np.concatenate([n, rows["n"].to_numpy()]))
+    return pa.table({"c": centres[keys // len(names)], "o": names[keys % len(names)], "n": total})
