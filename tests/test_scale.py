@@ -261,3 +261,19 @@ def test_spectral_restarts_keep_what_the_cycles_before_found(spark, monkeypatch)
     want = np.cos(np.pi * np.arange(n)[:, None] * np.arange(1, 3) / (n - 1))
     assert all(abs(np.corrcoef(y[:, c], want[:, c])[0, 1]) > 0.99999 for c in range(2))
     assert len(cycles) <= 8
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine", "canberra"])
+def test_table_of_all_distances_as_lists(spark, monkeypatch, metric):
+    """Every pair was a row of its own, measured in both orders."""
+    monkeypatch.setattr(N, "PAIR_ROWS", 70)
+    x = np.random.default_rng(3).normal(0, 1, (250, 4))
+    x[200:] = x[0]  # ties, more of them than neighbours
+    pts = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, features array<double>")
+    lists = N.all_distances(pts, metric, wide=True)
+    assert lists.columns == ["i", "js", "ds"] and lists.agg(F.sum(F.size("js"))).first()[0] == 250 * 249
+    assert lists.filter("array_contains(js, i)").isEmpty() and lists.filter("size(js) <> size(ds)").isEmpty()
+    want = sorted(map(tuple, N.precomputed_knn(N.all_distances(pts, metric), 5).collect()))
+    assert sorted(map(tuple, N.precomputed_knn(lists, 5).collect())) == want and len(want) == 250 * 5
+    odd = spark.createDataFrame([(1, [1, 2, 3], [0.0, 2.0, 1.0]), (1, [4], [0.5]), (2, [1, 5], [float("nan"), 1.0])], "i long, js array<long>, ds array<double>")
+    assert [(r["i"], r["j"], r["rk"]) for r in N.precomputed_knn(odd, 2).orderBy("i", "rk").collect()] == [(1, 4, 1), (1, 3, 2), (2, 5, 1), (2, 1, 2)]

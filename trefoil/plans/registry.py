@@ -152,7 +152,7 @@ def knn_pruned(spark, sf):
 
 def knn_precomputed(spark, sf):
     """A table of all distances is the input."""
-    return _r(N.precomputed_knn(N.all_distances(T.points(spark, sf)), K_NEAR), "d")
+    return _r(N.precomputed_knn(N.all_distances(T.points(spark, sf), wide=True), K_NEAR), "d")
 
 
 def _sparse(metric: str):
