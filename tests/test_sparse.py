@@ -2,8 +2,10 @@ import itertools
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from trefoil.functions import lists as P
 from trefoil.operators import graph as G
 from trefoil.operators import sparse as S
 from trefoil.operators.sparse import sparse_knn
@@ -104,3 +106,41 @@ def test_pairs_of_sparse_rows_are_not_shuffled(spark, metric):
         if a != b and d == e:
             want[a, b] += 1
     assert {(r["i"], r["j"]): r["dot"] for r in met.collect()} == {p: n for p, n in want.items() if n}
+
+
+@pytest.mark.parametrize("kind", ["whole", "doubles", "extreme"])
+def test_packed_lists_are_lossless(kind):
+    rng = np.random.default_rng(7)
+    many = rng.integers(1, 40, 300)
+    span = 1 << (62 if kind == "extreme" else 22)
+    ids = np.concatenate([np.sort(rng.integers(-span, span, m)) for m in many])
+    w = {"whole": rng.integers(1, 51, len(ids)).astype(float), "doubles": rng.random(len(ids)), "extreme": 10.0 ** rng.uniform(-150, 150, len(ids))}[kind]
+    sizes = w * w
+    packed = P.pack(ids, w, sizes, many)
+    raw, ends = np.frombuffer(b"".join(packed), np.uint8), np.cumsum([0] + [len(x) for x in packed])
+    assert P.lengths(raw, ends[:-1]).tolist() == many.tolist()
+    got = P.unpack(raw, ends[:-1])
+    assert all(np.array_equal(a, b) for a, b in zip(got, (ids, w, sizes, np.repeat(np.arange(300), many))))
+    if kind == "whole":
+        assert len(raw) < 0.45 * 24 * len(ids)  # an entry was three numbers of 8 bytes
+
+
+@pytest.mark.parametrize("piece", [1, 7, 1000])
+def test_sums_of_a_row_go_on_from_piece_to_piece(spark, monkeypatch, piece):
+    """A pair of rows was a row of Spark until it was ranked."""
+    rng = np.random.default_rng(8)
+    cells = [(i, int(d), float(rng.integers(1, 9))) for i in range(40) for d in rng.choice(12, 5, replace=False)]
+    entries = S._entries(spark.createDataFrame(cells, "id long, dim long, weight double"), "cosine")
+    rows = [(e["id"], e["dim"], e["w"], e["size"]) for e in entries.collect()]
+    by = {d: sorted((i, w, z) for i, e, w, z in rows if e == d) for d in range(12)}
+    batch = pa.RecordBatch.from_pylist([
+        {"i": i, "wi": w, "size_i": z, "es": P.pack(*(np.array(x) for x in zip(*by[d])), np.array([len(by[d])]))[0]} for i, d, w, z in sorted(rows)])
+    monkeypatch.setattr(S, "PIECE_PAIRS", piece)
+    got = pa.Table.from_batches(list(S._summed([batch.slice(0, 90), batch.slice(90, 0), batch.slice(90)], None))).to_pylist()
+    x = np.zeros((40, 12))
+    for i, d, w, _ in rows:
+        x[i, d] = w
+    assert {(r["i"], r["j"]): r["dot"] for r in got} == {(i, j): (x @ x.T)[i, j] for i in range(40) for j in range(40) if i != j and x[i] @ x[j]}
+    thin = pa.Table.from_batches(list(S._summed([batch], (3, "cosine")))).to_pylist()
+    assert len(got) > len(thin) >= 40 * 3
+    assert sorted(map(tuple, S._lists_met(entries, entries, 4096).select("i", "j", "dot").collect())) == sorted((r["i"], r["j"], r["dot"]) for r in got)
