@@ -323,3 +323,22 @@ def test_T11_scales_and_to_new_options(spark, blobs):
 
     own = moved("auto")
     assert np.allclose(own, moved("exact"), rtol=1e-9, atol=0) and not np.allclose(own, moved("fft"), rtol=1e-9, atol=0)
+
+
+@pytest.mark.parametrize("theta, branch", [(0.0, 256), (0.5, 32), (0.5, 8)])
+def test_branches_of_the_tree_travel_packed(spark, monkeypatch, theta, branch):
+    """Every cell that a tile may open was a row of its own, written and shuffled."""
+    from trefoil.operators import cells as C
+
+    monkeypatch.setattr(C, "BRANCH", branch)
+    y = np.random.default_rng(4).normal(0, 3, (400, 2))
+    y[350:] = y[0]
+    tree = CellTree.build(places(spark, y), 2, tile_rows=50)
+    rows = tree.essential(tree.tiles, theta)
+    large, small = tree._opened(tree.tiles, theta, branch)
+    assert large.count() + small.count() < 0.6 * rows.count()
+    z = {r["id"]: (r["z"], r["f0"], r["f1"]) for r in tree.repulsion(places(spark, y), theta).collect()}
+    part = tree.part(rows.drop("tile").distinct().toPandas())
+    fine = {r["id"]: r["f"] for r in places(spark, y).select("id", C.cell_name([F.col("y0"), F.col("y1")], list(tree.low), tree.side, tree.depth).alias("f")).collect()}
+    want, force = L.walk_cells(part, y, theta, 1.0, np.array([fine[i] for i in range(400)]), tree.depth)
+    assert np.allclose([z[i] for i in range(400)], np.column_stack([want, force]))
