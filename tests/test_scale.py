@@ -35,6 +35,26 @@ def test_walk_over_an_open_tree_holds_a_bounded_number_of_pairs():
     assert peak < 100e6
 
 
+@pytest.mark.parametrize("theta", [0.0, 0.3, 1.0])
+def test_cells_that_all_rows_open_are_opened_once(theta):
+    """Every row opened every cell by itself, pair by pair."""
+    rng = np.random.default_rng(1)
+    place = np.sort(rng.uniform(0, 1, 1024))
+    rows = pd.DataFrame([(name >> 1, name, 1 << 9 - lv, lv == 9) for lv in range(10) for name in range(1 << lv + 1, 1 << lv + 2)],
+                        columns=["parent", "name", "n", "leaf"])
+    rows["m0"] = [place.reshape(1 << int(name).bit_length() - 1, -1)[name - (1 << int(name).bit_length() - 1)].mean() for name in rows["name"]]
+    tree, y = L.cells_of(rows, 1, 1.0, 1024, [place.mean()]), place[100:140, None]
+    fine = 1024 + np.arange(100, 140)
+    leaves, others = L._opened_by_all(tree, 0.25 ** tree.level, y, theta)
+    assert theta > 0 or (len(leaves) == 1024 and not len(others))
+    z, f = L.walk_cells(tree, y, theta, 1.0, fine, 10)
+    alone = [L.walk_cells(tree, y[i:i + 1], theta, 1.0, fine[i:i + 1], 10) for i in range(40)]
+    assert np.allclose(z, [a[0][0] for a in alone]) and np.allclose(f, [a[1][0] for a in alone])
+    if theta == 0:
+        gap = y - place[None]
+        assert np.allclose(z, (1 / (1 + gap ** 2)).sum(1) - 1) and np.allclose(f[:, 0], (gap / (1 + gap ** 2) ** 2).sum(1))
+
+
 @pytest.mark.parametrize("metric", ["euclidean", "manhattan", "chebyshev", "canberra", "spearmanr", "wasserstein_1d", "jensen_shannon",
                                     "bit_hamming"])
 @pytest.mark.parametrize("shape", ["plain", "ties", "outlier", "tiny"])
